@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from concordia.llm import langid, sharding
+from concordia.llm import exact_dedup, fingerprint, langid, near_dedup, packing, sharding
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op2_sharding": sharding.query,
+    "op3_packing": packing.query,
+    "op4_fingerprint": fingerprint.query,
+    "op5_exact_dedup": exact_dedup.query,
+    "op6_near_dedup": near_dedup.query,
 }
 
 ORACLE_SQL = {
     "op2_sharding": sharding.ORACLE_SQL,
+    "op5_exact_dedup": exact_dedup.ORACLE_SQL,
 }
