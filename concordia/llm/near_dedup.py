@@ -242,7 +242,7 @@ def stragglers(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Dat
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept of every row of ``docs``."""
+    """id, n_shingles, component_id, kept, text_fp (xxhash64 of the text) of every row of ``docs``."""
     rows = materialize(sketch(docs, id_col=id_col, text_col=text_col), "sketches")
     classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("rep"), F.max("sketch").alias("sketch"), F.max("n_shingles").alias("n_shingles")
@@ -263,11 +263,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     of = classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.col("rep.id").alias("id"))
     of = materialize(of, "class-labels")
     least = of.groupBy("label").agg(F.min("id").alias("component_id"))
-    found = rows.select("id", "n_shingles", "node").join(of.join(least, "label").select("node", "component_id"), "node", "left")
+    found = rows.select("id", "fp", "n_shingles", "node").join(of.join(least, "label").select("node", "component_id"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), F.col("fp").alias("text_fp"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: one row for each document with its component."""
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents")).drop("text_fp")
