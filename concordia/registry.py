@@ -5,10 +5,334 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from concordia.operators import budget, menu, panel, ranking, stochastic
+from concordia.plans import score
+from concordia.schema import METRICS
+from concordia.sources import market
+from concordia.sources.market import BUDGET_SQL, MENU_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+#: Items of menus, and of menus that repeat often enough for frequencies.
+ITEMS, FEW_ITEMS = 10, 4
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Numbers to six decimals, for comparison."""
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def _market(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: rounded(operator(market.market(spark, sf_dir)))
+
+
+def _menus(operator: Callable[[DataFrame], DataFrame], items: int = ITEMS) -> Query:
+    return lambda spark, sf_dir: rounded(operator(market.daily_menus(market.events(spark, sf_dir, items))))
+
+
+def _frequencies(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    """Choices of all users as those of one decision maker, whose menus repeat."""
+    return _menus(lambda m: operator(stochastic.frequencies(m.withColumn("user_id", F.lit("all")))), FEW_ITEMS)
+
+
+def _events(operator: Callable[[DataFrame], DataFrame], items: int = ITEMS) -> Query:
+    return lambda spark, sf_dir: rounded(operator(market.events(spark, sf_dir, items)))
+
+
+def garp(rows: DataFrame) -> DataFrame:
+    return score.score_budget(rows, ("garp",)).select("user_id", "is_garp", *[F.col(c).cast("long").alias(c) for c in ("n_violations", "max_scc", "n_scc")])
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return garp(market.market(spark, sf_dir))
+
+
+def _all_metrics(rows: DataFrame) -> DataFrame:
+    return score.score_budget(rows, METRICS).drop("compute_time_us")
+
+
+def _variants(rows: DataFrame) -> DataFrame:
+    return score.score_variants(rows).select("user_id", *[F.col(c).cast("long").alias(c) for c in ("n_sarp", "n_acyclical_p", "n_gapp")])
+
+
+def _menu_scores(rows: DataFrame) -> DataFrame:
+    grouped = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "menu", "choice"))).alias("obs"))
+    out = score.score_menu(grouped)
+    whole = ("n_sarp_violations", "n_warp_violations", "hm_consistent", "hm_total", "max_scc", "n_scc")
+    return out.select("user_id", "is_sarp", "is_warp", "is_warp_la", *[F.col(c).cast("long").alias(c) for c in whole], "r_density", "pref_entropy", "choice_diversity")
+
+
+def _random_utility(freq: DataFrame) -> DataFrame:
+    counts = freq.groupBy("user_id", "menu").agg(F.map_from_entries(F.collect_list(F.struct("item", "n"))).alias("c"))
+    rows = counts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("menu", F.transform("menu", lambda i: F.element_at("c", i)).alias("counts")))).alias("obs"))
+    return score.score_stochastic(rows).drop("compute_time_us")
+
+
+def _vei(rows: DataFrame) -> DataFrame:
+    return budget.varian(rows, garp(rows))
+
+
+def _menu_list(menus: DataFrame) -> DataFrame:
+    return menus.select("user_id", "t", F.concat_ws(",", F.transform("menu", lambda i: i.cast("string"))).alias("menu"), F.col("choice").cast("long").alias("choice"))
+
+
+def _rank_pairs(menus: DataFrame) -> DataFrame:
+    """Items of each month's choices ranked by how often they are shown, and by how often chosen."""
+    s = menu.shown(menus.withColumn("user_id", F.substring("t", 1, 10)))
+    by = s.groupBy(F.col("user_id").alias("pair_id"), "item").agg(F.count(F.lit(1)).alias("shown"), F.sum((F.col("item") == F.col("choice")).cast("long")).alias("chosen"))
+    from pyspark.sql import Window
+
+    place = lambda c: F.row_number().over(Window.partitionBy("pair_id").orderBy(F.col(c).desc(), "item")) - 1
+    return ranking.compare(by.select("pair_id", "item", place("shown").alias("a"), place("chosen").alias("b")))
+
+
+QUERIES: dict[str, Query] = {
+    "price_grid": lambda spark, d: market.price_grid(market.purchases(spark, d)),
+    "budget_edges": _market(budget.edges),
+    "budget_garp": _market(garp),
+    "budget_variants": _market(_variants),
+    "budget_warp": _market(budget.warp),
+    "budget_vei": _market(_vei),
+    "budget_network": _market(budget.network),
+    "budget_weights": _market(budget.weights),
+    "budget_savings": _market(budget.savings),
+    "budget_quasilinear": _market(budget.quasilinear),
+    "budget_all_metrics": _market(_all_metrics),
+    "spending_features": _market(budget.features),
+    "law_of_demand": _market(budget.law_of_demand),
+    "additivity": _market(budget.additivity),
+    "welfare_bounds": _market(budget.welfare),
+    "cannibalization": _market(lambda r: budget.cannibalization(r, [0, 1, 2], [3, 4, 5])),
+    "panel_summary": _market(lambda r: panel.summary(garp(r))),
+    "panel_most_inconsistent": _market(lambda r: panel.most_inconsistent(garp(r), 5)),
+    "panel_periods": _market(panel.periods),
+    "panel_windows": _market(panel.windows),
+    "event_sessions": _events(lambda e: market.sessions(e).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("item").alias("n_items"))),
+    "session_menus": _events(lambda e: _menu_list(market.session_menus(e, gap_minutes=600)).withColumn("t", F.col("t").cast("string"))),
+    "windowed_menus": _events(lambda e: _menu_list(market.windowed_menus(e, hours=48)).withColumn("t", F.col("t").cast("string"))),
+    "daily_menus": _menus(_menu_list),
+    "menu_edges": _menus(lambda m: menu.edges(m).select("user_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))),
+    "menu_warp": _menus(menu.warp),
+    "menu_warp_limited_attention": _menus(menu.warp_limited_attention),
+    "menu_scores": _menus(_menu_scores),
+    "menu_network": _menus(menu.network),
+    "menu_salience": _menus(lambda m: menu.salience(m).withColumn("item", F.col("item").cast("long"))),
+    "menu_overload": _menus(menu.overload),
+    "menu_overload_slope": _menus(menu.overload_slope),
+    "menu_status_quo": _menus(menu.status_quo),
+    "menu_attention_relation": _menus(lambda m: menu.attention_relation(m).select("user_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")), FEW_ITEMS),
+    "choice_regularity": _frequencies(stochastic.regularity),
+    "choice_odds": _frequencies(lambda f: stochastic.odds(f).withColumns({"x": F.col("x").cast("long"), "y": F.col("y").cast("long")})),
+    "choice_independence": _frequencies(stochastic.independence),
+    "choice_transitivity": _frequencies(stochastic.transitivity),
+    "choice_luce": _frequencies(lambda f: stochastic.luce(f).withColumn("item", F.col("item").cast("long"))),
+    "choice_decoys": _frequencies(lambda f: stochastic.decoys(f).withColumns({"target": F.col("target").cast("long"), "decoy": F.col("decoy").cast("long")})),
+    "choice_random_utility": _frequencies(_random_utility),
+    "pairwise_wins": _menus(lambda m: ranking.wins(m).withColumns({"winner": F.col("winner").cast("long"), "loser": F.col("loser").cast("long")})),
+    "bradley_terry": _menus(lambda m: ranking.bradley_terry(ranking.wins(m))),
+    "borda_count": _menus(lambda m: ranking.borda(m).withColumn("item", F.col("item").cast("long"))),
+    "rank_agreement": _menus(_rank_pairs),
+}
+
+_B = "WITH RECURSIVE " + BUDGET_SQL
+_M = "WITH RECURSIVE " + MENU_SQL.format(items=ITEMS)
+_F = "WITH RECURSIVE " + MENU_SQL.format(items=FEW_ITEMS) + """
+, counts AS (
+  SELECT menu, choice, count(*) AS c FROM menus GROUP BY menu, choice
+), totals AS (
+  SELECT menu, count(*) AS total FROM menus GROUP BY menu
+), freq AS (
+  SELECT 'all' AS user_id, t.menu, t.item, coalesce(k.c, 0) AS n, coalesce(k.c, 0) / t.total AS p, t.total
+  FROM (SELECT menu, total, unnest(menu) AS item FROM totals) t LEFT JOIN counts k ON k.menu = t.menu AND k.choice = t.item
+)
+"""
+
+def _closure(source: str, column: str, name: str = "reach") -> str:
+    return f""", {name}_steps AS (SELECT user_id, i, j FROM {source} WHERE {column}), {name}(user_id, i, j) AS (
+  SELECT user_id, i, j FROM {name}_steps
+  UNION
+  SELECT a.user_id, a.i, b.j FROM {name} a JOIN {name}_steps b ON b.user_id = a.user_id AND b.i = a.j
+)"""
+
+
+_GARP = _B + _closure("edges", "r") + """
+, bad AS (
+  SELECT e.user_id, count(*) AS n FROM edges e JOIN reach b ON b.user_id = e.user_id AND b.i = e.j AND b.j = e.i WHERE e.p GROUP BY e.user_id
+), labels AS (
+  SELECT o.user_id, o.i, least(o.i, coalesce(min(a.j), o.i)) AS label
+  FROM obs o LEFT JOIN reach a ON a.user_id = o.user_id AND a.i = o.i AND EXISTS (SELECT 1 FROM reach b WHERE b.user_id = a.user_id AND b.i = a.j AND b.j = a.i)
+  GROUP BY o.user_id, o.i
+), parts AS (
+  SELECT user_id, label, count(*) AS n FROM labels GROUP BY user_id, label
+), scc AS (
+  SELECT user_id, max(n) AS max_scc, count(*) AS n_scc FROM parts GROUP BY user_id
+), garp AS (
+  SELECT s.user_id, coalesce(b.n, 0) = 0 AS is_garp, coalesce(b.n, 0) AS n_violations, CAST(s.max_scc AS BIGINT) AS max_scc, s.n_scc FROM scc s LEFT JOIN bad b USING (user_id)
+)
+"""
+_GOODS = """
+, goods AS (
+  SELECT o.user_id, o.i, dense_rank() OVER (ORDER BY g.item) - 1 AS g, g.price, coalesce(x.quantity, 0) AS quantity
+  FROM obs o JOIN grid g USING (t) LEFT JOIN bought x ON x.user_id = o.user_id AND x.t = o.t AND x.item = g.item
+), moves AS (
+  SELECT a.user_id, a.g, (b.price - a.price) / a.price AS dp, b.price - a.price AS dprice, b.quantity - a.quantity AS dq
+  FROM goods a JOIN goods b ON a.user_id = b.user_id AND a.g = b.g AND a.i < b.i
+)
+"""
+_MENU_REACH = ", steps AS (SELECT user_id, i, j FROM edges)" + _closure("edges", "TRUE") + """
+, users AS (SELECT DISTINCT user_id FROM menus)
+, reversals AS (
+  SELECT a.user_id, a.i AS x, a.j AS y FROM edges a JOIN edges b ON a.user_id = b.user_id AND a.i = b.j AND a.j = b.i AND a.i < a.j
+), unexcused AS (
+  SELECT * FROM reversals r WHERE NOT EXISTS (SELECT 1 FROM edges a JOIN edges b ON a.user_id = b.user_id AND a.i = b.i WHERE a.user_id = r.user_id AND a.j = r.x AND b.j = r.y)
+), network AS (
+  SELECT user_id, CASE WHEN n > 1 THEN coalesce(e, 0) / (n * (n - 1)) ELSE 0 END AS r_density, CASE WHEN e > 0 THEN log2(e) - s / e ELSE 0 END AS pref_entropy, choice_diversity
+  FROM (SELECT user_id, count(*) AS n FROM items GROUP BY user_id)
+  JOIN (SELECT user_id, count(DISTINCT choice) / count(*) AS choice_diversity FROM menus GROUP BY user_id) USING (user_id)
+  LEFT JOIN (SELECT user_id, sum(d) AS e, sum(d * log2(d)) AS s FROM (SELECT user_id, i, count(*) AS d FROM edges GROUP BY user_id, i) GROUP BY user_id) USING (user_id)
+)
+"""
+_PAIRS = """
+, pairwise AS (
+  SELECT a.user_id, a.item AS x, b.item AS y, sum(a.n) / (sum(a.n) + sum(b.n)) AS p
+  FROM freq a JOIN freq b ON a.user_id = b.user_id AND a.menu = b.menu AND a.item <> b.item GROUP BY a.user_id, a.item, b.item HAVING sum(a.n) + sum(b.n) > 0
+), odds AS (
+  SELECT a.user_id, a.item AS x, b.item AS y, count(*) AS n_menus, avg(a.p / b.p) AS mean_odds, stddev_pop(a.p / b.p) / avg(a.p / b.p) AS cv
+  FROM freq a JOIN freq b ON a.user_id = b.user_id AND a.menu = b.menu AND a.item < b.item WHERE a.n > 0 AND b.n > 0 GROUP BY a.user_id, a.item, b.item
+)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "price_grid": _B + "SELECT t, item, price FROM grid",
+    "budget_edges": _B + "SELECT user_id, i, j, own, e, r, p FROM edges",
+    "budget_garp": _GARP + "SELECT * FROM garp",
+    "budget_variants": _B + _closure("edges", "r") + _closure("edges", "p", "through") + """
+, duals AS (
+  SELECT c.user_id, c.i, c.j, c.e <= o.e + 1e-10 AS r, c.e < o.e - 1e-10 AS p FROM cost c JOIN cost o ON o.user_id = c.user_id AND o.i = c.j AND o.j = c.j WHERE c.i <> c.j
+)""" + _closure("duals", "r", "dual_reach") + """
+SELECT s.user_id,
+  (SELECT count(*) FROM reach a JOIN reach b ON a.user_id = b.user_id AND a.i = b.j AND a.j = b.i WHERE a.user_id = s.user_id AND a.i < a.j) AS n_sarp,
+  (SELECT count(*) FROM through a JOIN through b ON a.user_id = b.user_id AND a.i = b.j AND a.j = b.i WHERE a.user_id = s.user_id AND a.i <> a.j) AS n_acyclical_p,
+  (SELECT count(*) FROM duals d JOIN dual_reach b ON b.user_id = d.user_id AND b.i = d.j AND b.j = d.i WHERE d.user_id = s.user_id AND d.p) AS n_gapp
+FROM sizes s""",
+    "budget_warp": _B + """
+SELECT s.user_id, coalesce(v.n, 0) AS n_violations, coalesce(v.n, 0) = 0 AS is_warp
+FROM sizes s LEFT JOIN (SELECT a.user_id, count(*) AS n FROM edges a JOIN edges b ON a.user_id = b.user_id AND a.i = b.j AND a.j = b.i AND a.i < a.j WHERE (a.r AND b.p) OR (a.p AND b.r) GROUP BY a.user_id) v USING (user_id)""",
+    "budget_vei": _GARP + """
+, level AS (
+  SELECT o.user_id, o.i, least(1.0, greatest(0.0, coalesce(max(e.e / e.own) FILTER (e.own >= e.e - 1e-8), 0))) AS x FROM obs o LEFT JOIN edges e ON e.user_id = o.user_id AND e.i = o.i GROUP BY o.user_id, o.i
+)
+SELECT g.user_id, round(CASE WHEN any_value(is_garp) THEN 1.0 ELSE avg(x) END, 6) AS vei_mean, round(CASE WHEN any_value(is_garp) THEN 1.0 ELSE min(x) END, 6) AS vei_min FROM garp g JOIN level USING (user_id) GROUP BY g.user_id""",
+    "budget_network": _B + """
+, deg AS (
+  SELECT o.user_id, o.i, count(*) FILTER (e.r AND e.i = o.i) AS d_out, count(*) FILTER (e.r) AS d FROM obs o LEFT JOIN edges e ON e.user_id = o.user_id AND (e.i = o.i OR e.j = o.i) GROUP BY o.user_id, o.i
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d, i) AS k FROM deg
+)
+SELECT user_id, round(CASE WHEN count(*) > 1 THEN sum(d_out) / (count(*) * (count(*) - 1)) ELSE 0 END, 6) AS r_density, round(coalesce(stddev_pop(d_out), 0), 6) AS r_out_degree_std,
+  round(CASE WHEN sum(d) > 0 THEN (2 * sum(k * d) - (count(*) + 1) * sum(d)) / (count(*) * sum(d)) ELSE 0 END, 6) AS degree_gini
+FROM ranked GROUP BY user_id""",
+    "budget_weights": _B + """
+, w AS (SELECT user_id, ln(own) - ln(e) AS w FROM edges WHERE r AND own > 1e-10 AND e > 1e-10),
+m AS (SELECT user_id, avg(w) AS m, avg(w * w) AS m2, avg(w * w * w) AS m3 FROM w GROUP BY user_id),
+v AS (SELECT *, sqrt(greatest(0, m2 - m * m)) AS sd FROM m)
+SELECT s.user_id, round(coalesce(m, 0), 6) AS ew_mean, round(coalesce(sd, 0), 6) AS ew_std, round(coalesce(CASE WHEN sd > 1e-12 THEN (m3 - 3 * m * m2 + 2 * m * m * m) / (sd * sd * sd) ELSE 0 END, 0), 6) AS ew_skew FROM sizes s LEFT JOIN v USING (user_id)""",
+    "budget_savings": _B + "SELECT s.user_id, round(coalesce(max((own - e) / own) FILTER (r), 0), 6) AS max_saving FROM sizes s LEFT JOIN edges USING (user_id) GROUP BY s.user_id",
+    "budget_quasilinear": _B + """
+, gain AS (SELECT user_id, i, j, e - own AS g FROM edges),
+two AS (SELECT a.user_id, count(*) AS n FROM gain a JOIN gain b ON a.user_id = b.user_id AND a.j = b.i AND b.j = a.i AND a.i < a.j WHERE a.g + b.g < -1e-10 GROUP BY a.user_id),
+three AS (SELECT a.user_id, count(*) AS n FROM gain a JOIN gain b ON a.user_id = b.user_id AND a.j = b.i AND b.j > a.i AND a.i < a.j JOIN gain c ON c.user_id = a.user_id AND c.i = b.j AND c.j = a.i WHERE a.g + b.g + c.g < -1e-10 GROUP BY a.user_id)
+SELECT s.user_id, coalesce(two.n, 0) AS two_cycles, coalesce(three.n, 0) AS three_cycles, coalesce(two.n, 0) + coalesce(three.n, 0) = 0 AS is_quasilinear FROM sizes s LEFT JOIN two USING (user_id) LEFT JOIN three USING (user_id)""",
+    "spending_features": _B + _GOODS + """
+, own AS (SELECT user_id, i, sum(price * quantity) AS own, sum((price * quantity) ** 2) AS squares, CAST(count(*) FILTER (quantity > 0) AS DOUBLE) AS n FROM goods GROUP BY user_id, i)
+SELECT user_id, count(*) AS n_obs, round(sum(own), 6) AS total_spend, round(avg(own), 6) AS mean_spend, round(stddev_pop(own), 6) AS std_spend, round(max(own), 6) AS max_spend,
+  round(CASE WHEN count(*) > 1 THEN regr_slope(own, i) ELSE 0 END, 6) AS spend_slope, round(avg(squares / (own * own)), 6) AS mean_hhi, round(avg(n), 6) AS mean_goods FROM own GROUP BY user_id""",
+    "law_of_demand": _B + _GOODS + "SELECT user_id, g, count(*) FILTER (dp * dq < 0) AS obeying, count(*) FILTER (dp * dq > 0) AS violating FROM moves WHERE abs(dp) >= 0.05 GROUP BY user_id, g",
+    "additivity": _B + _GOODS + "SELECT s.user_id, count(*) FILTER (dprice * dq > 1e-6) AS n_violations, count(*) FILTER (dprice * dq > 1e-6) = 0 AS is_additive FROM sizes s LEFT JOIN moves USING (user_id) GROUP BY s.user_id",
+    "welfare_bounds": _B + _GOODS + """
+, halves AS (SELECT user_id, g, i < n // 2 AS base, avg(price) AS p, avg(quantity) AS q FROM goods JOIN sizes USING (user_id) WHERE n >= 2 GROUP BY user_id, g, i < n // 2),
+both_ AS (SELECT a.user_id, sum(b.p * a.q) - sum(b.p * b.q) AS cv, sum(a.p * b.q) - sum(a.p * a.q) AS ev, -sum((b.p - a.p) * a.q) AS surplus FROM halves a JOIN halves b ON a.user_id = b.user_id AND a.g = b.g AND a.base AND NOT b.base GROUP BY a.user_id)
+SELECT user_id, round(cv, 6) AS cv, round(ev, 6) AS ev, round(surplus, 6) AS surplus, round(abs(cv - ev) / 2, 6) AS deadweight_loss FROM both_""",
+    "cannibalization": _B + _GOODS + """
+, shares AS (SELECT user_id, i, sum(price * quantity) FILTER (g < 3) / sum(price * quantity) AS a, sum(price * quantity) FILTER (g >= 3) / sum(price * quantity) AS b FROM goods GROUP BY user_id, i HAVING sum(price * quantity) > 0),
+d AS (SELECT user_id, a - lag(a) OVER w AS da, b - lag(b) OVER w AS db FROM shares WINDOW w AS (PARTITION BY user_id ORDER BY i))
+SELECT user_id, count(*) AS n_changes, round(CASE WHEN count(*) > 1 THEN corr(da, db) END, 6) AS correlation FROM d WHERE da IS NOT NULL GROUP BY user_id""",
+    "panel_summary": _GARP + """
+SELECT count(*) AS n_users, round(avg(CAST(is_garp AS INTEGER)), 6) AS share_consistent, round(avg(n_violations), 6) AS mean_violations, round(stddev_pop(n_violations), 6) AS std_violations,
+  round(quantile_cont(n_violations, 0.25), 6) AS q25_violations, round(median(n_violations), 6) AS median_violations, round(quantile_cont(n_violations, 0.75), 6) AS q75_violations, max(n_violations) AS max_violations, max(max_scc) AS max_scc FROM garp""",
+    "panel_most_inconsistent": _GARP + "SELECT user_id, n_violations, max_scc FROM garp ORDER BY n_violations DESC, max_scc DESC, user_id LIMIT 5",
+    "panel_periods": _B + "SELECT substr(o.t, 1, 4) AS period, count(*) AS n_obs, count(DISTINCT o.user_id) AS n_users, round(avg(c.e), 6) AS mean_spend, round(median(c.e), 6) AS median_spend FROM obs o JOIN cost c ON c.user_id = o.user_id AND c.i = o.i AND c.j = o.i GROUP BY substr(o.t, 1, 4)",
+    "panel_windows": _B + "SELECT o.user_id, o.i // 4 AS w, count(*) AS n_obs, round(sum(c.e), 6) AS spend, min(o.t) AS first_t, max(o.t) AS last_t FROM obs o JOIN cost c ON c.user_id = o.user_id AND c.i = o.i AND c.j = o.i GROUP BY o.user_id, o.i // 4",
+    "event_sessions": _M + """
+, marked AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000, FALSE) AS late FROM seen WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+numbered AS (SELECT *, CAST(sum(CAST(late AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM marked)
+SELECT user_id, session, count(*) AS n_events, count(DISTINCT item) AS n_items FROM numbered GROUP BY user_id, session""",
+    "session_menus": _M + """
+, marked AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 36000000000, FALSE) AS late FROM seen WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+numbered AS (SELECT *, CAST(sum(CAST(late AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM marked)
+SELECT user_id, CAST(session AS VARCHAR) AS t, array_to_string(list_sort(list_distinct(list(item))), ',') AS menu, CAST(max(item) FILTER (event_type = 'purchase') AS BIGINT) AS choice
+FROM numbered GROUP BY user_id, session HAVING count(item) FILTER (event_type = 'purchase') = 1 AND count(DISTINCT item) BETWEEN 2 AND 50""",
+    "windowed_menus": _M + """
+, joined AS (
+  SELECT b.user_id, b.event_id, b.item AS choice, list(v.item) FILTER (v.item IS NOT NULL) AS viewed
+  FROM seen b LEFT JOIN seen v ON v.user_id = b.user_id AND v.event_type IN ('view', 'click') AND epoch_us(v.ts) BETWEEN epoch_us(b.ts) - 172800000000 AND epoch_us(b.ts) - 1
+  WHERE b.event_type = 'purchase' GROUP BY b.user_id, b.event_id, b.item
+), unions AS (SELECT user_id, event_id, choice, list_sort(list_distinct(list_append(coalesce(viewed, []), choice))) AS menu FROM joined)
+SELECT user_id, CAST(event_id AS VARCHAR) AS t, array_to_string(menu, ',') AS menu, CAST(choice AS BIGINT) AS choice FROM unions WHERE len(menu) >= 2""",
+    "daily_menus": _M + "SELECT user_id, t, array_to_string(menu, ',') AS menu, CAST(choice AS BIGINT) AS choice FROM menus",
+    "menu_edges": _M + "SELECT user_id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM edges",
+    "menu_warp": _M + _MENU_REACH + "SELECT u.user_id, coalesce(n, 0) AS n_warp_violations, coalesce(n, 0) = 0 AS is_warp FROM users u LEFT JOIN (SELECT user_id, count(*) AS n FROM reversals GROUP BY user_id) USING (user_id)",
+    "menu_warp_limited_attention": _M + _MENU_REACH + "SELECT u.user_id, coalesce(n, 0) AS n_unexcused, coalesce(n, 0) = 0 AS is_warp_la FROM users u LEFT JOIN (SELECT user_id, count(*) AS n FROM unexcused GROUP BY user_id) USING (user_id)",
+    "menu_scores": _M + _MENU_REACH + """
+, mutual AS (SELECT a.user_id, a.i, a.j FROM reach a JOIN reach b ON a.user_id = b.user_id AND a.i = b.j AND a.j = b.i),
+labels AS (SELECT x.user_id, x.item, least(x.item, coalesce(min(m.j), x.item)) AS label FROM items x LEFT JOIN mutual m ON m.user_id = x.user_id AND m.i = x.item GROUP BY x.user_id, x.item),
+parts AS (SELECT user_id, label, count(*) AS n FROM labels GROUP BY user_id, label),
+scc AS (SELECT user_id, max(n) AS max_scc, count(*) AS n_scc, sum(n) AS hm_total, sum(n) - sum(n // 2) AS hm_consistent FROM parts GROUP BY user_id),
+sarp AS (SELECT user_id, count(*) AS n FROM mutual WHERE i < j GROUP BY user_id), warp AS (SELECT user_id, count(*) AS n FROM reversals GROUP BY user_id), la AS (SELECT user_id, count(*) AS n FROM unexcused GROUP BY user_id)
+SELECT s.user_id, sarp.n IS NULL AS is_sarp, warp.n IS NULL AS is_warp, la.n IS NULL AS is_warp_la, coalesce(sarp.n, 0) AS n_sarp_violations, coalesce(warp.n, 0) AS n_warp_violations, CAST(hm_consistent AS BIGINT) AS hm_consistent, CAST(hm_total AS BIGINT) AS hm_total,
+  CAST(max_scc AS BIGINT) AS max_scc, n_scc, round(r_density, 6) AS r_density, round(pref_entropy, 6) + 0.0 AS pref_entropy, round(choice_diversity, 6) AS choice_diversity
+FROM scc s JOIN network USING (user_id) LEFT JOIN sarp USING (user_id) LEFT JOIN warp USING (user_id) LEFT JOIN la USING (user_id)""",
+    "menu_network": _M + _MENU_REACH + "SELECT user_id, round(r_density, 6) AS r_density, round(pref_entropy, 6) AS pref_entropy, round(choice_diversity, 6) AS choice_diversity FROM network",
+    "menu_salience": _M + "SELECT CAST(item AS BIGINT) AS item, count(*) AS shown, count(*) FILTER (item = choice) AS chosen, round(count(*) FILTER (item = choice) / count(*), 6) AS salience FROM shown GROUP BY item",
+    "menu_overload": _M + """
+, top AS (SELECT user_id, arg_max(choice, n * 1000 - choice) AS favourite FROM (SELECT user_id, choice, count(*) AS n FROM menus GROUP BY user_id, choice) GROUP BY user_id)
+SELECT len(menu) AS size, count(*) AS n, round(avg(CAST(choice = favourite AS INTEGER)), 6) AS quality, round(ln(len(menu) + 1.0), 6) AS log_size FROM menus JOIN top USING (user_id) GROUP BY len(menu)""",
+    "menu_overload_slope": _M + """
+, top AS (SELECT user_id, arg_max(choice, n * 1000 - choice) AS favourite FROM (SELECT user_id, choice, count(*) AS n FROM menus GROUP BY user_id, choice) GROUP BY user_id),
+by_size AS (SELECT avg(CAST(choice = favourite AS INTEGER)) AS quality, ln(len(menu) + 1.0) AS log_size FROM menus JOIN top USING (user_id) GROUP BY len(menu))
+SELECT round(regr_slope(quality, log_size), 6) AS slope, round(regr_r2(quality, log_size), 6) AS r2 FROM by_size""",
+    "menu_status_quo": _M + """
+, c AS (SELECT user_id, CAST(choice = menu[1] AS INTEGER) AS d, 1.0 / len(menu) AS p FROM (SELECT user_id, choice, menu FROM menus)),
+s AS (SELECT user_id, count(*) AS n, sum(d) AS taken, sum(CAST(p AS DOUBLE)) AS expected, sum(CAST(p AS DOUBLE) * (1 - CAST(p AS DOUBLE))) AS variance FROM c GROUP BY user_id)
+SELECT user_id, n, round(taken / n, 6) AS default_rate, round(expected / n, 6) AS chance_rate, round(CASE WHEN variance > 0 THEN (taken - expected) / sqrt(variance) ELSE 0 END, 6) AS z FROM s""",
+    "menu_attention_relation": "WITH RECURSIVE " + MENU_SQL.format(items=FEW_ITEMS) + """
+, single AS (SELECT user_id, menu, arg_max(choice, t) AS choice FROM menus GROUP BY user_id, menu)
+SELECT DISTINCT a.user_id, CAST(a.choice AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM (SELECT user_id, menu, choice, unnest(menu) AS y FROM single) a
+JOIN single b ON a.user_id = b.user_id AND list_filter(a.menu, lambda z: z <> a.y) = b.menu WHERE a.y <> a.choice AND b.choice <> a.choice""",
+    "choice_regularity": _F + """
+, pairs AS (SELECT a.user_id, b.p - a.p AS over FROM freq a JOIN freq b ON a.item = b.item AND len(a.menu) < len(b.menu) AND list_has_all(b.menu, a.menu))
+SELECT user_id, count(*) AS n_testable, count(*) FILTER (over > 0.01) AS n_violations, round(max(greatest(0, over)), 6) AS worst, count(*) FILTER (over > 0.01) = 0 AS is_regular FROM pairs GROUP BY user_id""",
+    "choice_odds": _F + _PAIRS + "SELECT user_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, n_menus, round(mean_odds, 6) AS mean_odds, round(cv, 6) AS cv FROM odds",
+    "choice_independence": _F + _PAIRS + "SELECT user_id, count(*) FILTER (n_menus > 1 AND cv > 0.1) AS n_violations, count(*) AS n_pairs, count(*) FILTER (n_menus > 1 AND cv > 0.1) = 0 AS is_iia FROM odds GROUP BY user_id",
+    "choice_transitivity": _F + _PAIRS + """
+, path AS (SELECT a.user_id, a.p AS pxy, b.p AS pyz, coalesce(c.p, 0.5) AS pxz FROM pairwise a JOIN pairwise b ON a.user_id = b.user_id AND a.y = b.x AND a.x <> b.y LEFT JOIN pairwise c ON c.user_id = a.user_id AND c.x = a.x AND c.y = b.y WHERE a.p > 0.51 AND b.p > 0.51)
+SELECT user_id, count(*) AS n_triples, count(*) FILTER (pxz < 0.49) AS weak, count(*) FILTER (pxz < least(pxy, pyz) - 0.01) AS moderate, count(*) FILTER (pxz < greatest(pxy, pyz) - 0.01) AS strong FROM path GROUP BY user_id""",
+    "choice_luce": _F + """
+, s AS (SELECT user_id, item, sum(n) / sum(total) AS share FROM freq GROUP BY user_id, item)
+SELECT user_id, CAST(item AS BIGINT) AS item, round(share, 6) AS share, round(ln(greatest(share, 1e-10)) - min(ln(greatest(share, 1e-10))) OVER (PARTITION BY user_id), 6) AS utility FROM s""",
+    "choice_decoys": _F + """
+SELECT a.user_id, CAST(a.item AS BIGINT) AS target, CAST(list_filter(b.menu, lambda z: NOT list_contains(a.menu, z))[1] AS BIGINT) AS decoy, round(b.p - a.p, 6) AS gain
+FROM freq a JOIN freq b ON a.item = b.item AND len(a.menu) = 2 AND len(b.menu) = 3 AND list_has_all(b.menu, a.menu) WHERE b.p - a.p > 0.05""",
+    "pairwise_wins": _M + "SELECT CAST(choice AS BIGINT) AS winner, CAST(item AS BIGINT) AS loser, count(*) AS n FROM shown WHERE item <> choice GROUP BY choice, item",
+    "borda_count": _M + """
+, points AS (SELECT user_id, choice AS item, sum(len(menu) - 1) AS points FROM menus GROUP BY user_id, choice),
+ranked AS (SELECT item, row_number() OVER (PARTITION BY user_id ORDER BY points DESC, item) - 1 AS place FROM points)
+SELECT CAST(item AS BIGINT) AS item, CAST(sum(place) AS BIGINT) AS place_sum, count(*) AS n_rankings FROM ranked GROUP BY item""",
+    "rank_agreement": _M + """
+, by_day AS (SELECT t AS pair_id, item, count(*) AS n_shown, count(*) FILTER (item = choice) AS n_chosen FROM shown GROUP BY t, item),
+places AS (SELECT pair_id, item, row_number() OVER (PARTITION BY pair_id ORDER BY n_shown DESC, item) - 1 AS a, row_number() OVER (PARTITION BY pair_id ORDER BY n_chosen DESC, item) - 1 AS b FROM by_day),
+tau AS (SELECT x.pair_id, avg(sign((x.a - y.a) * (x.b - y.b))) AS tau FROM places x JOIN places y ON x.pair_id = y.pair_id AND x.item < y.item GROUP BY x.pair_id),
+foot AS (SELECT pair_id, count(*) AS n, sum(abs(a - b)) AS d FROM places GROUP BY pair_id)
+SELECT pair_id, n, round(coalesce(tau, 1), 6) AS tau, round(CASE WHEN n * n // 2 > 0 THEN d / (n * n // 2) ELSE 0 END, 6) AS footrule FROM foot LEFT JOIN tau USING (pair_id)""",
+}
