@@ -143,6 +143,24 @@ def law_of_demand(rows: DataFrame, threshold: float = 0.05) -> DataFrame:
     return moved.groupBy("user_id", "g").agg(F.sum((sign < 0).cast("long")).alias("obeying"), F.sum((sign > 0).cast("long")).alias("violating"))
 
 
+def substitution(rows: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """For goods g and h: how often quantity g moves with price h (substitutes) or against it (complements).
+
+    Counted over pairs of observations in which price h changes by the threshold at least,
+    and every other price by half of that change at most.
+    """
+    x = observations(rows).select("user_id", "i", "p", "q")
+    pairs = x.alias("a").join(x.alias("b"), F.expr("a.user_id = b.user_id AND a.i < b.i"))
+    dp = F.zip_with(F.col("a.p"), F.col("b.p"), lambda s, t: (t - s) / s)
+    dq = F.zip_with(F.col("a.q"), F.col("b.q"), lambda s, t: t - s)
+    rows = pairs.select(dp.alias("dp"), dq.alias("dq")).withColumn("size", F.sort_array(F.transform("dp", F.abs), asc=False))
+    clean = rows.filter((F.get("size", F.lit(0)) >= threshold) & (F.coalesce(F.get("size", F.lit(1)), F.lit(0.0)) <= F.get("size", F.lit(0)) / 2))
+    moved = clean.withColumn("h", F.array_position(F.transform("dp", F.abs), F.get("size", F.lit(0))) - 1)
+    goods_ = moved.select("h", F.get("dp", F.col("h").cast("int")).alias("dh"), F.posexplode("dq").alias("g", "d")).filter("g <> h")
+    sign = F.signum("d") * F.signum("dh")
+    return goods_.groupBy(F.col("g").cast("long").alias("g"), F.col("h").cast("long").alias("h")).agg(F.sum((sign > 0).cast("long")).alias("substitutes"), F.sum((sign < 0).cast("long")).alias("complements"))
+
+
 def additivity(rows: DataFrame, tol: float = 1e-6) -> DataFrame:
     """Pairs of observations in which a good's price and quantity rise together, by user: none in additive demand."""
     x = goods(rows)

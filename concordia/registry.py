@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.operators import budget, menu, panel, ranking, stochastic
-from concordia.plans import score
+from concordia.operators import budget, dated, lotteries, menu, panel, production, ranking, stochastic
+from concordia.plans import inference, score, structure
 from concordia.schema import METRICS
 from concordia.sources import market
 from concordia.sources.market import BUDGET_SQL, MENU_SQL
@@ -56,9 +56,12 @@ def _variants(rows: DataFrame) -> DataFrame:
     return score.score_variants(rows).select("user_id", *[F.col(c).cast("long").alias(c) for c in ("n_sarp", "n_acyclical_p", "n_gapp")])
 
 
+def _obs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "menu", "choice"))).alias("obs"))
+
+
 def _menu_scores(rows: DataFrame) -> DataFrame:
-    grouped = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "menu", "choice"))).alias("obs"))
-    out = score.score_menu(grouped)
+    out = score.score_menu(_obs(rows))
     whole = ("n_sarp_violations", "n_warp_violations", "hm_consistent", "hm_total", "max_scc", "n_scc")
     return out.select("user_id", "is_sarp", "is_warp", "is_warp_la", *[F.col(c).cast("long").alias(c) for c in whole], "r_density", "pref_entropy", "choice_diversity")
 
@@ -135,6 +138,39 @@ QUERIES: dict[str, Query] = {
     "rank_agreement": _menus(_rank_pairs),
 }
 
+QUERIES |= {
+    "budget_scores_audit": _market(lambda r: panel.audit(score.score_budget(r, ("garp", "ccei", "mpi")))),
+    "budget_power": _market(lambda r: inference.power(r, 50)),
+    "budget_selten": _market(lambda r: inference.selten(r, 50)),
+    "budget_optimal_efficiency": _market(lambda r: inference.optimal_efficiency(r, 50)),
+    "budget_bootstrap": _market(lambda r: inference.bootstrap(r, 50)),
+    "budget_holdout": _market(lambda r: inference.holdout(r, splits=2)),
+    "budget_graph": _market(structure.graph_edges),
+    "budget_cycles": _market(structure.cycles),
+    "budget_indices": _market(structure.indices),
+    "budget_contributions": _market(structure.contributions),
+    "budget_centrality": _market(structure.centrality),
+    "budget_utilities": _market(structure.utilities),
+    "budget_slutsky": _market(structure.slutsky),
+    "budget_integrability": _market(structure.integrability),
+    "budget_separability": _market(lambda r: structure.separability(r, [0, 1, 2], [3, 4, 5])),
+    "budget_partition": _market(structure.separable_partition),
+    "budget_cross_effects": _market(structure.cross_effects),
+    "budget_characteristics": _market(lambda r: structure.characteristics(r, [[1, 0], [1, 0.5], [0.5, 1], [0, 1], [1, 1], [0.2, 0.8]])),
+    "welfare_exact": _market(structure.welfare),
+    "substitution": _market(budget.substitution),
+    "discounting": lambda spark, d: rounded(dated.exponential(market.dated_choices(spark, d))),
+    "present_bias_factor": lambda spark, d: rounded(dated.quasi_hyperbolic(market.dated_choices(spark, d))),
+    "present_bias": lambda spark, d: rounded(dated.present_bias(market.dated_choices(spark, d))),
+    "interest_bounds": lambda spark, d: rounded(dated.interest(market.dated_choices(spark, d))),
+    "profit_maximisation": lambda spark, d: rounded(production.maximisation(market.firms(spark, d))),
+    "cost_minimisation": lambda spark, d: rounded(production.cost_minimisation(market.firms(spark, d))),
+    "returns_to_scale": lambda spark, d: rounded(production.returns_to_scale(market.firms(spark, d))),
+    "risk_dominance": lambda spark, d: rounded(lotteries.dominance(market.lotteries(spark, d))),
+    "risk_profiles": lambda spark, d: rounded(lotteries.profiles(market.lotteries(spark, d))),
+    "ideal_points": lambda spark, d: structure.ideal_points(_obs(market.daily_menus(market.events(spark, d, ITEMS))), market.item_features(spark, d)).drop("point"),
+}
+
 _B = "WITH RECURSIVE " + BUDGET_SQL
 _M = "WITH RECURSIVE " + MENU_SQL.format(items=ITEMS)
 _F = "WITH RECURSIVE " + MENU_SQL.format(items=FEW_ITEMS) + """
@@ -336,3 +372,58 @@ tau AS (SELECT x.pair_id, avg(sign((x.a - y.a) * (x.b - y.b))) AS tau FROM place
 foot AS (SELECT pair_id, count(*) AS n, sum(abs(a - b)) AS d FROM places GROUP BY pair_id)
 SELECT pair_id, n, round(coalesce(tau, 1), 6) AS tau, round(CASE WHEN n * n // 2 > 0 THEN d / (n * n // 2) ELSE 0 END, 6) AS footrule FROM foot LEFT JOIN tau USING (pair_id)""",
 }
+
+_DATED = """
+WITH o AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS user_id, o_totalprice AS amount0, lead(o_totalprice) OVER w AS amount1, date_diff('day', o_orderdate::DATE, (lead(o_orderdate) OVER w)::DATE) AS ahead,
+         (row_number() OVER w % 2) * 30 AS date0, o_orderpriority[1] < '3' AS later
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+), c AS (
+  SELECT *, date0 + ahead AS date1 FROM o WHERE ahead IS NOT NULL
+), bounds AS (
+  SELECT user_id, count(*) AS n_choices, greatest(0.0, coalesce(max(implied) FILTER (later), 0.0)) AS delta_low, least(1.0, coalesce(min(implied) FILTER (NOT later), 1.0)) AS delta_high
+  FROM (SELECT *, pow(amount0 / amount1, 1.0 / ahead) AS implied FROM c WHERE ahead > 0 AND amount0 > 0 AND amount1 > 0) GROUP BY user_id
+)
+"""
+_FIRMS = """
+WITH firms AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS user_id, year(l_shipdate) || '-' || quarter(l_shipdate) AS t, floor(sum(l_extendedprice) / sum(l_quantity) * 100 + 0.5) AS p0, floor((1 + avg(l_tax)) * 100 + 0.5) AS p1, sum(l_quantity) AS q0, CAST(count(*) AS DOUBLE) AS q1,
+    floor(coalesce(sum(l_extendedprice) FILTER (l_returnflag <> 'R'), 0) * 100 + 0.5) AS o0, floor(coalesce(sum(l_extendedprice) FILTER (l_returnflag = 'R'), 0) * 100 + 0.5) AS o1
+  FROM lineitem GROUP BY l_suppkey, year(l_shipdate) || '-' || quarter(l_shipdate)
+), pairs AS (
+  SELECT a.user_id, a.o0 + 0.5 * a.o1 - a.p0 * a.q0 - a.p1 * a.q1 AS own, b.o0 + 0.5 * b.o1 - a.p0 * b.q0 - a.p1 * b.q1 AS e, b.o0 >= a.o0 - 1e-10 AND b.o1 >= a.o1 - 1e-10 AS enough,
+    a.p0 * b.q0 + a.p1 * b.q1 < a.p0 * a.q0 + a.p1 * a.q1 - 1e-10 AS cheaper
+  FROM firms a JOIN firms b ON a.user_id = b.user_id AND a.t <> b.t
+), users AS (SELECT DISTINCT user_id FROM firms)
+"""
+ORACLE_SQL |= {
+    "substitution": _B + _GOODS + """
+, pairs AS (
+  SELECT a.user_id, a.i, b.i AS k, a.g, (b.price - a.price) / a.price AS dp, b.quantity - a.quantity AS dq FROM goods a JOIN goods b ON a.user_id = b.user_id AND a.g = b.g AND a.i < b.i
+), clean AS (
+  SELECT user_id, i, k, arg_max(g, abs(dp)) AS h, arg_max(dp, abs(dp)) AS dh FROM pairs GROUP BY user_id, i, k HAVING max(abs(dp)) >= 0.05 AND list_sort(list(abs(dp)), 'DESC')[2] <= max(abs(dp)) / 2
+)
+SELECT p.g, CAST(c.h AS BIGINT) AS h, count(*) FILTER (p.dq * c.dh > 0) AS substitutes, count(*) FILTER (p.dq * c.dh < 0) AS complements
+FROM clean c JOIN pairs p ON p.user_id = c.user_id AND p.i = c.i AND p.k = c.k AND p.g <> c.h GROUP BY p.g, c.h""",
+    "discounting": _DATED + "SELECT user_id, n_choices, round(delta_low, 6) AS delta_low, round(delta_high, 6) AS delta_high, delta_low <= delta_high + 1e-8 AS is_consistent FROM bounds",
+    "present_bias_factor": _DATED + """
+, by_beta AS (
+  SELECT user_id, beta, greatest(0.0, coalesce(max(implied) FILTER (later), 0.0)) AS low, least(1.0, coalesce(min(implied) FILTER (NOT later), 1.0)) AS high
+  FROM (SELECT c.*, beta, pow(amount0 / (CASE WHEN date0 = 0 THEN beta ELSE 1.0 END * amount1), 1.0 / ahead) AS implied FROM c, (SELECT (range + 1) / 20 AS beta FROM range(20)) WHERE ahead > 0 AND amount0 > 0 AND amount1 > 0) GROUP BY user_id, beta
+)
+SELECT user_id, round(max(beta) FILTER (low <= high + 1e-8), 6) AS beta, count(*) FILTER (low <= high + 1e-8) AS n_fitting FROM by_beta GROUP BY user_id""",
+    "present_bias": _DATED + """
+, p AS (SELECT user_id, avg(CAST(later AS INTEGER)) FILTER (date0 = 0) AS a, avg(CAST(later AS INTEGER)) FILTER (date0 <> 0) AS b FROM c GROUP BY user_id)
+SELECT user_id, round(a, 6) AS patience_now, round(b, 6) AS patience_future, coalesce(b - a > 0.1, FALSE) AS is_present_biased FROM p""",
+    "interest_bounds": _DATED + "SELECT user_id, round(CASE WHEN delta_high > 0 THEN 1 / delta_high - 1 END, 6) AS rate_low, round(CASE WHEN delta_low > 0 THEN 1 / delta_low - 1 END, 6) AS rate_high FROM bounds",
+    "profit_maximisation": _FIRMS + "SELECT u.user_id, count(*) FILTER (e > own + 1e-10) AS n_violations, round(coalesce(max(greatest(0, e - own)), 0), 6) AS largest_loss FROM users u LEFT JOIN pairs USING (user_id) GROUP BY u.user_id",
+    "cost_minimisation": _FIRMS + "SELECT u.user_id, count(*) FILTER (enough AND cheaper) AS n_violations FROM users u LEFT JOIN pairs USING (user_id) GROUP BY u.user_id",
+    "returns_to_scale": _FIRMS + """
+, s AS (SELECT user_id, CASE WHEN count(*) > 1 THEN regr_slope(ln(o0 + 0.5 * o1), ln(p0 * q0 + p1 * q1)) END AS slope FROM firms GROUP BY user_id)
+SELECT user_id, round(slope, 6) AS slope, CASE WHEN slope > 1.05 THEN 'increasing' WHEN slope < 0.95 THEN 'decreasing' ELSE 'constant' END AS returns FROM s""",
+    "risk_dominance": """
+WITH l AS (SELECT l_orderkey, min(l_extendedprice) AS low, max(l_extendedprice) AS high, avg(l_extendedprice) AS safe, least(1.0, 0.4 + avg(l_discount) * 2) AS p FROM lineitem GROUP BY l_orderkey),
+c AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, low, high, safe, low * (1 - p) + high * p AS expected, o_orderpriority[1] >= '3' AS risky FROM l JOIN orders ON l_orderkey = o_orderkey)
+SELECT user_id, count(*) AS n_choices, count(*) FILTER ((risky AND safe > high + 1e-8) OR (NOT risky AND safe < low - 1e-8)) AS n_dominated, round(avg(CAST((expected > safe) = risky AS INTEGER)), 6) AS share_expected_value,
+  count(*) FILTER ((risky AND safe > high + 1e-8) OR (NOT risky AND safe < low - 1e-8)) = 0 AS is_consistent FROM c GROUP BY user_id""",
+}

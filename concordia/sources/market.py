@@ -103,6 +103,47 @@ def windowed_menus(seen: DataFrame, hours: int = 6, smallest: int = 2) -> DataFr
     return rows.filter(F.size("menu") >= smallest)
 
 
+
+def dated_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between an order's amount and the customer's next one's, later by the days between; urgent orders take the later one."""
+    by_time = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    ahead = F.datediff(F.lead("o_orderdate").over(by_time), "o_orderdate")
+    rows = o.select(
+        F.col("o_custkey").cast("string").alias("user_id"), F.col("o_totalprice").alias("amount0"), F.lead("o_totalprice").over(by_time).alias("amount1"), ahead.alias("ahead"),
+        ((F.row_number().over(by_time) % 2) * 30).cast("long").alias("date0"), (F.substring("o_orderpriority", 1, 1) < "3").cast("int").alias("chosen"),
+    )
+    return rows.filter("ahead IS NOT NULL").select("user_id", "amount0", "date0", "amount1", (F.col("date0") + F.col("ahead")).alias("date1"), "chosen")
+
+
+def firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by quarter as firms (user_id, obs): goods and handling go in, delivered and returned value comes out, in cents."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag")
+    cents = lambda c: F.floor(c * 100 + 0.5).cast("double")
+    kept = F.col("l_returnflag") != "R"
+    quarter = F.concat(F.year("l_shipdate").cast("string"), F.lit("-"), F.quarter("l_shipdate").cast("string"))
+    rows = lines.groupBy(F.col("l_suppkey").cast("string").alias("user_id"), quarter.alias("t")).agg(
+        cents(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("p0"), cents(1 + F.avg("l_tax")).alias("p1"), F.sum("l_quantity").alias("q0"), F.count(F.lit(1)).cast("double").alias("q1"),
+        cents(F.sum(F.when(kept, F.col("l_extendedprice")).otherwise(0.0))).alias("o0"), cents(F.sum(F.when(kept, 0.0).otherwise(F.col("l_extendedprice")))).alias("o1"),
+    )
+    o = F.struct("t", F.array("p0", "p1").alias("ip"), F.array("q0", "q1").alias("iq"), F.array(F.lit(1.0), F.lit(0.5)).alias("op"), F.array("o0", "o1").alias("oq"))
+    return rows.groupBy("user_id").agg(F.array_sort(F.collect_list(o)).alias("obs"))
+
+
+def lotteries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as choices between a sure amount and a lottery of two of its lines' prices; late priorities take the lottery."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.avg("l_extendedprice").alias("safe"), F.avg("l_discount").alias("d"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    p = F.least(F.lit(1.0), 0.4 + F.col("d") * 2)
+    joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+    return joined.select(F.col("o_custkey").cast("string").alias("user_id"), "safe", F.array("low", "high").alias("outcomes"), F.array(1 - p, p).alias("probs"), (F.substring("o_orderpriority", 1, 1) >= "3").alias("chose_risky"))
+
+
+def item_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item (label) and x: the first embedding of each label."""
+    return table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("item")).agg(F.min_by("embedding", "vec_id").cast("array<double>").alias("x"))
+
+
 BUDGET_SQL = """
 purchases AS (
   SELECT CAST(o_custkey AS VARCHAR) AS user_id, strftime(o_orderdate, '%Y-%m') AS t, p_type AS item, l_quantity AS quantity, l_extendedprice / l_quantity AS unit
