@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.operators import budget, dated, lotteries, menu, panel, production, ranking, stochastic
+from concordia.operators import budget, dated, features, lotteries, menu, panel, production, ranking, stochastic
 from concordia.plans import inference, score, structure
 from concordia.schema import METRICS
-from concordia.sources import market
+from concordia.sources import clicklogs, market
 from concordia.sources.market import BUDGET_SQL, MENU_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,6 +171,44 @@ QUERIES |= {
     "ideal_points": lambda spark, d: structure.ideal_points(_obs(market.daily_menus(market.events(spark, d, ITEMS))), market.item_features(spark, d)).drop("point"),
 }
 
+def _reorders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands that customers buy again within a type of part."""
+    from pyspark.sql import Window
+
+    lines = market.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    parts = market.table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    orders = market.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    joined = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+    rows = joined.select(F.col("o_custkey").cast("string").alias("user_id"), "o_orderdate", "o_orderkey", F.col("p_type").alias("category"), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int").alias("product"))
+    seq = F.dense_rank().over(Window.partitionBy("user_id", "category").orderBy("o_orderdate", "o_orderkey"))
+    return clicklogs.from_earlier_orders(rows.withColumn("seq", seq.cast("long")))
+
+
+def _texts(menus: DataFrame) -> DataFrame:
+    return _menu_list(menus.withColumn("t", F.col("t").cast("string")))
+
+
+QUERIES |= {
+    "menus_until_feedback": _events(lambda e: _texts(clicklogs.until_feedback(e))),
+    "menus_best_of_day": _events(lambda e: _texts(clicklogs.best_of_day(e))),
+    "menus_impressions": _events(lambda e: _texts(clicklogs.impressions(
+        e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("t")).agg(F.concat_ws(" ", F.array_sort(F.collect_list(F.concat_ws("-", F.col("item").cast("string"), (F.col("event_type") == "purchase").cast("int").cast("string"))))).alias("impressions"))
+    ))),
+    "menus_slates": _events(lambda e: _texts(clicklogs.slates(e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("t")).agg(F.array_sort(F.collect_set("item")).alias("slate"), F.max("item").alias("click"))).drop("slate", "click"))),
+    "menus_pseudo_users": _menus(lambda m: _texts(clicklogs.pseudo_users(m.withColumn("t", F.concat_ws("/", "t", "user_id")), "choice", 4))),
+    "menus_from_earlier_orders": lambda spark, d: _texts(_reorders(spark, d).withColumn("t", F.concat_ws("/", "category", "t"))),
+    "menus_of_frequent_users": _menus(lambda m: _texts(clicklogs.enough(m, 5))),
+    "menus_split": _menus(lambda m: clicklogs.split(m).groupBy("user_id", "part").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last_t"))),
+    "menus_summary": _menus(clicklogs.summary),
+    "top_items": lambda spark, d: rounded(clicklogs.top_items(market.purchases(spark, d), 3).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))),
+    "unpivoted_prices": lambda spark, d: clicklogs.long_from_days(market.price_grid(market.purchases(spark, d)).groupBy("item").agg(F.min("price").alias("low"), F.max("price").alias("high")), ["item"], ["low", "high"]),
+    "feature_spending": lambda spark, d: rounded(features.spending(market.purchases(spark, d))),
+    "feature_engagement": _menus(features.engagement),
+    "feature_iia_violations": _menus(features.iia_violations, FEW_ITEMS),
+    "feature_lift": _market(lambda r: features.lift(
+        budget.features(r).select("user_id", (F.col("total_spend") % 2 < 1).cast("int").alias("label"), F.col("mean_spend").alias("score")), budget.features(r).select("user_id", F.col("n_obs").alias("score")))),
+}
+
 _B = "WITH RECURSIVE " + BUDGET_SQL
 _M = "WITH RECURSIVE " + MENU_SQL.format(items=ITEMS)
 _F = "WITH RECURSIVE " + MENU_SQL.format(items=FEW_ITEMS) + """
@@ -427,3 +465,65 @@ c AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, low, high, safe, low * (1 -
 SELECT user_id, count(*) AS n_choices, count(*) FILTER ((risky AND safe > high + 1e-8) OR (NOT risky AND safe < low - 1e-8)) AS n_dominated, round(avg(CAST((expected > safe) = risky AS INTEGER)), 6) AS share_expected_value,
   count(*) FILTER ((risky AND safe > high + 1e-8) OR (NOT risky AND safe < low - 1e-8)) = 0 AS is_consistent FROM c GROUP BY user_id""",
 }
+
+_TEXT = "array_to_string(menu, ',') AS menu, CAST(choice AS BIGINT) AS choice"
+ORACLE_SQL |= {
+    "menus_until_feedback": _M + f"""
+, marked AS (SELECT *, coalesce(sum(CAST(event_type = 'purchase' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM seen),
+g AS (SELECT user_id, CAST(t AS BIGINT) AS t, list_sort(list_distinct(list(item))) AS menu, max(item) FILTER (event_type = 'purchase') AS choice FROM marked GROUP BY user_id, t)
+SELECT user_id, CAST(t AS VARCHAR) AS t, {_TEXT} FROM g WHERE choice IS NOT NULL AND len(menu) >= 2""",
+    "menus_best_of_day": "WITH seen AS (SELECT CAST(user_id AS VARCHAR) AS user_id, strftime(ts, '%Y-%m-%d') AS t, value, CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS item FROM events)" + f"""
+, g AS (SELECT user_id, t, list_sort(list_distinct(list(item))) AS menu, first(item ORDER BY value DESC, item) AS choice FROM seen GROUP BY user_id, t)
+SELECT user_id, t, {_TEXT} FROM g WHERE len(menu) >= 2""",
+    "menus_impressions": _M + f"""
+, g AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS t, list_sort(list_distinct(list(item))) AS menu, max(item) FILTER (event_type = 'purchase') AS choice FROM seen GROUP BY user_id, strftime(ts, '%Y-%m-%d') HAVING count(*) FILTER (event_type = 'purchase') = 1)
+SELECT user_id, t, {_TEXT} FROM g""",
+    "menus_slates": _M + f"""
+, g AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS t, list_sort(list_distinct(list(item) FILTER (item >= 3))) AS menu, max(item) AS choice FROM seen GROUP BY user_id, strftime(ts, '%Y-%m-%d') HAVING max(item) >= 3)
+SELECT user_id, t, {_TEXT} FROM g WHERE len(menu) >= 2""",
+    "menus_pseudo_users": _M + f"""
+, r AS (SELECT t || '/' || user_id AS t, menu, choice, row_number() OVER (PARTITION BY choice ORDER BY t || '/' || user_id) - 1 AS k FROM menus)
+SELECT choice || '-' || (k // 4) AS user_id, t, {_TEXT} FROM r""",
+    "menus_from_earlier_orders": f"""
+WITH lines AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS user_id, p_type AS category, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) AS product, dense_rank() OVER (PARTITION BY o_custkey, p_type ORDER BY o_orderdate, o_orderkey) AS seq
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+), items AS (SELECT DISTINCT * FROM lines), known AS (
+  SELECT DISTINCT a.user_id, a.category, a.seq, b.product FROM (SELECT DISTINCT user_id, category, seq FROM items) a JOIN items b ON a.user_id = b.user_id AND a.category = b.category AND b.seq BETWEEN a.seq - 3 AND a.seq - 1
+), again AS (
+  SELECT i.user_id, i.category, i.seq, any_value(i.product) AS choice FROM items i JOIN known k USING (user_id, category, seq, product) GROUP BY i.user_id, i.category, i.seq HAVING count(*) = 1
+), menus AS (SELECT a.user_id, a.category || '/' || a.seq AS t, list_sort(list(k.product)) AS menu, any_value(a.choice) AS choice FROM again a JOIN known k USING (user_id, category, seq) GROUP BY a.user_id, a.category, a.seq)
+SELECT user_id, t, {_TEXT} FROM menus WHERE len(menu) >= 2""",
+    "menus_of_frequent_users": _M + f"SELECT user_id, t, {_TEXT} FROM menus WHERE user_id IN (SELECT user_id FROM menus GROUP BY user_id HAVING count(*) >= 5)",
+    "menus_split": _M + """
+, r AS (SELECT user_id, t, (row_number() OVER (PARTITION BY user_id ORDER BY t) - 1) / count(*) OVER (PARTITION BY user_id) AS k FROM menus)
+SELECT user_id, CASE WHEN k < 0.8 THEN 'train' ELSE 'test' END AS part, count(*) AS n, max(t) AS last_t FROM r GROUP BY ALL""",
+    "menus_summary": _M + """
+, u AS (SELECT user_id, count(*) AS n FROM menus GROUP BY user_id)
+SELECT a.*, b.* FROM (SELECT count(*) AS n_users, CAST(sum(n) AS BIGINT) AS n_menus, round(avg(n), 6) AS mean_menus, median(n) AS median_menus FROM u) a, (SELECT round(avg(len(menu)), 6) AS mean_size, median(len(menu)) AS median_size, count(DISTINCT choice) AS n_chosen FROM menus) b""",
+    "top_items": "WITH RECURSIVE " + BUDGET_SQL + "SELECT item, count(*) AS n, sum(quantity) AS quantity FROM purchases GROUP BY item ORDER BY count(*) DESC, item LIMIT 3",
+    "unpivoted_prices": _B + ", w AS (SELECT item, min(price) AS low, max(price) AS high FROM grid GROUP BY item) SELECT item, 'low' AS day, low AS quantity FROM w UNION ALL SELECT item, 'high', high FROM w",
+    "feature_spending": _B + """
+, lines AS (SELECT *, quantity * unit AS spend FROM purchases),
+items AS (SELECT user_id, count(*) AS n_items, max(s) AS top, sum(s * s) AS squares FROM (SELECT user_id, item, sum(spend) AS s FROM lines GROUP BY user_id, item) GROUP BY user_id),
+periods AS (SELECT user_id, t, sum(spend) AS s, CAST(substr(t, 1, 4) AS INTEGER) * 12 + CAST(substr(t, 6, 2) AS INTEGER) AS m FROM lines GROUP BY user_id, t),
+steps AS (SELECT user_id, s, m, row_number() OVER w - 1 AS i, abs(s - lag(s) OVER w) AS change, m - lag(m) OVER w AS gap FROM periods WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+totals AS (SELECT user_id, count(*) AS n_periods, sum(s) AS total, avg(s) AS mean, stddev_pop(s) AS std, max(s) AS largest, CASE WHEN count(*) > 1 THEN regr_slope(s, i) ELSE 0 END AS slope, coalesce(avg(change), 0) AS mean_change, coalesce(avg(gap), 0) AS mean_gap, coalesce(max(gap), 0) AS max_gap, max(m) - min(m) + 1 AS span FROM steps GROUP BY user_id)
+SELECT user_id, n_periods, n_items, round(total, 6) AS total, round(mean, 6) AS mean, round(std, 6) AS std, round(largest, 6) AS largest, round(slope, 6) AS slope, round(mean_change, 6) AS mean_change, round(mean_gap, 6) AS mean_gap, CAST(max_gap AS BIGINT) AS max_gap,
+  round(std / mean, 6) AS cv, round(squares / (total * total), 6) AS hhi, round(top / total, 6) AS top_share, round(n_periods / span, 6) AS purchase_rate FROM totals JOIN items USING (user_id)""",
+    "feature_engagement": _M + """
+, r AS (SELECT user_id, menu, choice, CAST(choice <> lag(choice) OVER w AS INTEGER) AS switch, lag(menu) OVER w AS before FROM menus WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+b AS (SELECT user_id, count(*) AS n_menus, count(DISTINCT choice) AS n_chosen, round(avg(len(menu)), 6) AS mean_size, max(len(menu)) AS max_size, round(coalesce(avg(switch), 0), 6) AS switch_rate,
+  round(coalesce(avg(CASE WHEN before IS NOT NULL THEN len(list_intersect(menu, before)) / len(list_distinct(list_concat(menu, before))) END), 0), 6) AS mean_overlap FROM r GROUP BY user_id),
+c AS (SELECT user_id, choice, count(*) AS c FROM menus GROUP BY user_id, choice),
+s AS (SELECT user_id, round(max(c) / sum(c), 6) AS top_share, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS choice_entropy FROM c GROUP BY user_id)
+SELECT * FROM b JOIN s USING (user_id)""",
+    "feature_iia_violations": "WITH RECURSIVE " + MENU_SQL.format(items=FEW_ITEMS) + """
+SELECT a.user_id, count(*) AS n_violations FROM (SELECT DISTINCT user_id, menu, choice FROM menus WHERE len(menu) = 2) a JOIN (SELECT DISTINCT user_id, menu, choice FROM menus WHERE len(menu) = 3) b ON a.user_id = b.user_id AND list_has_all(b.menu, a.menu) AND a.choice <> b.choice AND list_contains(a.menu, b.choice) GROUP BY a.user_id""",
+    "feature_lift": _B + """
+, own AS (SELECT user_id, e AS own FROM cost WHERE i = j), f AS (SELECT user_id, CAST(sum(own) % 2 < 1 AS INTEGER) AS label, avg(own) AS a, count(*) AS b FROM own GROUP BY user_id),
+ra AS (SELECT label, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS r FROM f), rb AS (SELECT label, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS r FROM f),
+n AS (SELECT sum(label) AS p, count(*) AS n FROM f),
+s AS (SELECT ((SELECT sum(r) FROM ra WHERE label = 1) - p * (p + 1) / 2) / (p * (n - p)) AS auc_a, ((SELECT sum(r) FROM rb WHERE label = 1) - p * (p + 1) / 2) / (p * (n - p)) AS auc_b FROM n)
+SELECT round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(CASE WHEN auc_a > 0.5 THEN 100 * (auc_b - auc_a) / auc_a END, 6) AS lift_pct FROM s""",
+}

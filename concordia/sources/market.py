@@ -65,9 +65,9 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str, items: int) -> DataFrame:
-    """user_id, ts, event_type and item (of ``items``) of every event."""
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "props")
-    return rows.select(F.col("user_id").cast("string").alias("user_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.get_json_object("props", "$.k").cast("int") % items).alias("item"))
+    """user_id, ts, event_type, value and item (of ``items``) of every event."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value", "props")
+    return rows.select(F.col("user_id").cast("string").alias("user_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", (F.get_json_object("props", "$.k").cast("int") % items).alias("item"))
 
 
 def daily_menus(seen: DataFrame, *, smallest: int = 2) -> DataFrame:
