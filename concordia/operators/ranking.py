@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from concordia.functions import choice
+
 
 def wins(menus: DataFrame) -> DataFrame:
     """winner, loser, n over all choices."""
@@ -76,3 +78,23 @@ def predict(strength: DataFrame, pairs: DataFrame) -> DataFrame:
     a = strength.select("contest", F.col("item").alias("a"), F.col("strength").alias("sa"))
     b = strength.select("contest", F.col("item").alias("b"), F.col("strength").alias("sb"))
     return pairs.join(a, ["contest", "a"]).join(b, ["contest", "b"]).select("contest", "a", "b", (F.col("sa") / (F.col("sa") + F.col("sb"))).alias("p"))
+
+
+def pairs_of(rankings: DataFrame) -> DataFrame:
+    """winner, loser, n over all rankings (column ``ranking``: array, best first), counted on each partition first."""
+    rows = rankings.select("ranking", F.posexplode("ranking").alias("k", "winner"))
+    behind = F.slice("ranking", F.col("k") + 2, F.greatest(F.lit(0), F.size("ranking") - F.col("k") - 1))
+    return rows.select("winner", F.explode(behind).alias("loser")).groupBy("winner", "loser").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kemeny(pairs: DataFrame) -> DataFrame:
+    """place and item of the order with the fewest disagreements with winner, loser, n: as many rows as pairs of items."""
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        items = np.unique(np.concatenate([frame["winner"], frame["loser"]]))
+        prefer = np.zeros((len(items), len(items)))
+        np.add.at(prefer, (np.searchsorted(items, frame["winner"]), np.searchsorted(items, frame["loser"])), frame["n"])
+        order = choice.consensus(items.tolist(), prefer)
+        return pd.DataFrame({"place": range(len(order)), "item": order})
+
+    return pairs.withColumn("contest", F.lit(0)).groupBy("contest").applyInPandas(fit, "place long, item long")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.operators import budget, dated, features, lotteries, menu, panel, production, ranking, stochastic
-from concordia.plans import inference, score, structure
+from concordia.panel import Auditor, Encoder, MenuPanel, Panel
+from concordia.plans import inference, menus, score, structure
 from concordia.schema import METRICS
 from concordia.sources import clicklogs, market
 from concordia.sources.market import BUDGET_SQL, MENU_SQL
@@ -209,6 +210,37 @@ QUERIES |= {
         budget.features(r).select("user_id", (F.col("total_spend") % 2 < 1).cast("int").alias("label"), F.col("mean_spend").alias("score")), budget.features(r).select("user_id", F.col("n_obs").alias("score")))),
 }
 
+def _counts(freq: DataFrame) -> DataFrame:
+    """(user_id, obs: array of (menu, counts)) from frequencies."""
+    cells = freq.groupBy("user_id", "menu").agg(F.map_from_entries(F.collect_list(F.struct("item", "n"))).alias("c"))
+    return cells.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("menu", F.transform("menu", lambda i: F.element_at("c", i)).alias("counts")))).alias("obs"))
+
+
+def _user_rankings(m: DataFrame) -> DataFrame:
+    """Users' rankings of items by how often they took them."""
+    counts = m.groupBy("user_id", "choice").agg(F.count(F.lit(1)).alias("c"))
+    return counts.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "choice"))), lambda x: x["choice"]).alias("ranking"))
+
+
+QUERIES |= {
+    "menu_preferences": _menus(lambda m: menus.preferences(_obs(m))),
+    "menu_maximality": _menus(lambda m: menus.maximality(_obs(m))),
+    "menu_consideration": _menus(lambda m: menus.consideration(_obs(m))),
+    "menu_limited_attention_order": _menus(lambda m: menus.limited_attention(_obs(m)), FEW_ITEMS),
+    "menu_attention_filter": _menus(lambda m: menus.with_filter(_obs(m), lambda menu: sorted(menu)[:3])),
+    "menu_panel_summary": _menus(lambda m: MenuPanel(_obs(m)).summary()),
+    "menu_audit": _menus(lambda m: Auditor().menus(MenuPanel(_obs(m)))),
+    "choice_random_attention": _frequencies(lambda f: menus.random_attention(_counts(f))),
+    "choice_logit": _frequencies(lambda f: menus.logit(_counts(f))),
+    "ranking_pairs": _menus(lambda m: ranking.pairs_of(_user_rankings(m)).select(F.col("winner").cast("long").alias("winner"), F.col("loser").cast("long").alias("loser"), "n")),
+    "kemeny_order": _menus(lambda m: ranking.kemeny(ranking.pairs_of(_user_rankings(m)))),
+    "technical_efficiency": lambda spark, d: rounded(menus.technical_efficiency(market.firms(spark, d))),
+    "expected_utility": lambda spark, d: menus.expected_utility(menus.as_lotteries(market.lotteries(spark, d))),
+    "audit_observations": _market(lambda r: Auditor().granular(Panel(r))),
+    "panel_rolling": _market(lambda r: Panel(r).windows(4).score(("garp", "ccei")).select("user_id", "is_garp", "ccei")),
+    "user_vectors": _market(lambda r: Encoder(("garp", "ccei", "mpi")).transform(Panel(r)).select("user_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))),
+}
+
 _B = "WITH RECURSIVE " + BUDGET_SQL
 _M = "WITH RECURSIVE " + MENU_SQL.format(items=ITEMS)
 _F = "WITH RECURSIVE " + MENU_SQL.format(items=FEW_ITEMS) + """
@@ -527,3 +559,16 @@ n AS (SELECT sum(label) AS p, count(*) AS n FROM f),
 s AS (SELECT ((SELECT sum(r) FROM ra WHERE label = 1) - p * (p + 1) / 2) / (p * (n - p)) AS auc_a, ((SELECT sum(r) FROM rb WHERE label = 1) - p * (p + 1) / 2) / (p * (n - p)) AS auc_b FROM n)
 SELECT round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(CASE WHEN auc_a > 0.5 THEN 100 * (auc_b - auc_a) / auc_a END, 6) AS lift_pct FROM s""",
 }
+
+ORACLE_SQL |= {
+    "audit_observations": _GARP + """
+, level AS (SELECT user_id, i, max(e / own) FILTER (own >= e - 1e-8) AS x FROM edges GROUP BY user_id, i)
+SELECT user_id, i, round(CASE WHEN is_garp THEN 1.0 ELSE least(1.0, coalesce(x, 0)) END, 6) AS efficiency, CASE WHEN is_garp THEN 1.0 ELSE least(1.0, coalesce(x, 0)) END < 0.9 AS is_low FROM level JOIN garp USING (user_id)""",
+    "technical_efficiency": _FIRMS + """
+, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i FROM firms),
+r AS (SELECT a.user_id, a.i, least(CASE WHEN a.o0 > 0 THEN b.o0 / a.o0 ELSE 'inf'::DOUBLE END, CASE WHEN a.o1 > 0 THEN b.o1 / a.o1 ELSE 'inf'::DOUBLE END) AS ratio FROM f a JOIN f b ON a.user_id = b.user_id AND b.q0 <= a.q0 + 1e-12 AND b.q1 <= a.q1 + 1e-12)
+SELECT user_id, CAST(i AS INTEGER) AS i, round(1 / greatest(1.0, max(ratio)), 6) AS efficiency FROM r GROUP BY user_id, i""",
+    "ranking_pairs": _M + """
+, c AS (SELECT user_id, choice, count(*) AS c FROM menus GROUP BY user_id, choice)
+SELECT CAST(a.choice AS BIGINT) AS winner, CAST(b.choice AS BIGINT) AS loser, count(*) AS n FROM c a JOIN c b ON a.user_id = b.user_id AND (a.c > b.c OR (a.c = b.c AND a.choice < b.choice)) GROUP BY a.choice, b.choice""",
+}
