@@ -8,14 +8,18 @@ two bytes; registers of unions are the larger ones, and equal registers are
 locality-sensitive.  Bands of four registers form buckets.
 
 1. In each bucket every class is a candidate with the bucket's least class (a star).
-2. Candidates whose maximum-likelihood similarity, from the numbers of greater, smaller
-   and equal registers and the set sizes, falls below ``ESTIMATE_FLOOR`` (more than four
-   standard errors under the threshold) are dropped; the others are verified on full sets.
+2. Candidates whose set sizes rule a link out, or whose maximum-likelihood similarity,
+   from the numbers of greater, smaller and equal registers and the set sizes, falls below
+   ``ESTIMATE_FLOOR`` (more than four standard errors under the threshold), are dropped;
+   the others are verified on full sets.
 3. Verified links give connected components (alternating large and small stars).
-4. Buckets that still hold several components are searched in full: each class outside a
-   bucket's largest component against all others of the bucket, in bounded blocks, with
-   the same estimate and verification.  So a hot bucket costs its size once, times the
-   blocks of its stragglers, and no link that shares a bucket is lost.
+4. Buckets that still hold several components are searched in full: the sketches of the
+   classes outside a bucket's largest component (stragglers) against all others of the
+   bucket, in bounded blocks.  Components with plausible partners form clusters, for which
+   each block writes a spanning forest, not its pairs.  Within a cluster the stragglers
+   are compared on full sets with all its members, through inverted indexes of blocks,
+   which write forests again.  So a hot bucket costs its size once, times the blocks of
+   its stragglers, and no link that shares a bucket is lost.
 
 Two sets of similarity 0.75 share none of the 32 bands with probability 6e-6.
 
@@ -40,8 +44,8 @@ from concordia.llm._common import materialize, table, texts_of
 SHINGLE, THRESHOLD = 5, 75
 REGISTERS, BAND, BASE, RATE = 128, 4, 1.001, 20.0
 ESTIMATE_FLOOR = 0.58
-#: Classes of a block in the full search of a bucket.
-BLOCK = 1024
+#: Classes of a block in the full search of a bucket, and texts of a block in the comparison with a component.
+BLOCK, TEXT_BLOCK = 1024, 512
 #: Words whose hashes a worker remembers; hashes that are minimised at once.
 CACHED_WORDS, CHUNK = 400_000, 4096
 
@@ -104,6 +108,22 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return found
 
 
+def plausible_pairs(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether estimate() reaches the floor, and the sizes allow a link.
+
+    The likelihood is concave, so its slope at the floor tells on which side the maximum is.
+    """
+    fits = 100 * np.minimum(n_a, n_b) >= THRESHOLD * np.maximum(n_a, n_b)
+    more, less = (a > b).sum(axis=-1), (a < b).sum(axis=-1)
+    u = n_a / (n_a + n_b)
+    v, c, log = 1 - u, (BASE - 1) / BASE, np.log(BASE)
+    up, down = np.maximum(u - v * ESTIMATE_FLOOR, 1e-9), np.maximum(v - u * ESTIMATE_FLOOR, 1e-9)
+    p_up, p_down = -np.log1p(-up * c) / log, -np.log1p(-down * c) / log
+    s_up, s_down = c / (log * (1 - up * c)) * v, c / (log * (1 - down * c)) * u
+    slope = (REGISTERS - more - less) * (s_up + s_down) / (1 - p_up - p_down) - more * s_up / p_up - less * s_down / p_down
+    return fits & (slope >= 0)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(len(column), REGISTERS)
 
@@ -143,19 +163,23 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 get = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
-                near = estimate(_matrix(get("sketch_a")), _matrix(get("sketch_b")), np.asarray(get("n_a")), np.asarray(get("n_b"))) >= ESTIMATE_FLOOR
+                near = plausible_pairs(_matrix(get("sketch_a")), _matrix(get("sketch_b")), np.asarray(get("n_a")), np.asarray(get("n_b")))
                 yield pa.RecordBatch.from_arrays([get("a"), get("b")], ["a", "b"]).filter(pa.array(near))
 
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a binary, b binary")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def texts_of_nodes(needed: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and the text of one document of each class in ``needed`` (distinct nodes)."""
     needed = needed.join(classes.select("node", "rep"), "node").select("node", F.col("rep.id").alias("id"), F.col("rep.fp").alias("fp"))
     texts = docs.select(F.col(id_col).alias("tid"), F.xxhash64(text_col).alias("tfp"), F.col(text_col).alias("text"))
     texts = texts.join(needed, (texts["tfp"] == needed["fp"]) & texts["tid"].eqNullSafe(needed["id"])).select("node", "text")
-    texts = materialize(texts.dropDuplicates(["node"]), "candidates")
+    return materialize(texts.dropDuplicates(["node"]), "candidates")
+
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    texts = texts_of_nodes(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs, id_col, text_col)
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -193,52 +217,94 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def stragglers(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Plausible pairs (a, b) of different components that share a bucket (members: key, node)."""
-    known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    sizes = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    # the largest component of each bucket that has several, and how many classes are in and outside it
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels"))
+def _blocks(rows: DataFrame, sizes: DataFrame, by: str, block: int) -> DataFrame:
+    """``rows`` (by, node, label) dealt to groups (by, first, second), with out (not in the largest component) and block.
+
+    A group is block ``first`` of the stragglers with block ``second`` >= first of the
+    stragglers, or with block -1 - ``second`` of the largest component.  ``sizes`` has by, label, n.
+    """
+    mixed = sizes.groupBy(by).agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels"))
     mixed = mixed.filter("labels > 1").select(
-        "key",
+        by,
         F.col("top.label").alias("top"),
-        F.ceil(F.col("top.n") / BLOCK).cast("int").alias("top_blocks"),
-        F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.col("top.n") / block).cast("int").alias("top_blocks"),
+        F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("blocks"),
     )
-    rows = known.join(mixed, "key").withColumn("out", F.col("label") != F.col("top"))
-    # groups: straggler block i with straggler block j >= i (second = j), or with block t of the top component (second = -1 - t)
-    block = F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("blocks")).otherwise(F.col("top_blocks"))).cast("int")
-    rows = rows.withColumn("block", block)
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("first"), F.greatest(i, F.col("block")).alias("second")))
-    tops = F.transform(F.sequence(F.lit(0), F.col("top_blocks") - 1), lambda t: F.struct(F.col("block").alias("first"), (-1 - t).alias("second")))
-    top = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("first"), (-1 - F.col("block")).alias("second")))
+    rows = rows.join(mixed, by).withColumn("out", F.col("label") != F.col("top"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("blocks")).otherwise(F.col("top_blocks"))).cast("int"))
+    each = lambda n, body: F.transform(F.sequence(F.lit(0), F.col(n) - 1), body)
+    pair = lambda first, second: F.struct(first.alias("first"), second.alias("second"))
+    own = F.col("block")
+    others = each("blocks", lambda i: pair(F.least(i, own), F.greatest(i, own)))
+    tops = each("top_blocks", lambda t: pair(own, -1 - t))
+    top = each("blocks", lambda i: pair(i, -1 - own))
     rows = rows.withColumn("group", F.explode(F.when(F.col("out"), F.concat(others, tops)).otherwise(top)))
-    rows = rows.join(classes.select("node", "sketch", "n_shingles"), "node").select("key", F.col("group.first").alias("first"), F.col("group.second").alias("second"), "node", "label", "out", "block", "sketch", "n_shingles")
+    return rows.select(by, F.col("group.first").alias("first"), F.col("group.second").alias("second"), "node", "label", "out", "block")
+
+
+def _forest(group: pa.Table, near) -> pa.Table:
+    """Links of nodes that join the group's components: near(i, js) picks the partners of row i among rows js."""
+    out = np.array(group.column("out").to_pylist(), dtype=bool)
+    first, second = group.column("first")[0].as_py(), group.column("second")[0].as_py()
+    block = np.asarray(group.column("block"))
+    nodes, labels = group.column("node").to_pylist(), group.column("label").to_pylist()
+    ids = {label: i for i, label in enumerate(dict.fromkeys(labels))}
+    root = np.arange(len(ids))
+    label = np.array([ids[x] for x in labels])
+    right = np.flatnonzero(~out) if second < 0 else np.flatnonzero(out & (block == second))
+    found_a, found_b = [], []
+    for i in np.flatnonzero(out & (block == first)):
+        js = right[root[label[right]] != root[label[i]]]
+        for j in near(i, js) if len(js) else ():
+            if root[label[j]] != root[label[i]]:
+                root[root == root[label[j]]] = root[label[i]]
+                found_a.append(nodes[i])
+                found_b.append(nodes[j])
+    return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
+
+
+def clusters(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """label and cluster of the components that plausible partners in buckets (members: key, node) connect."""
+    known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    rows = _blocks(known, known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "key", BLOCK)
+    rows = rows.join(classes.select("node", "sketch", "n_shingles"), "node").select("key", "first", "second", "node", "label", "out", "block", "sketch", "n_shingles")
 
     def run(group: pa.Table) -> pa.Table:
-        out = np.asarray(group.column("out").combine_chunks().to_pylist(), dtype=bool)
-        first, second = group.column("first")[0].as_py(), group.column("second")[0].as_py()
-        block = np.asarray(group.column("block"))
-        nodes, labels = group.column("node").to_pylist(), group.column("label").to_pylist()
-        ids = {label: i for i, label in enumerate(dict.fromkeys(labels))}
-        label = np.array([ids[x] for x in labels])
         matrix, n = _matrix(group.column("sketch").combine_chunks()), np.asarray(group.column("n_shingles"))
-        left = np.flatnonzero(out & (block == first))
-        right = np.flatnonzero(~out) if second < 0 else np.flatnonzero(out & (block == second))
-        found_a, found_b = [], []
-        for i in left:
-            js = right[label[right] != label[i]]
-            # fewer equal registers than this can't reach the floor by far
-            js = js[(matrix[js] == matrix[i]).sum(axis=1) >= REGISTERS * (ESTIMATE_FLOOR - 0.15)]
-            if len(js):
-                js = js[estimate(np.repeat(matrix[i][None], len(js), axis=0), matrix[js], np.repeat(n[i], len(js)), n[js]) >= ESTIMATE_FLOOR]
-            for j in js:
-                a, b = sorted((nodes[i], nodes[j]))
-                found_a.append(a)
-                found_b.append(b)
-        return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
-
-    return rows.groupBy("key", "first", "second").applyInArrow(run, "a binary, b binary").distinct()
+        return _forest(group, lambda i, js: js[plausible_pairs(matrix[i][None], matrix[js], n[i], n[js])])
+
+    pairs = materialize(rows.groupBy("key", "first", "second").applyInArrow(run, "a binary, b binary").distinct(), "near-nodes")
+    name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    pairs = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    return components(pairs).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+
+
+def join_components(cluster: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verified links (a, b) that join all components of a cluster that any link joins."""
+    # a component of one class isn't in ``labels``
+    alone = cluster.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), "label", "cluster")
+    held = materialize(labels.join(cluster, "label").select("node", "label", "cluster").union(alone), "cluster-members")
+    rows = materialize(_blocks(held, held.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")), "cluster", TEXT_BLOCK), "comparisons")
+    texts = texts_of_nodes(rows.select("node").distinct(), classes, docs, id_col, text_col)
+
+    def run(group: pa.Table) -> pa.Table:
+        words = _Words()
+        sets = [shingle_set(t, words) for t in group.column("text").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        shingles = np.concatenate(sets)
+        order = np.argsort(shingles, kind="stable")
+        shingles, owner = shingles[order], np.repeat(np.arange(len(sets)), sizes)[order]
+
+        def near(i: int, js: np.ndarray) -> np.ndarray:
+            first, last = np.searchsorted(shingles, sets[i], "left"), np.searchsorted(shingles, sets[i], "right")
+            times = last - first
+            at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+            common = np.bincount(owner[at], minlength=len(sets))[js]
+            return js[100 * common >= THRESHOLD * (sizes[js] + sizes[i] - common)]
+
+        return _forest(group, near)
+
+    return rows.join(texts, "node").groupBy("cluster", "first", "second").applyInArrow(run, "a binary, b binary")
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,9 +321,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pairs = materialize(plausible(pairs, classes), "pairs")
     links = verify(pairs, classes, docs, id_col=id_col, text_col=text_col)
     first = materialize(components(materialize(links, "links")), "labels")
-    more = stragglers(members.select("key", "node"), first, classes).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(more, "more-pairs")
-    found = verify(more, classes, docs, id_col=id_col, text_col=text_col)
+    cluster = materialize(clusters(members.select("key", "node"), first, classes), "clusters")
+    found = join_components(cluster, first, classes, docs, id_col=id_col, text_col=text_col)
     # components of the first round count as links to their least node
     labels = components(first.select(F.col("label").alias("a"), F.col("node").alias("b")).union(found))
     of = classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.col("rep.id").alias("id"))
