@@ -190,3 +190,31 @@ def cannibalization(rows: DataFrame, group_a: list[int], group_b: list[int]) ->
     by_time = Window.partitionBy("user_id").orderBy("i")
     d = o.select("user_id", (F.col("a") - F.lag("a").over(by_time)).alias("da"), (F.col("b") - F.lag("b").over(by_time)).alias("db")).filter("da IS NOT NULL")
     return d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_changes"), F.corr("da", "db").alias("correlation"))
+
+
+def price_effects(rows: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """Median change of a good's quantity by its price's, over steps in which the price moves by the threshold, with the income effect taken out."""
+    from pyspark.sql import Window
+
+    by_time = Window.partitionBy("user_id", "g").orderBy("i")
+    o = observations(rows).withColumn("m", dot(F.col("p"), F.col("q"))).select("user_id", "i", "m", F.posexplode(F.arrays_zip("p", "q")).alias("g", "x"))
+    o = o.select("user_id", "i", "m", "g", F.col("x.p").alias("p"), F.col("x.q").alias("q"))
+    d = o.select("user_id", "g", "q", (F.col("p") - F.lag("p").over(by_time)).alias("dp"), (F.lag("p").over(by_time)).alias("p0"), (F.col("q") - F.lag("q").over(by_time)).alias("dq"), (F.col("m") - F.lag("m").over(by_time)).alias("dm"))
+    moved = d.filter(F.abs(F.col("dp") / F.col("p0")) >= threshold)
+    e = moved.groupBy("user_id", F.col("g").cast("long").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.percentile(F.col("dq") / F.col("dp"), 0.5).alias("total"), F.percentile(F.when(F.abs("dm") > 1e-10, F.col("dq") / F.col("dm")), 0.5).alias("by_income"), F.avg("q").alias("q"))
+    income = -F.coalesce("by_income", F.lit(0.0)) * F.col("q")
+    return e.select("user_id", "g", "n", "total", income.alias("income"), (F.col("total") - income).alias("substitution"))
+
+
+def population_welfare(rows: DataFrame) -> DataFrame:
+    """One row: users whose mean bundle costs less or more at the mean prices of their second half of observations."""
+    w = welfare(rows)
+    return w.agg(F.count(F.lit(1)).alias("n_users"), F.avg((F.col("surplus") > 0).cast("double")).alias("share_better"), F.avg((F.col("surplus") < 0).cast("double")).alias("share_worse"), F.avg("cv").alias("mean_cv"), F.avg("ev").alias("mean_ev"))
+
+
+def additive_consistency(rows: DataFrame, tol: float = 0.05) -> DataFrame:
+    """Pairs of observations with like spending in which a good has one price but quantities that differ by a tenth."""
+    o = observations(rows).withColumn("m", dot(F.col("p"), F.col("q"))).select("user_id", "i", "m", F.posexplode(F.arrays_zip("p", "q")).alias("g", "x")).select("user_id", "i", "m", "g", F.col("x.p").alias("p"), F.col("x.q").alias("q"))
+    pairs = o.alias("a").join(o.alias("b"), F.expr(f"a.user_id = b.user_id AND a.g = b.g AND a.i < b.i AND abs(a.p - b.p) <= {tol} * a.p AND abs(a.m - b.m) <= {tol} * a.m"))
+    bad = F.expr("abs(a.q - b.q) > 0.1 * greatest(a.q, b.q)")
+    return per_user(rows, pairs.groupBy(F.expr("a.user_id").alias("user_id")).agg(F.sum(bad.cast("long")).alias("n_violations"), F.count(F.lit(1)).alias("n_pairs")), n_violations=0, n_pairs=0)

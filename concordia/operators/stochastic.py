@@ -73,3 +73,29 @@ def decoys(freq: DataFrame, threshold: float = 0.05) -> DataFrame:
     both = two.join(three, ["user_id", "target"]).filter(F.size(F.array_except("pair", "menu")) == 0)
     rows = both.select("user_id", "target", F.get(F.array_except("menu", "pair"), F.lit(0)).alias("decoy"), (F.col("p3") - F.col("p2")).alias("gain"))
     return rows.filter(F.col("gain") > threshold)
+
+
+def axioms(freq: DataFrame) -> DataFrame:
+    """Regularity and independence together: both hold for a logit, the first for any additive perturbed utility."""
+    r = regularity(freq).select("user_id", "is_regular")
+    i = independence(freq).select("user_id", "is_iia")
+    both = i.join(r, "user_id", "left").select("user_id", F.coalesce("is_regular", F.lit(True)).alias("is_regular"), "is_iia")
+    return both.withColumn("is_logit", F.col("is_regular") & F.col("is_iia"))
+
+
+def attention(freq: DataFrame) -> DataFrame:
+    """For each item the share of showings in which it was chosen, doubled and cut at one as an attention probability, with bounds."""
+    totals = freq.groupBy("user_id", "menu").agg(F.sum("n").alias("total"))
+    shares = freq.join(totals, ["user_id", "menu"]).groupBy("user_id", "item").agg((F.sum("n") / F.sum("total")).alias("share"))
+    p = F.least(F.lit(1.0), 2 * F.col("share"))
+    return shares.select("user_id", "item", p.alias("attention"), F.greatest(F.lit(0.0), p - 0.2).alias("low"), F.least(F.lit(1.0), p + 0.2).alias("high"))
+
+
+def compromises(freq: DataFrame, attributes: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """Items in the middle of three by an attribute (item, a) that the third item makes likelier than in pairs by more than the threshold."""
+    three = freq.filter(F.size("menu") == 3).join(attributes, "item")
+    cells = three.groupBy("user_id", "menu").agg(F.array_sort(F.collect_list(F.struct("a", "item", "p"))).alias("c"))
+    middle = cells.select("user_id", "menu", F.get("c", F.lit(1))["item"].alias("item"), F.get("c", F.lit(1))["p"].alias("p3"))
+    two = freq.filter(F.size("menu") == 2).select("user_id", F.col("menu").alias("pair"), "item", F.col("p").alias("p2"))
+    both = middle.join(two, ["user_id", "item"]).filter(F.size(F.array_except("pair", "menu")) == 0)
+    return both.groupBy("user_id", "menu", "item").agg((F.max("p3") - F.avg("p2")).alias("gain")).filter(F.col("gain") > threshold)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.functions import choice
+from concordia.functions import choice, demand
 
 
 def each(rows: DataFrame, columns: str, fn: Callable[[pd.Series], list[tuple]]) -> DataFrame:
@@ -99,6 +99,17 @@ def expected_utility(lotteries: DataFrame, attitude: str = "any") -> DataFrame:
     return each(lotteries, "is_consistent boolean, n_dominated int", one)
 
 
+def rank_dependent(lotteries: DataFrame) -> DataFrame:
+    """Dominated choices state by state, the bend of probability weights, and reversals by mixing."""
+
+    def one(obs):
+        data = [(np.stack(o["outcomes"]).astype(float), np.array(o["probs"], float), int(o["chosen"])) for o in obs]
+        found = demand.rank_dependent(data)
+        return [(found["is_consistent"], found["n_dominated"], found["weighting"], demand.independence_violations(data))]
+
+    return each(lotteries, "is_consistent boolean, n_dominated int, weighting string, n_independence int", one)
+
+
 def as_lotteries(choices: DataFrame) -> DataFrame:
     """Choices of a sure amount or a lottery as lotteries over the same states."""
     sure = F.transform("outcomes", lambda _: F.col("safe"))

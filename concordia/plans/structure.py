@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.functions import single
+from concordia.functions import demand, single
 from concordia.plans.inference import each_user
 
 
@@ -171,16 +171,71 @@ def welfare(rows: DataFrame) -> DataFrame:
     return each_user(rows, "cv double, ev double, cv_path double", one, 0)
 
 
+def quasilinear(rows: DataFrame) -> DataFrame:
+    """Whether no cycle of any length saves money."""
+    return each_user(rows, "is_quasilinear boolean", lambda p, q, _: {"is_quasilinear": demand.quasilinear(p, q)}, 0)
+
+
+def stone_geary(rows: DataFrame) -> DataFrame:
+    """Subsistence quantity and share of each good."""
+
+    def one(p, q):
+        found = demand.stone_geary(p, q)
+        return [(g, float(x), float(b), float(found["slutsky"][g, g])) for g, (x, b) in enumerate(zip(found["subsistence"], found["share"], strict=True))]
+
+    return _rows(rows, "g int, subsistence double, share double, own_effect double", one)
+
+
+def two_stage_effects(rows: DataFrame) -> DataFrame:
+    """Elasticities with lagged prices as instruments."""
+    return _rows(rows, "g int, h int, elasticity double", lambda p, q: [(g, h, None if x != x else float(x)) for (g, h), x in np.ndenumerate(demand.two_stage(p, q))])
+
+
+def slutsky_bootstrap(rows: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
+    return each_user(rows, "max_eigenvalue double, std double, p_value double", lambda p, q, chance: demand.slutsky_bootstrap(p, q, n, chance), seed)
+
+
+def additive_groups(rows: DataFrame, threshold: float = 0.1) -> DataFrame:
+    def one(p, q):
+        beta, _ = single.regress(np.log(np.maximum(q, 1e-10)), np.log(p))
+        return list(enumerate(demand.additive_groups(beta.T, threshold)))
+
+    return _rows(rows, "part int, goods array<int>", one)
+
+
+def spatial(menus: DataFrame, items: DataFrame, norms: tuple[float, ...] = (1.0, 2.0, float("inf"))) -> DataFrame:
+    """For each user and norm the choices that its ideal point fails, and the norm with the fewest."""
+    matrix, place = _features(items)
+    slim = menus.select("user_id", F.transform("obs", lambda o: o["menu"]).alias("menus"), F.transform("obs", lambda o: o["choice"]).alias("choices"))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for user, m, c in zip(frame["user_id"], frame["menus"], frame["choices"], strict=True):
+                m, c = [[place[i] for i in x] for x in m], [place[i] for i in c]
+                fails = [demand.metric_violations(matrix, m, c, norm)[1] for norm in norms]
+                points, left = demand.several_points(matrix, m, c)
+                strength = demand.strengths(matrix, m, c, points[0])
+                out.append((user, fails, float(norms[int(np.argmin(fails))]), left, float(np.mean(strength))))
+            yield pd.DataFrame(out, columns=["user_id", "n_violations", "best_norm", "n_violations_two_points", "mean_strength"])
+
+    return slim.mapInPandas(run, "user_id string, n_violations array<int>, best_norm double, n_violations_two_points int, mean_strength double")
+
+
+def _features(items: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
+    """Features of at most MAX_ITEMS items, for the workers."""
+    found = items.select("item", "x").limit(MAX_ITEMS + 1).collect()
+    if len(found) > MAX_ITEMS:
+        raise ValueError(f"more than {MAX_ITEMS} items")
+    return np.array([r["x"] for r in found], float), {r["item"]: k for k, r in enumerate(found)}
+
+
 def ideal_points(menus: DataFrame, items: DataFrame) -> DataFrame:
     """An ideal point of each user and the choices it fails: menu rows (user_id, obs), items (item, x: array).
 
     The features are sent to all workers, behind a check of their size.
     """
-    found = items.select("item", "x").limit(MAX_ITEMS + 1).collect()
-    if len(found) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items")
-    place = {r["item"]: k for k, r in enumerate(found)}
-    matrix = np.array([r["x"] for r in found], float)
+    matrix, place = _features(items)
     slim = menus.select("user_id", F.transform("obs", lambda o: o["menu"]).alias("menus"), F.transform("obs", lambda o: o["choice"]).alias("choices"))
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -241,6 +241,24 @@ QUERIES |= {
     "user_vectors": _market(lambda r: Encoder(("garp", "ccei", "mpi")).transform(Panel(r)).select("user_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))),
 }
 
+QUERIES |= {
+    "budget_quasilinear_any_length": _market(structure.quasilinear),
+    "budget_stone_geary": _market(structure.stone_geary),
+    "budget_two_stage": _market(structure.two_stage_effects),
+    "budget_slutsky_bootstrap": _market(lambda r: structure.slutsky_bootstrap(r, 20)),
+    "budget_additive_groups": _market(structure.additive_groups),
+    "price_effects": _market(budget.price_effects),
+    "population_welfare": _market(budget.population_welfare),
+    "additive_consistency": _market(budget.additive_consistency),
+    "imputed_prices": lambda spark, d: rounded(market.imputed_prices(market.purchases(spark, d))),
+    "choice_axioms": _frequencies(stochastic.axioms),
+    "choice_attention": _frequencies(lambda f: stochastic.attention(f).withColumn("item", F.col("item").cast("long"))),
+    "choice_compromises": lambda spark, d: rounded(stochastic.compromises(
+        stochastic.frequencies(market.daily_menus(market.events(spark, d, FEW_ITEMS)).withColumn("user_id", F.lit("all"))), market.item_features(spark, d).select("item", F.get("x", F.lit(0)).alias("a"))).withColumn("menu", F.concat_ws(",", F.transform("menu", lambda i: i.cast("string"))))),
+    "rank_dependent_utility": lambda spark, d: menus.rank_dependent(menus.as_lotteries(market.lotteries(spark, d))),
+    "spatial_metrics": lambda spark, d: rounded(structure.spatial(_obs(market.daily_menus(market.events(spark, d, ITEMS))), market.item_features(spark, d))),
+}
+
 _B = "WITH RECURSIVE " + BUDGET_SQL
 _M = "WITH RECURSIVE " + MENU_SQL.format(items=ITEMS)
 _F = "WITH RECURSIVE " + MENU_SQL.format(items=FEW_ITEMS) + """
@@ -572,3 +590,31 @@ SELECT user_id, CAST(i AS INTEGER) AS i, round(1 / greatest(1.0, max(ratio)), 6)
 , c AS (SELECT user_id, choice, count(*) AS c FROM menus GROUP BY user_id, choice)
 SELECT CAST(a.choice AS BIGINT) AS winner, CAST(b.choice AS BIGINT) AS loser, count(*) AS n FROM c a JOIN c b ON a.user_id = b.user_id AND (a.c > b.c OR (a.c = b.c AND a.choice < b.choice)) GROUP BY a.choice, b.choice""",
 }
+
+_STEPS = _GOODS + """
+, spent AS (SELECT user_id, i, sum(price * quantity) AS m FROM goods GROUP BY user_id, i)
+"""
+ORACLE_SQL |= {
+    "price_effects": _B + _STEPS + """
+, d AS (SELECT user_id, g, quantity AS q, price - lag(price) OVER w AS dp, lag(price) OVER w AS p0, quantity - lag(quantity) OVER w AS dq, m - lag(m) OVER w AS dm FROM goods JOIN spent USING (user_id, i) WINDOW w AS (PARTITION BY user_id, g ORDER BY i)),
+e AS (SELECT user_id, g, count(*) AS n, median(dq / dp) AS total, -coalesce(median(CASE WHEN abs(dm) > 1e-10 THEN dq / dm END), 0) * avg(q) AS income FROM d WHERE abs(dp / p0) >= 0.05 GROUP BY user_id, g)
+SELECT user_id, g, n, round(total, 6) AS total, round(income, 6) AS income, round(total - income, 6) AS substitution FROM e""",
+    "population_welfare": _B + _GOODS + """
+, halves AS (SELECT user_id, g, i < n // 2 AS base, avg(price) AS p, avg(quantity) AS q FROM goods JOIN sizes USING (user_id) WHERE n >= 2 GROUP BY user_id, g, i < n // 2),
+w AS (SELECT a.user_id, sum(b.p * a.q) - sum(b.p * b.q) AS cv, sum(a.p * b.q) - sum(a.p * a.q) AS ev, -sum((b.p - a.p) * a.q) AS surplus FROM halves a JOIN halves b ON a.user_id = b.user_id AND a.g = b.g AND a.base AND NOT b.base GROUP BY a.user_id)
+SELECT count(*) AS n_users, round(avg(CAST(surplus > 0 AS INTEGER)), 6) AS share_better, round(avg(CAST(surplus < 0 AS INTEGER)), 6) AS share_worse, round(avg(cv), 6) AS mean_cv, round(avg(ev), 6) AS mean_ev FROM w""",
+    "additive_consistency": _B + _STEPS + """
+, o AS (SELECT * FROM goods JOIN spent USING (user_id, i)),
+v AS (SELECT a.user_id, count(*) FILTER (abs(a.quantity - b.quantity) > 0.1 * greatest(a.quantity, b.quantity)) AS bad, count(*) AS n_pairs FROM o a JOIN o b ON a.user_id = b.user_id AND a.g = b.g AND a.i < b.i AND abs(a.price - b.price) <= 0.05 * a.price AND abs(a.m - b.m) <= 0.05 * a.m GROUP BY a.user_id)
+SELECT s.user_id, coalesce(bad, 0) AS n_violations, coalesce(n_pairs, 0) AS n_pairs FROM sizes s LEFT JOIN v USING (user_id)""",
+    "imputed_prices": _B + """
+, cell AS (SELECT t, item, median(unit) AS cell, count(unit) AS n FROM purchases GROUP BY t, item), any_ AS (SELECT item, median(unit) AS a FROM purchases GROUP BY item)
+SELECT user_id, t, item, round(coalesce(CASE WHEN n >= 3 THEN cell END, a), 6) AS price FROM (SELECT DISTINCT user_id, t, item FROM purchases) LEFT JOIN cell USING (t, item) LEFT JOIN any_ USING (item)""",
+    "choice_axioms": _F + _PAIRS + """
+, r AS (SELECT a.user_id, count(*) FILTER (b.p - a.p > 0.01) = 0 AS is_regular FROM freq a JOIN freq b ON a.item = b.item AND len(a.menu) < len(b.menu) AND list_has_all(b.menu, a.menu) GROUP BY a.user_id),
+i AS (SELECT user_id, count(*) FILTER (n_menus > 1 AND cv > 0.1) = 0 AS is_iia FROM odds GROUP BY user_id)
+SELECT user_id, coalesce(is_regular, TRUE) AS is_regular, is_iia, coalesce(is_regular, TRUE) AND is_iia AS is_logit FROM i LEFT JOIN r USING (user_id)""",
+    "choice_attention": _F + """
+, s AS (SELECT user_id, item, least(1.0, 2 * sum(n) / sum(total)) AS a FROM freq GROUP BY user_id, item)
+SELECT user_id, CAST(item AS BIGINT) AS item, round(a, 6) AS attention, round(greatest(0.0, a - 0.2), 6) AS low, round(least(1.0, a + 0.2), 6) AS high FROM s""",
+}

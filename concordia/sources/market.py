@@ -49,6 +49,15 @@ def price_grid(bought: DataFrame) -> DataFrame:
     return grid.select("t", "item", F.floor(F.col("price") * 100 + 0.5).cast("double").alias("price"))
 
 
+def imputed_prices(bought: DataFrame) -> DataFrame:
+    """user_id, t, item, price: the median unit price of the user's own purchases, else of period and item, else of the item, else of all."""
+    own = bought.groupBy("user_id", "t", "item").agg(F.percentile(F.when(F.col("quantity") > 0, F.col("unit")), 0.5).alias("own"))
+    cell = bought.groupBy("t", "item").agg(F.percentile("unit", 0.5).alias("cell"), F.count("unit").alias("n"))
+    item = bought.groupBy("item").agg(F.percentile("unit", 0.5).alias("any"))
+    rows = own.join(cell, ["t", "item"], "left").join(item, "item", "left")
+    return rows.select("user_id", "t", "item", F.coalesce(F.when(F.col("n") >= 3, F.col("cell")), F.col("any"), F.col("own")).alias("price"))
+
+
 def budgets(bought: DataFrame) -> DataFrame:
     """Budget rows (user_id, obs) over all items of the grid, which are few."""
     grid = price_grid(bought).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("item", "price"))).alias("cells"))
