@@ -61,6 +61,8 @@ WORDS = frozenset(
     "header masthead footer sidebar aside widget notice notices cookie cookies consent gdpr alert disclaimer comment comments reply replies disqus respond discussion "
     "share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager skip copyright complementary contentinfo dialog".split()
 )
+#: Words of those that also name the layout of a wrapper ("has-sidebar"): an article within is kept.
+LAYOUT = frozenset("sidebar header nav navbar navigation menu widget login toolbar masthead".split())
 WORD = re.compile(r"[a-z]+")
 HOST = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.IGNORECASE)
 
@@ -70,17 +72,18 @@ def host_of(url: str | None) -> str:
     return (found[1].lower().removeprefix("www.") if found else "") or "-"
 
 
-def _signature(name: str, attributes: str) -> tuple[str, bool]:
-    """The name with its classes and id as part of a path; whether it marks a branch beside the article."""
+def _signature(name: str, attributes: str) -> tuple[str, int]:
+    """The name with its classes and id as part of a path; 2 if it marks a branch beside the article, 1 if by words of layout alone, else 0."""
+    words, other = [], 2 * (name in OTHER)
     if not attributes or "=" not in attributes:
-        return name, name in OTHER
-    words, other = [], name in OTHER
+        return name, other
     for kind, *values in ATTRIBUTE.findall(attributes):
         value = " ".join(sorted(html.unescape("".join(values)).lower().split()))
         words.append(f"{kind.lower()}={value}")
         if name not in ("body", "html", "article", "main"):
             parts = re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(values)).lower()
-            other = other or not WORDS.isdisjoint(WORD.findall(parts))
+            if found := WORDS.intersection(WORD.findall(parts)):
+                other = max(other, 1 if name in ("div", "section") and found <= LAYOUT else 2)
     return ".".join([name, *sorted(words)]), other
 
 
@@ -90,9 +93,8 @@ class Page:
     def __init__(self, source: str) -> None:
         self.blocks: list[tuple[list[int], str, bool, bool]] = []
         self.styles: list[tuple[int, int]] = []
-        self.articles = 0
-        # an open element: name, hash of its path, article depth, whether beside the article, hash of its children so far, whether inline
-        self.stack: list[list] = [["", 0, 0, False, 0, False]]
+        # an open element: name, hash of its path, article depth, how far beside the article, hash of its children so far, what an inline one interrupts
+        self.stack: list[list] = [["", 0, 0, 0, 0, None]]
         self.held: list[str] = []
         self._read(source)
         self._block()
@@ -148,14 +150,16 @@ class Page:
                 self._close("p", within=("button", "td", "th", "li", "div", "section", "article"))
             if name in SIBLINGS:
                 self._end_sibling(SIBLINGS[name])
-        else:
-            self._block(keep=True)
         top = self.stack[-1]
         path = xxhash.xxh3_64_intdigest(signature.encode("utf-8", "replace"), top[1])
         top[4] = xxhash.xxh3_64_intdigest(signature.encode("utf-8", "replace"), top[4])
-        article = top[2] + (name in ("article", "main") and not (other or top[3]))
-        self.articles += article > top[2]
-        self.stack.append([name, path, article, other or top[3], 0, inline])
+        starts = name in ("article", "main") and not other and top[3] < 2
+        beside = 0 if starts else max(other, top[3])
+        article = top[2] + starts
+        # an inline branch beside the article lets the block around it go on after it
+        self.stack.append([name, path, article, beside, 0, self.held if inline else None])
+        if inline:
+            self.held = []
 
     def _end_sibling(self, names: set[str]) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -178,21 +182,20 @@ class Page:
                 return
 
     def _pop(self) -> None:
+        self._block()
         top = self.stack.pop()
-        if top[5]:
-            self.held.clear()
-        else:
+        if top[5] is None:
             self.styles.append((top[1], top[4]))
+        else:
+            self.held = top[5]
 
-    def _block(self, keep: bool = False) -> None:
-        """End a block; an inline branch beside the article (keep) lets the block around it go on."""
-        if keep:
-            return
+    def _block(self) -> None:
+        """End a block."""
         text = " ".join("".join(self.held).split())
         self.held.clear()
         if text:
             top = self.stack[-1]
-            self.blocks.append(([x[1] for x in self.stack[1:]], text, top[2] > 0, top[3]))
+            self.blocks.append(([x[1] for x in self.stack[1:]], text, top[2] > 0, top[3] > 0))
 
     def text(self, low: frozenset[int]) -> str:
         """The blocks that stay when branches of ``low`` importance go."""
