@@ -218,3 +218,10 @@ def additive_consistency(rows: DataFrame, tol: float = 0.05) -> DataFrame:
     pairs = o.alias("a").join(o.alias("b"), F.expr(f"a.user_id = b.user_id AND a.g = b.g AND a.i < b.i AND abs(a.p - b.p) <= {tol} * a.p AND abs(a.m - b.m) <= {tol} * a.m"))
     bad = F.expr("abs(a.q - b.q) > 0.1 * greatest(a.q, b.q)")
     return per_user(rows, pairs.groupBy(F.expr("a.user_id").alias("user_id")).agg(F.sum(bad.cast("long")).alias("n_violations"), F.count(F.lit(1)).alias("n_pairs")), n_violations=0, n_pairs=0)
+
+
+def pump_pairs(rows: DataFrame) -> DataFrame:
+    """The money pump over cycles of two observations: a lower bound of the index over all cycles."""
+    both = both_ways(rows).filter(F.col("r_ij") & F.col("r_ji"))
+    saved = ((F.col("own_i") - F.col("e_ij")) / F.col("own_i") + (F.col("own_j") - F.col("e_ji")) / F.col("own_j")) / 2
+    return per_user(rows, both.groupBy("user_id").agg(F.max(F.greatest(F.lit(0.0), saved)).alias("mpi_pairs")), mpi_pairs=0.0)

@@ -242,6 +242,10 @@ QUERIES |= {
 }
 
 QUERIES |= {
+    "budget_ccei": _market(lambda r: score.score_budget(r, ("garp", "ccei")).select("user_id", "is_garp", "ccei")),
+    "budget_harp": _market(lambda r: score.score_budget(r, ("garp", "harp")).select("user_id", "is_harp")),
+    "budget_afriat_success": _market(lambda r: score.score_budget(r, ("garp", "utility")).select("user_id", "utility_success")),
+    "budget_pump_pairs": _market(budget.pump_pairs),
     "budget_quasilinear_any_length": _market(structure.quasilinear),
     "budget_stone_geary": _market(structure.stone_geary),
     "budget_two_stage": _market(structure.two_stage_effects),
@@ -617,4 +621,24 @@ SELECT user_id, coalesce(is_regular, TRUE) AS is_regular, is_iia, coalesce(is_re
     "choice_attention": _F + """
 , s AS (SELECT user_id, item, least(1.0, 2 * sum(n) / sum(total)) AS a FROM freq GROUP BY user_id, item)
 SELECT user_id, CAST(item AS BIGINT) AS item, round(a, 6) AS attention, round(greatest(0.0, a - 0.2), 6) AS low, round(least(1.0, a + 0.2), 6) AS high FROM s""",
+    "budget_ccei": _GARP + """
+, levels AS (
+  SELECT DISTINCT user_id, e / own AS level FROM edges JOIN garp USING (user_id) WHERE NOT is_garp AND own > 0 AND e > 0 AND e / own < 1
+), at_level AS (
+  SELECT l.user_id, l.level, x.i, x.j, l.level * x.own >= x.e - 1e-10 AS r, l.level * x.own > x.e + 1e-10 AS p FROM levels l JOIN edges x USING (user_id)
+), level_steps AS (SELECT user_id, level, i, j FROM at_level WHERE r),
+level_reach(user_id, level, i, j) AS (
+  SELECT user_id, level, i, j FROM level_steps
+  UNION
+  SELECT a.user_id, a.level, a.i, b.j FROM level_reach a JOIN level_steps b ON b.user_id = a.user_id AND b.level = a.level AND b.i = a.j
+), broken AS (
+  SELECT DISTINCT x.user_id, x.level FROM at_level x JOIN level_reach b ON b.user_id = x.user_id AND b.level = x.level AND b.i = x.j AND b.j = x.i WHERE x.p
+), best AS (
+  SELECT user_id, max(level) AS level FROM levels ANTI JOIN broken USING (user_id, level) GROUP BY user_id
+)
+SELECT g.user_id, g.is_garp, round(CASE WHEN g.is_garp THEN 1.0 ELSE coalesce(b.level, 0.0) END, 6) AS ccei FROM garp g LEFT JOIN best b USING (user_id)""",
+    "budget_afriat_success": _GARP + "SELECT user_id, is_garp AS utility_success FROM garp",
+    "budget_pump_pairs": _GARP + """
+SELECT s.user_id, round(greatest(0.0, coalesce(max(((a.own - a.e) / a.own + (b.own - b.e) / b.own) / 2), 0.0)), 6) AS mpi_pairs
+FROM sizes s LEFT JOIN edges a ON a.user_id = s.user_id AND a.r AND a.i < a.j LEFT JOIN edges b ON b.user_id = a.user_id AND b.i = a.j AND b.j = a.i AND b.r GROUP BY s.user_id""",
 }
