@@ -142,8 +142,8 @@ def fitness(packing: Packing, capacity: int) -> tuple[int, float]:
     return size_of(packing), -sum(n * (sum(p) / capacity) ** 2 for p, n in packing.items())
 
 
-def best_fit(counts: dict[int, int], capacity: int, kept: Packing | None = None) -> Packing:
-    """Put pieces, longest first, into the fullest open bin that takes them, else into new bins."""
+def best_fit(counts: dict[int, int], capacity: int, kept: Packing | None = None, chance: random.Random | None = None) -> Packing:
+    """Put pieces, longest first (or nearly, with ``chance``), into the fullest open bin that takes them, else into new bins."""
     done: Counter = Counter()
     gaps: dict[int, dict[Pattern, int]] = {}
     order: list[int] = []
@@ -160,7 +160,8 @@ def best_fit(counts: dict[int, int], capacity: int, kept: Packing | None = None)
 
     for pattern, n in (kept or {}).items():
         put(pattern, n)
-    for length in sorted((k for k, n in counts.items() if n), reverse=True):
+    noise = {k: chance.uniform(0.7, 1.3) if chance else 1.0 for k in sorted(counts)}
+    for length in sorted((k for k, n in counts.items() if n), key=lambda k: (-k * noise[k], -k)):
         left = counts[length]
         while left:
             at = bisect_left(order, length)
@@ -211,17 +212,22 @@ def cross(mine: Packing, other: Packing, counts: dict[int, int], capacity: int,
 
 
 def mutate(packing: Packing, capacity: int, chance: random.Random) -> Packing:
-    """Empty the least filled bins and a few others, and best-fit their pieces."""
+    """Empty the least filled bins and a share of the others, and best-fit their pieces in a disturbed order."""
     free: Counter = Counter()
     kept: Packing = {}
-    short = capacity - capacity // 32
-    for pattern, n in packing.items():
-        gone = n if sum(pattern) < short and chance.random() < 0.7 else sum(chance.random() < 0.1 for _ in range(min(n, 20))) * n // 20 if n > 20 else sum(chance.random() < 0.1 for _ in range(n))
+    short, share = capacity - capacity // 32, chance.choice((0.05, 0.15, 0.4, 0.7))
+    for pattern, n in sorted(packing.items()):
+        if sum(pattern) < short and chance.random() < 0.7:
+            gone = n
+        else:
+            # of many equal bins the share itself goes, of few each by chance
+            gone = round(n * share * chance.uniform(0.5, 1.5)) if n > 20 else sum(chance.random() < share for _ in range(n))
+        gone = min(n, gone)
         for k in pattern:
             free[k] += gone
         if n > gone:
             kept[pattern] = n - gone
-    return best_fit(free, capacity, kept)
+    return best_fit(free, capacity, kept, chance if chance.random() < 0.7 else None)
 
 
 def evolve(counts: dict[int, int], capacity: int, start: list[Packing], generations: int, population: int, seed: int) -> list[Packing]:

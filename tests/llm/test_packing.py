@@ -43,7 +43,7 @@ def test_evolution_reaches_the_optimum():
         chance = random.Random(seed)
         lengths = [chance.randint(8, 60) for _ in range(10)]
         counts = dict(Counter(lengths))
-        pool = packing.evolve(counts, 100, [], 15, 8, seed)
+        pool = packing.evolve(counts, 100, [], 60, 12, seed)
         assert uses(pool[0]) == Counter(lengths)
         assert all(sum(p) <= 100 for p in pool[0])
         assert packing.size_of(pool[0]) == optimum(lengths, 100)
