@@ -73,39 +73,45 @@ def matches(text: Column, pattern: str) -> Column:
 
 def _tail(z: Column) -> Column:
     """P(Z > z) of the normal distribution, by a logistic of a cubic (error below 0.0002), clipped to 1e-18."""
-    z = F.least(F.lit(12.0), F.greatest(F.lit(-12.0), z))
-    return F.greatest(F.lit(1e-18), 1 / (1 + F.exp(z * 1.5976 + 0.070565992 * z * z * z)))
+    return let(F.least(F.lit(12.0), F.greatest(F.lit(-12.0), z)), lambda v: F.greatest(F.lit(1e-18), 1 / (1 + F.exp(v * 1.5976 + 0.070565992 * v * v * v))))
 
 
-def _battery(token: Column, alphabet: str) -> Column:
-    """Combined probability that uniform text over the alphabet looks at least as unlike it as the token."""
-    size, n = len(alphabet), F.length(token).cast("double")
-    squares = reduce(lambda a, b: a + b, [F.pow(n - F.length(F.replace(token, F.lit(c), F.lit(""))), F.lit(2.0)) for c in alphabet])
-    degrees = size - 1
-    # Wilson and Hilferty's cube root makes chi-squared nearly normal
-    spread = 2 / (9 * degrees)
-    uneven = _tail((F.pow(F.greatest(F.lit(0.0), squares * size / n - n) / degrees, F.lit(1 / 3)) - (1 - spread)) / spread**0.5)
+def _battery(token: Column, alphabet: Column) -> Column:
+    """Combined probability that uniform text over the alphabet looks at least as unlike it as the token.
 
-    def ordered(index: Column) -> Column:
-        pairs = F.arrays_zip(F.slice(index, F.lit(1), F.size(index) - 1).alias("a"), F.slice(index, F.lit(2), F.size(index) - 1).alias("b"))
-        high = F.size(F.filter(index, lambda i: i >= size / 2)).cast("double")
-
-        def tests(pair: Column) -> Column:
-            runs = F.size(F.filter(pair, lambda p: (p["a"] >= size / 2) != (p["b"] >= size / 2))) + 1
-            mixed = 2 * high * (n - high)
-            mean = mixed / n + 1
-            variance = mixed * (mixed - n) / (n * n * (n - 1))
-            of_runs = F.when(variance > 0, 2 * _tail(F.abs(runs - mean) / F.sqrt(variance))).otherwise(F.lit(1e-18))
-            middle, width = (size - 1) / 2, (size * size - 1) / 12
-            product = F.aggregate(pair, F.lit(0.0), lambda s, p: s + (p["a"] - middle) * (p["b"] - middle))
-            serial = 2 * _tail(F.abs(product) / (width * F.sqrt(n - 1)))
-            x = -(F.log(uneven) + F.log(F.least(F.lit(1.0), of_runs)) + F.log(F.least(F.lit(1.0), serial)))
-            # the upper tail of chi-squared with six degrees of freedom at 2x
-            return F.exp(-x) * (1 + x + x * x / 2)
-
-        return let(pairs, tests)
+    Each step binds its values once, so the expression stays small.
+    """
+    start = F.struct(
+        token.alias("t"),
+        F.length(token).cast("double").alias("n"),
+        F.length(alphabet).cast("double").alias("size"),
+        F.split(alphabet, "").alias("letters"),
+        F.transform(F.split(token, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double")).alias("index"),
+    )
 
-    return let(F.transform(F.split(token, ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double")), ordered)
+    def counts(s: Column) -> Column:
+        squares = F.aggregate(s["letters"], F.lit(0.0), lambda h, c: h + F.pow(s["n"] - F.length(F.replace(s["t"], c, F.lit(""))), F.lit(2.0)))
+        last = F.size(s["index"]) - 1
+        pairs = F.arrays_zip(F.slice(s["index"], F.lit(1), last).alias("a"), F.slice(s["index"], F.lit(2), last).alias("b"))
+        high = F.size(F.filter(s["index"], lambda i: i >= s["size"] / 2)).cast("double")
+        return let(F.struct(s["n"].alias("n"), s["size"].alias("size"), squares.alias("squares"), pairs.alias("pairs"), high.alias("high")), scores)
+
+    def scores(s: Column) -> Column:
+        n, size = s["n"], s["size"]
+        # Wilson and Hilferty's cube root makes chi-squared nearly normal
+        spread = 2 / (9 * (size - 1))
+        uneven = (F.pow(F.greatest(F.lit(0.0), s["squares"] * size / n - n) / (size - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
+        runs = F.size(F.filter(s["pairs"], lambda p: (p["a"] >= size / 2) != (p["b"] >= size / 2))) + 1
+        mixed = 2 * s["high"] * (n - s["high"])
+        variance = mixed * (mixed - n) / (n * n * (n - 1))
+        of_runs = F.when(variance > 0, F.abs(runs - mixed / n - 1) / F.sqrt(variance)).otherwise(F.lit(12.0))
+        product = F.aggregate(s["pairs"], F.lit(0.0), lambda h, p: h + (p["a"] - (size - 1) / 2) * (p["b"] - (size - 1) / 2))
+        serial = F.abs(product) / ((size * size - 1) / 12 * F.sqrt(n - 1))
+        twice = lambda z: F.least(F.lit(1.0), 2 * _tail(z))
+        # Fisher: the upper tail of chi-squared with six degrees of freedom at 2x
+        return let(-(F.log(_tail(uneven)) + F.log(twice(of_runs)) + F.log(twice(serial))), lambda x: F.exp(-x) * (1 + x + x * x / 2))
+
+    return let(start, counts)
 
 
 def candidate(found: Column) -> Column:
@@ -113,11 +119,10 @@ def candidate(found: Column) -> Column:
     token = F.rtrim(found["value"], F.lit("="))
 
     def tested(t: Column) -> Column:
-        name, chance = F.lit("mixed"), _battery(t, ANY)
+        encoding = F.struct(F.lit("mixed").alias("name"), F.lit(ANY).alias("alphabet"))
         for kind, pattern, alphabet in reversed(ENCODINGS):
-            fits = t.rlike(pattern)
-            name, chance = F.when(fits, F.lit(kind)).otherwise(name), F.when(fits, _battery(t, alphabet)).otherwise(chance)
-        return F.struct(found["start"].alias("start"), found["end"].alias("end"), F.length(t).alias("chars"), name.alias("encoding"), chance.alias("p"))
+            encoding = F.when(t.rlike(pattern), F.struct(F.lit(kind).alias("name"), F.lit(alphabet).alias("alphabet"))).otherwise(encoding)
+        return let(encoding, lambda e: F.struct(found["start"].alias("start"), found["end"].alias("end"), F.length(t).alias("chars"), e["name"].alias("encoding"), _battery(t, e["alphabet"]).alias("p")))
 
     return let(token, tested)
 
@@ -156,7 +161,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", keep_text: bool = True) ->
     docs = docs.drop("n_assign", "n_access", "n_hex", "base", "spans", "candidates")
     text = F.coalesce(F.col(text_col), F.lit(""))
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1))
-    assigned = let(values, lambda v: F.filter(matches(text, ASSIGN), lambda m, i: F.length(F.get(v, i)) >= ASSIGN_CHARS))
+    assigned = F.filter(F.zip_with(matches(text, ASSIGN), F.when(text.rlike(ASSIGN), values).otherwise(F.array().cast("array<string>")), lambda m, v: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.length(v).alias("chars"))), lambda m: m["chars"] >= ASSIGN_CHARS)
     found = docs.withColumns({"__a": assigned, "__k": matches(text, ACCESS), "__h": matches(text, HEX), "__c": matches(text, CANDIDATE)})
     span = lambda kind: lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"))
     base = F.array_sort(F.concat(*[F.transform(c, span(k)) for k, c in enumerate(("__a", "__k", "__h"))]))
