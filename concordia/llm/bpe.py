@@ -5,8 +5,8 @@ state in which every base symbol is an arc, and each merge (a, b), in order, add
 gadget: wherever a is followed by b, an arc for the merged token is added, and the state
 behind a loses its b arc.  All arcs of a token lead to one state, and the state behind a
 merged token starts as the state behind its right part was at that moment, so the gadgets
-are held as four tables (when a token was made, of what, when a pair was cut, which arc
-answers are known) and arcs are followed through them on demand, once for each pair.
+are held as tables (when a token was made, of what, whether it lives, when a pair was cut)
+and arcs are followed through them on demand, once for each pair.
 
 A word is encoded from left to right: at each place the longest token that ends there
 and that is an arc of the state before it.  Words are those of the file's own splitting
@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from concordia.llm._common import table, texts_of
 from concordia.llm.packing import byte_symbols
@@ -51,12 +52,15 @@ class Automaton:
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self._check(spec)
         self.labels = {i: label for label, i in vocab.items()}
-        self.made, self.parts, self.cut = dict.fromkeys(self.labels, -1), {}, {}
+        self.made, self.parts, self.cut, self.live = dict.fromkeys(self.labels, -1), {}, {}, {}
         for time, (left, right) in enumerate(merges):
             a, b, token = vocab[left], vocab[right], vocab[left + right]
             if self.made[token] >= 0 or self.made[a] >= time or self.made[b] >= time:
                 raise ValueError("each merge has to make a new token of earlier ones")
-            self.made[token], self.parts[token], self.cut[a, b] = time, (a, b), time
+            self.made[token], self.parts[token] = time, (a, b)
+            # a merge whose right part has no arc behind its left part makes no token
+            self.live[token] = self.arc(a, b, time)
+            self.cut[a, b] = time
         #: Tokens by their symbols: an end-of-word suffix belongs to the last symbol.
         self.tokens: dict[tuple[str, ...] | str, int] = {}
         self.final: dict[str, int] = {}
@@ -72,6 +76,7 @@ class Automaton:
         self.labels |= {i: t for t, i in self.special.items()}
         self.cutter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.bytes = {b: s for s, b in byte_symbols().items()}
+        self.library = Tokenizer.from_file(path)
         self.arcs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
 
@@ -84,23 +89,24 @@ class Automaton:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # the library's white space is the Unicode property; this module's \s has more
         self.splitter = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        # letters that only this module's newer Unicode knows: texts with them are split by the library itself
+        unassigned = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn")
+        self.newer = frozenset(regex.findall(r"[\p{L}\p{N}]", unassigned))
 
     def arc(self, u: int, t: int, time: int = END) -> bool:
         """Whether the state behind token u has an arc t once the merges before ``time`` have their gadgets."""
-        while True:
-            cut = self.cut.get((u, t))
-            if cut is not None and cut < time:
-                return False
-            made_u, made_t = self.made[u], self.made[t]
-            if made_u < 0 and made_t < 0:
-                return True
+        made, parts, cut = self.made, self.parts, self.cut
+        while cut.get((u, t), END) >= time:
+            made_u, made_t = made[u], made[t]
             if made_t >= made_u:
-                left, right = self.parts[t]
-                if not self.arc(left, right, made_t):
+                if made_t < 0:
+                    return True
+                if not self.live[t]:
                     return False
-                t, time = left, made_t + 1
+                t, time = parts[t][0], made_t + 1
             else:
-                u, time = self.parts[u][1], made_u
+                u, time = parts[u][1], made_u
+        return False
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, given as byte symbols."""
@@ -129,17 +135,30 @@ class Automaton:
             at -= size[at]
         return out[::-1]
 
+    def _ids(self, symbols: str) -> bytes:
+        return np.array(self.encode_word(symbols), dtype="<u4").tobytes()
+
     def _word(self, word: str) -> bytes:
         if (known := self.words.get(word)) is not None:
             return known
-        ids = np.array(self.encode_word("".join(map(self.bytes.__getitem__, word.encode("utf-8", "surrogatepass")))), dtype="<u4").tobytes()
+        ids = self._ids("".join(map(self.bytes.__getitem__, word.encode("utf-8", "surrogatepass"))))
         if len(word) <= CACHED_CHARS:
             if len(self.words) >= CACHED_WORDS:
                 self.words.clear()
             self.words[word] = ids
         return ids
 
+    def _has_newer(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not self.newer.isdisjoint(text)
+        return False
+
     def _plain(self, text: str) -> bytes:
+        if self._has_newer(text):
+            text = self.library.normalizer.normalize_str(text)
+            return b"".join(self._ids(symbols) for symbols, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
         text = unicodedata.normalize("NFC", text)
         # lower-casing goes letter by letter: no final form of sigma
         text = text.replace("Σ", "σ").lower()

@@ -15,6 +15,7 @@ def test_texts_equal_the_library():
     chance = random.Random(1)
     alphabet = "aaabbcdeehillnorstttuw'  ΣİßẞéÉ0123٣你好́가\x1c\x85\xa0\n\t!?.,<|>"
     texts = ["".join(chance.choice(alphabet) for _ in range(chance.randint(0, 40))) for _ in range(3000)]
+    texts += [f"a{chr(c)}b" for c in range(0x80, 0x3000)] + [f"a{chr(c)}b" for c in range(0x10900, 0x11000)]
     texts += ["a" * k for k in range(1, 70)] + ["ha" * k for k in range(1, 50)] + ["", " ", "x<|startoftext|>y<|endoftext|>", "<|endoftext|>" * 3, "é" * 50]
     texts += ["".join(chance.choice("abcdefghinorstu") for _ in range(chance.randint(1, 25))) for _ in range(5000)]
     for text in texts:
