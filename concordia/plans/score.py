@@ -73,28 +73,32 @@ def budget_scores(p: np.ndarray, q: np.ndarray, metrics: tuple[str, ...], tol: f
 
 def menu_scores(rows: list[tuple[list[list[int]], list[int]]], n_items: int, count: str = "items") -> dict[str, np.ndarray | list]:
     """All columns of MENU for users with items 0 to n_items - 1; ``count``: what hm counts, items or observations."""
-    began = time.perf_counter()
-    users = len(rows)
     direct = kernels.menu_relation(rows, n_items)
+    out = relation_scores(direct, np.array([len(set(c)) / max(1, len(c)) for _, c in rows]))
+    if count == "observations":
+        kept = [observations_kept(menus, choices, direct[u]) for u, (menus, choices) in enumerate(rows)]
+        out |= {"hm_consistent": kept, "hm_total": [len(c) for _, c in rows]}
+    return out
+
+
+def relation_scores(direct: np.ndarray, diversity: np.ndarray) -> dict[str, np.ndarray | list]:
+    """All columns of MENU from the direct relations of users with one number of items."""
+    began = time.perf_counter()
+    users, n_items = direct.shape[:2]
     reach = kernels.closure(direct)
-    _, n_scc, max_scc = kernels.components(reach)
+    labels, n_scc, max_scc = kernels.components(reach)
     upper = np.triu(np.ones((n_items, n_items), dtype=bool), 1)
     sarp = (reach & reach.transpose(0, 2, 1) & upper).sum(axis=(1, 2))
     warp = (direct & direct.transpose(0, 2, 1) & upper).sum(axis=(1, 2))
-    labels, sizes = kernels.components(reach)[0], np.zeros((users, n_items), dtype=int)
-    for u in range(users):
-        sizes[u] = np.bincount(labels[u], minlength=n_items)
-    kept, total = n_items - (sizes // 2).sum(axis=1), [n_items] * users
-    if count == "observations":
-        kept, total = [observations_kept(menus, choices, direct[u]) for u, (menus, choices) in enumerate(rows)], [len(c) for _, c in rows]
+    sizes = np.bincount((labels + np.arange(users)[:, None] * n_items).ravel(), minlength=users * n_items).reshape(users, n_items)
     out_degree = direct.sum(axis=2)
     edges = out_degree.sum(axis=1)
     share = out_degree / np.maximum(1, edges)[:, None]
     entropy = -np.where(share > 0, share * np.log2(np.where(share > 0, share, 1)), 0).sum(axis=1)
     return {
-        "is_sarp": sarp == 0, "is_warp": warp == 0, "is_warp_la": kernels.limited_attention(direct), "n_sarp_violations": sarp, "n_warp_violations": warp, "hm_consistent": kept, "hm_total": total,
-        "max_scc": max_scc, "n_scc": n_scc, "r_density": edges / max(1, n_items * (n_items - 1)), "pref_entropy": np.abs(entropy), "choice_diversity": [len(set(c)) / max(1, len(c)) for _, c in rows],
-        "compute_time_us": [int((time.perf_counter() - began) * 1e6 / max(1, users))] * users,
+        "is_sarp": sarp == 0, "is_warp": warp == 0, "is_warp_la": kernels.limited_attention(direct), "n_sarp_violations": sarp, "n_warp_violations": warp,
+        "hm_consistent": n_items - (sizes // 2).sum(axis=1), "hm_total": [n_items] * users, "max_scc": max_scc, "n_scc": n_scc, "r_density": edges / max(1, n_items * (n_items - 1)),
+        "pref_entropy": np.abs(entropy), "choice_diversity": diversity, "compute_time_us": [int((time.perf_counter() - began) * 1e6 / max(1, users))] * users,
     }
 
 
@@ -205,19 +209,43 @@ def score_menu(rows: DataFrame, *, count: str = "items") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes: dict[int, list[int]] = defaultdict(list)
-            held = []
-            for u, (menus, choices) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                index = {item: k for k, item in enumerate(sorted({i for m in menus for i in m}))}
-                held.append(([[index[i] for i in m] for m in menus], [index[c] for c in choices]))
-                sizes[len(index)].append(u)
-
-            def parts(held=held, sizes=sizes):
-                for n, users in sorted(sizes.items()):
+            if not batch.num_rows:
+                continue
+            menus, choices = batch.column(1), batch.column(2)
+            outer, inner = np.asarray(menus.offsets), np.asarray(menus.values.offsets)
+            users = np.arange(batch.num_rows)
+            of_menu = np.repeat(users, np.diff(outer))
+            inner = inner[outer[0] : outer[-1] + 1]
+            items = np.asarray(menus.values.values)[inner[0] : inner[-1]].astype(np.int64)
+            menu_of = np.repeat(np.arange(len(of_menu)), np.diff(inner))
+            taken = np.asarray(choices.values)[np.asarray(choices.offsets)[0] : np.asarray(choices.offsets)[-1]].astype(np.int64)
+            # items of each user as 0, 1, …
+            known, place = np.unique((of_menu[menu_of] << 32) + items, return_inverse=True)
+            sizes = np.bincount(known >> 32, minlength=len(users))
+            first = np.cumsum(sizes) - sizes
+            place = place - first[of_menu[menu_of]]
+            chosen = np.searchsorted(known, (of_menu << 32) + taken) - first[of_menu]
+            distinct = np.bincount(np.unique((of_menu << 32) + taken) >> 32, minlength=len(users))
+            diversity = distinct / np.maximum(1, np.diff(outer))
+
+            def parts(of_item=of_menu[menu_of], place=place, chosen=chosen[menu_of], sizes=sizes, diversity=diversity, batch=batch):
+                for n in np.unique(sizes).tolist():
+                    mine = np.flatnonzero(sizes == n)
                     step = max(1, CELLS // max(1, n * n))
-                    for at in range(0, len(users), step):
-                        some = users[at : at + step]
-                        yield some, menu_scores([held[u] for u in some], n, count)
+                    for at in range(0, len(mine), step):
+                        some = mine[at : at + step]
+                        row = np.full(len(sizes), -1)
+                        row[some] = np.arange(len(some))
+                        use = row[of_item] >= 0
+                        direct = np.zeros((len(some), n, n), dtype=bool)
+                        direct[row[of_item[use]], chosen[use], place[use]] = True
+                        direct[:, np.arange(n), np.arange(n)] = False
+                        found = relation_scores(direct, diversity[some])
+                        if count == "observations":
+                            index = [{i: k for k, i in enumerate(sorted({i for m in batch.column(1)[u].as_py() for i in m}))} for u in some.tolist()]
+                            kept = [observations_kept([[x[i] for i in m] for m in batch.column(1)[u].as_py()], [x[c] for c in batch.column(2)[u].as_py()], d) for u, x, d in zip(some.tolist(), index, direct, strict=True)]
+                            found |= {"hm_consistent": kept, "hm_total": [len(batch.column(2)[u]) for u in some.tolist()]}
+                        yield some.tolist(), found
 
             yield _batch(batch.column(0), MENU, _gather(MENU, batch.num_rows, parts()))
 
