@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Periods of a price grid at most; they are named in the plan.
 MAX_PERIODS = 20_000
+#: Cells of a price grid that are held on the driver and broadcast at most; a larger grid is shuffled.
+MAX_CELLS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +47,12 @@ def fill_grid(prices: DataFrame) -> DataFrame:
 
 def price_grid(bought: DataFrame) -> DataFrame:
     """Median unit prices in whole cents, so that costs are exact and ties are ties everywhere."""
-    grid = fill_grid(bought.groupBy("t", "item").agg(F.percentile("unit", 0.5).alias("price")))
+    medians = bought.groupBy("t", "item").agg(F.percentile("unit", 0.5).alias("price"))
+    # periods and items are few: their medians are computed once, however often the grid is read
+    found = medians.limit(MAX_CELLS + 1).collect()
+    if len(found) <= MAX_CELLS:
+        medians = bought.sparkSession.createDataFrame(found, medians.schema)
+    grid = fill_grid(medians)
     return grid.select("t", "item", F.floor(F.col("price") * 100 + 0.5).cast("double").alias("price"))
 
 
@@ -59,10 +66,17 @@ def imputed_prices(bought: DataFrame) -> DataFrame:
 
 
 def budgets(bought: DataFrame) -> DataFrame:
-    """Budget rows (user_id, obs) over all items of the grid, which are few."""
+    """Budget rows (user_id, obs) over all items of the grid, which are few.
+
+    Purchases are dealt by user once; the groups by user, time and item that follow keep that.
+    """
     grid = price_grid(bought).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("item", "price"))).alias("cells"))
     grid = grid.select("t", F.transform("cells", lambda c: c["item"]).alias("items"), F.transform("cells", lambda c: c["price"]).alias("p"))
-    cells = bought.groupBy("user_id", "t", "item").agg(F.sum("quantity").alias("quantity"))
+    rows = grid.limit(MAX_CELLS // 100 + 1).collect()
+    if len(rows) <= MAX_CELLS // 100 and sum(len(r["p"]) for r in rows) <= MAX_CELLS:
+        # checked just above
+        grid = F.broadcast(bought.sparkSession.createDataFrame(rows, grid.schema))
+    cells = bought.repartition("user_id").groupBy("user_id", "t", "item").agg(F.sum("quantity").alias("quantity"))
     cells = cells.groupBy("user_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("item", "quantity"))).alias("by_item"))
     q = F.transform("items", lambda i: F.coalesce(F.element_at("by_item", i), F.lit(0.0)))
     rows = cells.join(grid, "t").select("user_id", "t", "p", q.alias("q"))
