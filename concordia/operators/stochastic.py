@@ -67,12 +67,12 @@ def luce(freq: DataFrame) -> DataFrame:
 
 
 def decoys(freq: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """Items t of pairs of menus {t, c} and {t, c, d} that the third item makes likelier by more than the threshold."""
+    """What the third item of {t, c, d} adds to the share of t in {t, c}; a decoy if more than the threshold."""
     two = freq.filter(F.size("menu") == 2).select("user_id", F.col("menu").alias("pair"), F.col("item").alias("target"), F.col("p").alias("p2"))
     three = freq.filter(F.size("menu") == 3).select("user_id", "menu", F.col("item").alias("target"), F.col("p").alias("p3"))
     both = two.join(three, ["user_id", "target"]).filter(F.size(F.array_except("pair", "menu")) == 0)
     rows = both.select("user_id", "target", F.get(F.array_except("menu", "pair"), F.lit(0)).alias("decoy"), (F.col("p3") - F.col("p2")).alias("gain"))
-    return rows.filter(F.col("gain") > threshold)
+    return rows.withColumn("is_decoy", F.col("gain") > threshold)
 
 
 def axioms(freq: DataFrame) -> DataFrame:
@@ -92,10 +92,10 @@ def attention(freq: DataFrame) -> DataFrame:
 
 
 def compromises(freq: DataFrame, attributes: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """Items in the middle of three by an attribute (item, a) that the third item makes likelier than in pairs by more than the threshold."""
+    """What the item in the middle of three by an attribute (item, a) gains over its mean share in pairs of them; a compromise if more than the threshold."""
     three = freq.filter(F.size("menu") == 3).join(attributes, "item")
     cells = three.groupBy("user_id", "menu").agg(F.array_sort(F.collect_list(F.struct("a", "item", "p"))).alias("c"))
     middle = cells.select("user_id", "menu", F.get("c", F.lit(1))["item"].alias("item"), F.get("c", F.lit(1))["p"].alias("p3"))
     two = freq.filter(F.size("menu") == 2).select("user_id", F.col("menu").alias("pair"), "item", F.col("p").alias("p2"))
     both = middle.join(two, ["user_id", "item"]).filter(F.size(F.array_except("pair", "menu")) == 0)
-    return both.groupBy("user_id", "menu", "item").agg((F.max("p3") - F.avg("p2")).alias("gain")).filter(F.col("gain") > threshold)
+    return both.groupBy("user_id", "menu", "item").agg((F.max("p3") - F.avg("p2")).alias("gain")).withColumn("is_compromise", F.col("gain") > threshold)

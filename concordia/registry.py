@@ -258,7 +258,7 @@ QUERIES |= {
     "choice_axioms": _frequencies(stochastic.axioms),
     "choice_attention": _frequencies(lambda f: stochastic.attention(f).withColumn("item", F.col("item").cast("long"))),
     "choice_compromises": lambda spark, d: rounded(stochastic.compromises(
-        stochastic.frequencies(market.daily_menus(market.events(spark, d, FEW_ITEMS)).withColumn("user_id", F.lit("all"))), market.item_features(spark, d).select("item", F.get("x", F.lit(0)).alias("a"))).withColumn("menu", F.concat_ws(",", F.transform("menu", lambda i: i.cast("string"))))),
+        stochastic.frequencies(market.daily_menus(market.events(spark, d, FEW_ITEMS)).withColumn("user_id", F.lit("all"))), market.item_features(spark, d).select("item", F.get("x", F.lit(0)).alias("a"))).withColumns({"menu": F.concat_ws(",", F.transform("menu", lambda i: i.cast("string"))), "item": F.col("item").cast("long")})),
     "rank_dependent_utility": lambda spark, d: menus.rank_dependent(menus.as_lotteries(market.lotteries(spark, d))),
     "spatial_metrics": lambda spark, d: rounded(structure.spatial(_obs(market.daily_menus(market.events(spark, d, ITEMS))), market.item_features(spark, d))),
 }
@@ -450,8 +450,8 @@ SELECT user_id, count(*) AS n_triples, count(*) FILTER (pxz < 0.49) AS weak, cou
 , s AS (SELECT user_id, item, sum(n) / sum(total) AS share FROM freq GROUP BY user_id, item)
 SELECT user_id, CAST(item AS BIGINT) AS item, round(share, 6) AS share, round(ln(greatest(share, 1e-10)) - min(ln(greatest(share, 1e-10))) OVER (PARTITION BY user_id), 6) AS utility FROM s""",
     "choice_decoys": _F + """
-SELECT a.user_id, CAST(a.item AS BIGINT) AS target, CAST(list_filter(b.menu, lambda z: NOT list_contains(a.menu, z))[1] AS BIGINT) AS decoy, round(b.p - a.p, 6) AS gain
-FROM freq a JOIN freq b ON a.item = b.item AND len(a.menu) = 2 AND len(b.menu) = 3 AND list_has_all(b.menu, a.menu) WHERE b.p - a.p > 0.05""",
+SELECT a.user_id, CAST(a.item AS BIGINT) AS target, CAST(list_filter(b.menu, lambda z: NOT list_contains(a.menu, z))[1] AS BIGINT) AS decoy, round(b.p - a.p, 6) AS gain, b.p - a.p > 0.05 AS is_decoy
+FROM freq a JOIN freq b ON a.item = b.item AND len(a.menu) = 2 AND len(b.menu) = 3 AND list_has_all(b.menu, a.menu)""",
     "pairwise_wins": _M + "SELECT CAST(choice AS BIGINT) AS winner, CAST(item AS BIGINT) AS loser, count(*) AS n FROM shown WHERE item <> choice GROUP BY choice, item",
     "borda_count": _M + """
 , points AS (SELECT user_id, choice AS item, sum(len(menu) - 1) AS points FROM menus GROUP BY user_id, choice),
@@ -641,4 +641,9 @@ SELECT g.user_id, g.is_garp, round(CASE WHEN g.is_garp THEN 1.0 ELSE coalesce(b.
     "budget_pump_pairs": _GARP + """
 SELECT s.user_id, round(greatest(0.0, coalesce(max(((a.own - a.e) / a.own + (b.own - b.e) / b.own) / 2), 0.0)), 6) AS mpi_pairs
 FROM sizes s LEFT JOIN edges a ON a.user_id = s.user_id AND a.r AND a.i < a.j LEFT JOIN edges b ON b.user_id = a.user_id AND b.i = a.j AND b.j = a.i AND b.r GROUP BY s.user_id""",
+    "choice_compromises": _F + """
+, a AS (SELECT label AS item, arg_min(embedding, vec_id)[1] AS a FROM embeddings GROUP BY label),
+three AS (SELECT f.user_id, f.menu, f.item, f.p, row_number() OVER (PARTITION BY f.menu ORDER BY a.a, f.item) AS k, count(*) OVER (PARTITION BY f.menu) AS n FROM freq f JOIN a USING (item) WHERE len(f.menu) = 3)
+SELECT t.user_id, array_to_string(t.menu, ',') AS menu, CAST(t.item AS BIGINT) AS item, round(max(t.p) - avg(f.p), 6) AS gain, max(t.p) - avg(f.p) > 0.05 AS is_compromise
+FROM three t JOIN freq f ON f.item = t.item AND len(f.menu) = 2 AND list_has_all(t.menu, f.menu) WHERE t.k = 2 GROUP BY t.user_id, t.menu, t.item""",
 }
