@@ -46,6 +46,8 @@ REGISTERS, BAND, BASE, RATE = 128, 4, 1.001, 20.0
 ESTIMATE_FLOOR = 0.58
 #: Classes of a block in the full search of a bucket, and texts of a block in the comparison with a component.
 BLOCK, TEXT_BLOCK = 1024, 512
+#: Partitions over which the rows of one bucket or cluster spread.
+SALTS = 16
 #: Words whose hashes a worker remembers; hashes that are minimised at once.
 CACHED_WORDS, CHUNK = 400_000, 4096
 
@@ -230,7 +232,10 @@ def _blocks(rows: DataFrame, sizes: DataFrame, by: str, block: int) -> DataFrame
         F.ceil(F.col("top.n") / block).cast("int").alias("top_blocks"),
         F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("blocks"),
     )
-    rows = rows.join(mixed, by).withColumn("out", F.col("label") != F.col("top"))
+    # a hot group's rows meet its one row of ``mixed`` in SALTS partitions
+    mixed = mixed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    rows = rows.join(mixed, [by, "__salt"]).drop("__salt").withColumn("out", F.col("label") != F.col("top"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("blocks")).otherwise(F.col("top_blocks"))).cast("int"))
     each = lambda n, body: F.transform(F.sequence(F.lit(0), F.col(n) - 1), body)
     pair = lambda first, second: F.struct(first.alias("first"), second.alias("second"))
