@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 TOL = 1e-10
+#: Rows of relations below which calls cost more than their work.
+FEW_ROWS = 4096
 
 
 def costs(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,23 +30,27 @@ def relations(cost: np.ndarray, own: np.ndarray, level: np.ndarray | float = 1.0
 
 
 def closure(relation: np.ndarray) -> np.ndarray:
-    """Reflexive transitive closure, by squaring in single precision or by pivots when there are few nodes."""
-    n = relation.shape[1]
+    """Reflexive transitive closure: by pivots on rows packed to words of 64 bits, or by squaring for few users of many nodes."""
+    users, n = relation.shape[:2]
     out = relation.copy()
     diagonal = np.arange(n)
     out[:, diagonal, diagonal] = True
-    if n <= 24:
-        for k in range(n):
-            out |= out[:, :, k, None] & out[:, None, k, :]
-        return out
-    reached = int(out.sum())
-    while True:
-        step = out.astype(np.float32)
-        out = np.matmul(step, step) > 0
-        now = int(out.sum())
-        if now == reached:
-            return out
-        reached = now
+    if 24 < n <= 512 and users * n < FEW_ROWS:
+        reached = int(out.sum())
+        while True:
+            step = out.astype(np.float32)
+            out = np.matmul(step, step) > 0
+            if (now := int(out.sum())) == reached:
+                return out
+            reached = now
+    packed = np.zeros((users, n, -(-n // 64) * 8), dtype=np.uint8)
+    packed[:, :, : -(-n // 8)] = np.packbits(out, axis=2, bitorder="little")
+    rows = packed.view("<u8")
+    for k in range(n):
+        # all ones for the rows that reach k
+        mask = np.uint64(0) - ((rows[:, :, k >> 6] >> np.uint64(k & 63)) & np.uint64(1))
+        rows |= mask[:, :, None] & rows[:, None, k, :]
+    return np.unpackbits(packed, axis=2, count=n, bitorder="little").view(bool)
 
 
 def components(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
