@@ -2,7 +2,7 @@
 
 Three patterns (values assigned to names such as password or token, access key ids, runs
 of hex digits) give the base spans.  Every other token of letters, digits and the signs
-of base64 that mixes kinds of characters is a candidate.  Its encoding is inferred from
+of base64 that holds a letter is a candidate, a value after "=" too.  Its encoding is inferred from
 the characters it has; against uniform random text over that alphabet three tests run:
 chi-squared of the character counts, runs above and below the alphabet's middle, and
 serial correlation of neighbours.  Fisher's method combines them.  Candidates that the
@@ -34,8 +34,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS, ASSIGN_CHARS = ("assign", "access", "hex", "random"), 12
-#: Runs that may be encoded bytes; the lookaheads ask for a digit and a letter within.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Runs that may be encoded bytes, whole ones (a value may follow "="); the lookahead asks for a letter within.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings by the pattern of their characters, in the order in which they are tried, with their alphabets.
 ENCODINGS = (

@@ -77,6 +77,22 @@ def test_random_tokens_are_found_and_others_left(spark):
     assert not any(r["spans"] for r in found if r["kind"] == "n")
 
 
+def test_random_values_after_an_equals_sign(spark):
+    chance = random.Random(7)
+    letters = m.ENCODINGS[4][2]
+    names = ["AWS_SECRET_ACCESS_KEY=", "secret_key=", "AccountKey=", "https://h.example/x?sig=", "DB_PASS=", "AccountKey: ", "AZURE_STORAGE_CONNECTION_ACCOUNT_KEY=", "a == "]
+    rows = [("r", name, "".join(chance.choice(abc) for _ in range(n)), end) for name in names for n in (28, 40, 64) for abc in (letters, letters[10:]) for end in ("", "=", "==") for _ in range(2)]
+    rows += [("n", "", t, "") for t in ("InternationalConfigurationManagementService=on", "path=config/path/to/some/other/index", "AZURE_STORAGE_CONNECTION_ACCOUNT_KEY=none", "x=" + "z" * 40, "==" + "-" * 40)]
+    df = spark.createDataFrame(rows, "kind string, name string, value string, tail string").selectExpr("*", "concat(name, value, tail, ' end') AS text")
+    found = m.scan(df).withColumn("masked", m.redact(F.col("text"), F.col("spans"))).collect()
+    for name in names:
+        hits = [r["masked"] == name + "[SECRET] end" for r in found if r["kind"] == "r" and r["name"] == name]
+        assert np.mean(hits) > 0.75
+    for abc in (letters, letters[10:]):
+        assert np.mean([r["masked"] == r["name"] + "[SECRET] end" for r in found if r["kind"] == "r" and set(r["value"]) <= set(abc)]) > 0.85
+    assert not any(r["spans"] for r in found if r["kind"] == "n")
+
+
 def test_redaction(spark):
     rows = [(t,) for t in [*TRICKY, "nothing here"]]
     found = m.scan(spark.createDataFrame(rows, "text string"))
