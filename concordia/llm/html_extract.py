@@ -2,8 +2,8 @@
 
 The pages of a host merge into one tree (Yi, Liu and Li 2003): a node is the path of
 element names, classes and ids from the root.  Every node counts how its presentation
-(the sequence of its child elements) and its content (the text of a leaf block) vary over
-the host's pages.  The entropy of either, over the logarithm of the number of pages, is its
+(the sequence of its child elements) and its content (the text directly in it, which makes
+it a leaf, with or without elements below) vary over the host's pages.  The entropy of either, over the logarithm of the number of pages, is its
 importance, 0 when all pages agree and 1 when all differ.  A leaf's composite importance
 weighs its content with the presentation of the node above it, and leaves of low composite
 importance, and so branches of nothing else, are removed from each page.  Element names and class or id words that say what a branch is for
@@ -198,10 +198,10 @@ class Page:
             self.blocks.append(([x[1] for x in self.stack[1:]], text, top[2] > 0, top[3] > 0))
 
     def text(self, low: frozenset[int]) -> str:
-        """The blocks that stay when branches of ``low`` importance go."""
+        """The blocks that stay when the text of nodes of ``low`` importance goes; blocks of nodes below have their own."""
         own = [b for b in self.blocks if not b[3]]
         inside = [b for b in own if b[2]]
-        return "\n".join(b[1] for b in inside or [b for b in own if low.isdisjoint(b[0])] or own)
+        return "\n".join(b[1] for b in inside or [b for b in own if not b[0] or b[0][-1] not in low] or own)
 
 
 def _signed(x: int) -> int:
@@ -223,11 +223,10 @@ def importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
                         content.setdefault(path[-1], []).append(text)
                         above[path[-1]] = path[-2] if len(path) > 1 else 0
                 leaves = {n: xxhash.xxh3_64_intdigest("\n".join(t).encode("utf-8", "replace")) for n, t in content.items()}
-                # the presentation of inner nodes: leaves are told apart by their content
+                # the presentation of inner nodes; one with text of its own is a leaf too
                 branches = {p for path, _, article, other in page.blocks if not article and not other for p in path[:-1]}
-                styles = {n: s for n, s in page.styles if n in branches and n not in leaves}
-                for node, value in [*leaves.items(), *styles.items()]:
-                    key = (host, node, above.get(node) if node in leaves else None, value)
+                styles = {n: s for n, s in page.styles if n in branches}
+                for key in [*((host, n, above[n], v) for n, v in leaves.items()), *((host, n, None, v) for n, v in styles.items())]:
                     seen[key] = seen.get(key, 0) + 1
             hosts, nodes, parents, values = zip(*seen, strict=True) if seen else ((), (), (), ())
             signed = [pa.array([None if x is None else _signed(x) for x in c], pa.int64()) for c in (nodes, parents, values)]

@@ -47,6 +47,18 @@ def test_site_tree_removes_what_repeats(spark):
     assert min(by) < m.LOW < 0.9 <= max(by)
 
 
+def test_mixed_content_keeps_what_lies_below(spark):
+    words = "river stone walk light seven garden paper open".split()
+    rows = [(i, f"http://post.example/{i}", f"<body><div class=post>By admin<p>A {w} paragraph</p><ul><li>And {w} again</ul></div><p class=date>day {i}</p></body>") for i, w in enumerate(words)]
+    rows += [(10 + i, f"http://bare.example/{i}", f"<html><body>Welcome<div class=top>Same on all pages</div><div class=x><p>A {w} paragraph</p></div></body></html>") for i, w in enumerate(words)]
+    rows += [(20 + i, f"http://turned.example/{i}", f"<body><div class=post>A {w} story<p>Same below</p></div></body>") for i, w in enumerate(words)]
+    got = {r["page_id"]: r["text"] for r in m.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, w in enumerate(words):
+        assert got[i] == f"A {w} paragraph\nAnd {w} again\nday {i}"
+        assert got[10 + i] == f"A {w} paragraph"
+        assert got[20 + i] == f"A {w} story"
+
+
 def test_copies_and_joins_by_host(spark, monkeypatch):
     rows = [(i, "http://a.example/", "<div><p>One text on all pages</p></div>") for i in range(9)]
     rows += [(20 + i, "http://b.example/p", f"<article><p>Copy</p></article><p class=x>{i}</p>") for i in range(9)]
