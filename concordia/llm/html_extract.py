@@ -10,9 +10,12 @@ importance, and so branches of nothing else, are removed from each page.  Elemen
 (menus, headers, adverts, comments) give it importance 0 from the start, and what lies in
 an article or main element keeps its importance, because pages may be copies.
 
-Pages of a host meet only as counts: (node, content) pairs are counted on each partition
-first, and only the hashes of unimportant nodes go back to the pages, so that a host with
-a third of all pages is no hot spot.
+Copies of a page on a host count once: pages with equal text apart from what is beside the
+article and from short dates, times and counters.  Copies that differ otherwise count each.
+
+Pages of a host meet only as counts: rows of (copy, node, content) are grouped by page and
+node, then counted by content, and only the hashes of unimportant nodes go back to the
+pages, so that a host with a third of all pages is no hot spot.
 
 Defined results: null or empty html gives an empty text; a page without article or main
 element gives its remaining blocks, or if none remain (pages that are copies) all that
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from concordia.llm._common import materialize, table
 
-#: Importance below which a branch is removed, from so many pages of the host on.
+#: Importance below which a branch is removed, from so many pages of the host on, copies once.
 LOW, PAGES = 0.25, 5
 #: Share of the presentation of the node above in a leaf's importance.
 ABOVE = 0.1
@@ -64,6 +67,14 @@ WORDS = frozenset(
 #: Words of those that also name the layout of a wrapper ("has-sidebar"): an article within is kept.
 LAYOUT = frozenset("sidebar header nav navbar navigation menu widget login toolbar masthead".split())
 WORD = re.compile(r"[a-z]+")
+#: Words of dates, times and counters.
+STAMP = frozenset(
+    "jan january feb february mar march apr april may jun june jul july aug august sep sept september oct october nov november dec december mon monday tue tuesday wed wednesday thu thursday fri friday "
+    "sat saturday sun sunday am pm utc gmt t z at on of the st nd rd th ago date time day days week weeks month months year years hour hours minute minutes min second seconds sec posted published updated "
+    "last modified generated created retrieved view views viewed visit visits visitor visitors hit hits read reads count counter times".split()
+)
+#: Most characters of a block that may be a stamp; most of a page's text that stamps of such words, and other short blocks with a digit, may hold.
+STAMP_CHARS, STAMPS, NUMBERED = 80, 0.5, 0.1
 HOST = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.IGNORECASE)
 
 
@@ -203,17 +214,32 @@ class Page:
         inside = [b for b in own if b[2]]
         return "\n".join(b[1] for b in inside or [b for b in own if not b[0] or b[0][-1] not in low] or own)
 
+    def identity(self) -> int:
+        """Hash of the text not marked as beside the article, without dates, times and counters: pages of one host that agree in it are copies."""
+        own = [b[1] for b in self.blocks if not b[3]]
+        short = [t for t in own if len(t) <= STAMP_CHARS and any(c.isdigit() for c in t)]
+        total, left = sum(map(len, own)), set()
+        for stamps, share in (([t for t in short if _stamp(t)], STAMPS), (short, NUMBERED)):
+            if sum(map(len, stamps)) <= share * total:
+                left.update(stamps)
+        return xxhash.xxh3_64_intdigest("\n".join(t for t in own if t not in left).encode("utf-8", "replace"))
+
+
+def _stamp(text: str) -> bool:
+    """Whether a text with digits is a date, a time or a counter: as many digits as letters, or no other words."""
+    return sum(c.isdigit() for c in text) >= sum(c.isalpha() for c in text) or (text.isascii() and STAMP.issuperset(WORD.findall(text.lower())))
+
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, node, pages, importance of every leaf that is outside articles and not marked as beside them."""
+    """host, node, pages (copies once), importance of every leaf that is outside articles and not marked as beside them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple[str, int, int | None, int], int] = {}
+            seen: dict[tuple[str, int, int, int | None], int] = {}
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page, host = Page(source or ""), host_of(url)
                 content: dict[int, list[str]] = {}
@@ -226,14 +252,19 @@ def importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
                 # the presentation of inner nodes; one with text of its own is a leaf too
                 branches = {p for path, _, article, other in page.blocks if not article and not other for p in path[:-1]}
                 styles = {n: s for n, s in page.styles if n in branches}
-                for key in [*((host, n, above[n], v) for n, v in leaves.items()), *((host, n, None, v) for n, v in styles.items())]:
-                    seen[key] = seen.get(key, 0) + 1
-            hosts, nodes, parents, values = zip(*seen, strict=True) if seen else ((), (), (), ())
-            signed = [pa.array([None if x is None else _signed(x) for x in c], pa.int64()) for c in (nodes, parents, values)]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *signed, pa.array(seen.values(), pa.int64())], ["host", "node", "above", "value", "n"])
-
-    rows = pages.select(url_col, html_col).mapInArrow(run, "host string, node long, above long, value long, n long")
-    counts = rows.groupBy("host", "node", "above", "value").agg(F.sum("n").alias("n"))
+                if not leaves:
+                    continue
+                copy = page.identity()
+                for key, value in [*(((host, copy, n, above[n]), v) for n, v in leaves.items()), *(((host, copy, n, None), v) for n, v in styles.items())]:
+                    seen[key] = min(_signed(value), seen.get(key, _signed(value)))
+            hosts, copies, nodes, parents = zip(*seen, strict=True) if seen else ((), (), (), ())
+            signed = [pa.array([None if x is None else _signed(x) for x in c], pa.int64()) for c in (copies, nodes, parents)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *signed, pa.array(seen.values(), pa.int64())], ["host", "copy", "node", "above", "value"])
+
+    rows = pages.select(url_col, html_col).mapInArrow(run, "host string, copy long, node long, above long, value long")
+    # copies of a page count once, with one of their values at each node
+    once = rows.groupBy("host", "copy", "node", "above").agg(F.min("value").alias("value"))
+    counts = once.groupBy("host", "node", "above", "value").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("host", "node", "above").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.log("pages") - F.col("s") / F.col("pages")
     nodes = materialize(nodes.select("host", "node", "above", "pages", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("own")), "style-tree")

@@ -59,6 +59,23 @@ def test_mixed_content_keeps_what_lies_below(spark):
         assert got[20 + i] == f"A {w} story"
 
 
+def test_groups_of_copies_count_once(spark):
+    page = "<body><div class=top>Same on all pages</div><div class=text><p>{}</p></div><p class=seen>{}</p></body>"
+    words = "river stone walk light seven garden paper open north quiet".split()
+    copied, long = "One text that most pages of the host copy", "A long text that mirrors repeat over and over. " * 20
+    rows = [(i, f"http://copied.example/{i}", page.format(copied, f"{i} views")) for i in range(190)]
+    rows += [(200 + i, f"http://copied.example/own/{i}", page.format(f"Another text, of a {w}", f"{i} views")) for i, w in enumerate(words)]
+    rows += [(300 + i, f"http://mirror.example/{i}", page.format(copied, f"2024-03-{i + 10} 10:00")) for i in range(9)]
+    rows += [(400 + i, f"http://long.example/{i}", page.format(long, f"Gesehen von {i} Leuten")) for i in range(9)]
+    rows += [(500 + i, f"http://table.example/{i}", f"<body><p class=a>Same on all pages</p><p class=b>{i} 4711 0815 {i * i} 1234567890</p></body>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in m.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"{copied}\n{i} views" for i in range(190))
+    assert all(got[200 + i] == f"Another text, of a {w}\n{i} views" for i, w in enumerate(words))
+    assert all(got[300 + i] == f"Same on all pages\n{copied}\n2024-03-{i + 10} 10:00" for i in range(9))
+    assert all(got[400 + i] == f"Same on all pages\n{long.strip()}\nGesehen von {i} Leuten" for i in range(9))
+    assert all(got[500 + i] == f"{i} 4711 0815 {i * i} 1234567890" for i in range(9))
+
+
 def test_copies_and_joins_by_host(spark, monkeypatch):
     rows = [(i, "http://a.example/", "<div><p>One text on all pages</p></div>") for i in range(9)]
     rows += [(20 + i, "http://b.example/p", f"<article><p>Copy</p></article><p class=x>{i}</p>") for i in range(9)]
