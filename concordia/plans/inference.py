@@ -129,19 +129,30 @@ def difference(rows: DataFrame, group_col: str, n: int = 1000, *, seed: int = 42
     return level.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"), F.avg("ccei").alias("mean"), F.var_samp("ccei").alias("variance"))
 
 
-def holdout(rows: DataFrame, share: float = 0.2, splits: int = 5, *, seed: int = 42) -> DataFrame:
-    """How often held-out observations are consistent with the rest, against random bundles on their budgets."""
+def holdout(rows: DataFrame, share: float = 0.2, splits: int = 5, *, seed: int = 42, draws: int = 20) -> DataFrame:
+    """How often a held-out observation is consistent with the rest, against random bundles on its budget.
+
+    Each held-out observation is joined alone to the observations that aren't held out; fewer than five give 0.
+    """
 
     def one(p, q, chance):
         n = len(p)
-        k = max(1, int(round(n * share)))
+        if n < 5:
+            return {"hit_rate": 0.0, "random_rate": 0.0, "success": 0.0}
+        k = max(1, int(n * share))
         hits, luck = [], []
         for _ in range(splits):
-            out = chance.permutation(n)[:k]
-            hits.append(float(scores(p, q[None])[0][0]))
-            other = np.repeat(q[None], 20, axis=0)
-            other[:, out] = random_bundles(p[out], (p[out] * q[out]).sum(axis=1), 20, chance)
-            luck.append(float(scores(p, other)[0].mean()))
-        return {"hit_rate": float(np.mean(hits)), "random_rate": float(np.mean(luck)), "success": float(np.mean(hits) - np.mean(luck))}
+            order = chance.permutation(n)
+            out, rest = order[:k], order[k:]
+            if len(rest) < 2:
+                continue
+            # one history for each held-out observation, the last row being that one
+            join = np.column_stack([np.broadcast_to(rest, (k, n - k)), out])
+            hits.append(scores(p[join], q[join])[0])
+            other = np.repeat(q[join], draws, axis=0)
+            other[:, -1] = random_bundles(p[out], (p[out] * q[out]).sum(axis=1), draws, chance).swapaxes(0, 1).reshape(k * draws, -1)
+            luck.append(scores(np.repeat(p[join], draws, axis=0), other)[0])
+        hit, random = (float(np.concatenate(x).mean()) if x else 0.0 for x in (hits, luck))
+        return {"hit_rate": hit, "random_rate": random, "success": hit - random}
 
     return each_user(rows, "hit_rate double, random_rate double, success double", one, seed)

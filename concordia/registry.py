@@ -145,7 +145,7 @@ QUERIES |= {
     "budget_selten": _market(lambda r: inference.selten(r, 50)),
     "budget_optimal_efficiency": _market(lambda r: inference.optimal_efficiency(r, 50)),
     "budget_bootstrap": _market(lambda r: inference.bootstrap(r, 50)),
-    "budget_holdout": _market(lambda r: inference.holdout(r, splits=2)),
+    "budget_holdout": _market(inference.holdout),
     "budget_graph": _market(structure.graph_edges),
     "budget_cycles": _market(structure.cycles),
     "budget_indices": _market(structure.indices),

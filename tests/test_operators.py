@@ -1,7 +1,9 @@
 """Queries against their SQL on small tables, operators against goldens, streams against batches."""
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
 
 import __spark_entry__ as entry
 from concordia import registry
@@ -90,6 +92,26 @@ def test_inference(spark):
     assert all(0 < r["level"] <= 1 for r in inference.optimal_efficiency(rows, 40).collect())
 
 
+def test_holdout_scores_single_observations(spark):
+    # ten observations, of which the first two violate: only splits that hold out one of them have a consistent rest
+    n, share, splits = 10, 0.2, 40
+    obs = [(1, [1.0, 0.5], [2.0, 0.0]), (2, [0.5, 1.0], [0.0, 2.0])] + [(3 + k, [1.0, 1.0], [10.0 * (k + 1), 10.0 * (k + 1)]) for k in range(n - 2)]
+    rows = spark.createDataFrame([("a", obs), ("short", obs[:4])], "user_id string, obs array<struct<t:int,p:array<double>,q:array<double>>>")
+    found = {r["user_id"]: r for r in inference.holdout(rows, share, splits).collect()}
+    # one of the two held out: it misses and the other observation hits; both held out: both hit
+    chance, hits = np.random.default_rng([42, xxhash.xxh3_64_intdigest("a")]), []
+    p, q = (np.array([o[c] for o in obs], float) for c in (1, 2))
+    for _ in range(splits):
+        order = chance.permutation(n)
+        out = order[:2]
+        inside = int(0 in out) + int(1 in out)
+        hits += [0, 0] if inside == 0 else [0, 1] if inside == 1 else [1, 1]
+        inference.random_bundles(p[out], (p[out] * q[out]).sum(axis=1), 20, chance)
+    assert 0 < found["a"]["hit_rate"] < 1 and found["a"]["hit_rate"] == pytest.approx(np.mean(hits))
+    assert 0 <= found["a"]["random_rate"] <= 1 and found["a"]["success"] == pytest.approx(found["a"]["hit_rate"] - found["a"]["random_rate"])
+    assert (found["short"]["hit_rate"], found["short"]["random_rate"], found["short"]["success"]) == (0, 0, 0)
+
+
 def test_structure(spark):
     cycle = spark.createDataFrame([("a", [(1, [1.0, 0.1], [2.0, 0.0]), (2, [0.1, 1.0], [0.0, 2.0])])], "user_id string, obs array<struct<t:int,p:array<double>,q:array<double>>>")
     found = structure.cycles(cycle).collect()
