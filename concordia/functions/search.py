@@ -6,10 +6,12 @@ import numpy as np
 
 from concordia.functions import kernels
 
-#: Nodes of a search tree before the greedy answer stands.
+#: Nodes of a component's search tree before the best answer so far stands, marked as not exact.
 BUDGET = 1500
-#: Observations up to which the largest consistent subset is exact.
+#: Observations of a component up to which the largest consistent subset is searched; larger ones are greedy, marked likewise.
 EXACT_UP_TO = 200
+#: Observations of a component up to which the cheapest cut comes from orders of all its subsets, without a bound on nodes.
+ORDERS_UP_TO = 16
 
 
 def shortest_cycle(weak: np.ndarray, strict: np.ndarray, alive: np.ndarray) -> list[int] | None:
@@ -73,13 +75,30 @@ def greedy_subset(weak: np.ndarray, strict: np.ndarray) -> np.ndarray:
     return alive
 
 
-def largest_consistent(weak: np.ndarray, strict: np.ndarray, budget: int = BUDGET) -> int:
-    """Size of the largest subset of observations without violation: branch on the nodes of a shortest cycle."""
+def _parts(arcs: np.ndarray) -> list[np.ndarray]:
+    """Nodes of each component of more than one node: a cycle lies in one of them."""
+    labels = kernels.components(kernels.closure(arcs[None]))[0][0]
+    return [nodes for label in np.unique(labels) if len(nodes := np.flatnonzero(labels == label)) > 1]
+
+
+def largest_consistent(weak: np.ndarray, strict: np.ndarray, budget: int = BUDGET) -> tuple[int, bool]:
+    """Size of the largest subset of observations without violation, by component, and whether every search came to its end."""
+    size, exact = len(weak), True
+    for nodes in _parts(weak):
+        kept, proven = _largest_of_component(weak[np.ix_(nodes, nodes)], strict[np.ix_(nodes, nodes)], budget)
+        size -= len(nodes) - kept
+        exact &= proven
+    return size, exact
+
+
+def _largest_of_component(weak: np.ndarray, strict: np.ndarray, budget: int) -> tuple[int, bool]:
+    """Branch on the nodes of a shortest cycle."""
     n = len(weak)
     best = [int(greedy_subset(weak, strict).sum())]
-    if n > EXACT_UP_TO:
-        return best[0]
-    spent = [0]
+    # nothing or one removed can't be beaten
+    if n > EXACT_UP_TO or best[0] >= n - 1:
+        return best[0], best[0] >= n - 1
+    spent, stopped = [0], [False]
 
     def disjoint(alive: np.ndarray, enough: int) -> int:
         """How many cycles without common nodes there are at least: as many removals are needed."""
@@ -90,7 +109,10 @@ def largest_consistent(weak: np.ndarray, strict: np.ndarray, budget: int = BUDGE
         return found
 
     def branch(alive: np.ndarray, fixed: np.ndarray, size: int) -> None:
-        if spent[0] > budget or size <= best[0]:
+        if size <= best[0]:
+            return
+        if spent[0] > budget:
+            stopped[0] = True
             return
         spent[0] += 1
         cycle = shortest_cycle(weak, strict, alive)
@@ -109,21 +131,70 @@ def largest_consistent(weak: np.ndarray, strict: np.ndarray, budget: int = BUDGE
             kept[node] = True
 
     branch(np.ones(n, dtype=bool), np.zeros(n, dtype=bool), n)
-    return best[0]
+    return best[0], not stopped[0]
 
 
 def exact_levels(cost: np.ndarray, own: np.ndarray, budget: int = BUDGET) -> np.ndarray:
     """Efficiency of each observation when the cheapest set of strict preferences is given up that breaks all cycles."""
+    return cheapest_cut(cost, own, budget)[0]
+
+
+def cheapest_cut(cost: np.ndarray, own: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, bool]:
+    """The levels of ``exact_levels``, by component, and whether every search came to its end."""
     n = len(cost)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.where(own[:, None] > 0, cost / own[:, None], np.inf)
     price = 1 - ratio
     arcs = (price > 1e-12) & ~np.eye(n, dtype=bool)
+    level, exact = np.ones(n), True
+    for nodes in _parts(arcs):
+        search = _cut_by_orders if len(nodes) <= ORDERS_UP_TO else _cut_of_component
+        cut, proven = search(arcs[np.ix_(nodes, nodes)], price[np.ix_(nodes, nodes)], budget)
+        exact &= proven
+        for i, j in cut:
+            level[nodes[i]] = min(level[nodes[i]], ratio[nodes[i], nodes[j]])
+    return level, exact
+
+
+def _cut_by_orders(arcs: np.ndarray, price: np.ndarray, budget: int) -> tuple[tuple, bool]:
+    """What is left without cycles has an order: the cheapest one, in which steps from later nodes to earlier ones are cut."""
+    n = len(arcs)
+    size = 1 << n
+    back, total, last = np.zeros((n, size)), np.full(size, np.inf), np.zeros(size, dtype=np.int8)
+    count = np.zeros(size, dtype=np.int8)
+    for u in range(n):
+        half = 1 << u
+        back[:, half : 2 * half] = back[:, :half] + np.where(arcs[:, u], price[:, u], 0.0)[:, None]
+        count[half : 2 * half] = count[:half] + 1
+    total[0] = 0
+    by_size = np.argsort(count, kind="stable")
+    ends = np.searchsorted(count[by_size], np.arange(n + 2))
+    for k in range(n):
+        before = by_size[ends[k] : ends[k + 1]]
+        for v in range(n):
+            some = before[(before >> v) & 1 == 0]
+            after, cost = some | (1 << v), total[some] + back[v, some]
+            better = cost < total[after]
+            total[after[better]], last[after[better]] = cost[better], v
+    cut, left = [], size - 1
+    while left:
+        v = int(last[left])
+        left ^= 1 << v
+        cut += [(v, u) for u in range(n) if left >> u & 1 and arcs[v, u]]
+    return tuple(cut), True
+
+
+def _cut_of_component(arcs: np.ndarray, price: np.ndarray, budget: int) -> tuple[tuple, bool]:
+    """Branch on the steps of a shortest cycle."""
+    n = len(arcs)
     best = [np.inf, None]
-    spent = [0]
+    spent, stopped = [0], [False]
 
     def branch(left: np.ndarray, fixed: frozenset, cut: tuple, total: float) -> None:
-        if total >= best[0] - 1e-12 or spent[0] > budget:
+        if total >= best[0] - 1e-12:
+            return
+        if spent[0] > budget:
+            stopped[0] = True
             return
         spent[0] += 1
         cycle = shortest_cycle(left, left, np.ones(n, dtype=bool))
@@ -148,10 +219,7 @@ def exact_levels(cost: np.ndarray, own: np.ndarray, budget: int = BUDGET) -> np.
         total += price[step]
     best[:] = [total, tuple(cut)]
     branch(arcs, frozenset(), (), 0.0)
-    level = np.ones(n)
-    for i, j in best[1]:
-        level[i] = min(level[i], ratio[i, j])
-    return level
+    return best[1], not stopped[0]
 
 
 def simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, max_steps: int = 20_000) -> tuple[str, float, np.ndarray]:

@@ -52,17 +52,18 @@ def budget_scores(p: np.ndarray, q: np.ndarray, metrics: tuple[str, ...], tol: f
         "mpi": kernels.mpi(cost, own, weak, fine) if "mpi" in metrics else zero,
         "is_harp": kernels.harp(cost, own, weak, tol) if "harp" in metrics else none,
         "utility_success": fine if "utility" in metrics else none,
-        "hm_consistent": none, "hm_total": none,
+        "hm_consistent": none, "hm_total": none, "is_hm_exact": none, "is_vei_exact": none,
     }
     if "hm" in metrics:
-        out["hm_consistent"] = [n if fine[u] else search.largest_consistent(weak[u], strict[u]) for u in range(users)]
+        out["hm_consistent"], out["is_hm_exact"] = zip(*[(n, True) if fine[u] else search.largest_consistent(weak[u], strict[u]) for u in range(users)], strict=True) if users else ((), ())
         out["hm_total"] = [n] * users
     levels = {"vei": np.ones((users, n)), "vei_exact": np.ones((users, n))}
     if "vei" in metrics:
         levels["vei"] = kernels.varian_levels(cost, own, fine)
     if "vei_exact" in metrics:
+        out["is_vei_exact"] = [True] * users
         for u in np.flatnonzero(~fine):
-            levels["vei_exact"][u] = search.exact_levels(cost[u], own[u])
+            levels["vei_exact"][u], out["is_vei_exact"][u] = search.cheapest_cut(cost[u], own[u])
     for name, level in levels.items():
         out |= {f"{name}_{k}": v for k, v in kernels.spread(level).items()}
     network = kernels.degrees(weak) if "network" in metrics else dict.fromkeys(("r_density", "r_out_degree_std", "degree_gini"), zero)

@@ -12,6 +12,7 @@ BUDGET = (
     ("compute_time_us", "bigint"), ("vei_std", "double"), ("vei_q25", "double"), ("vei_q75", "double"), ("vei_exact_std", "double"), ("vei_exact_q25", "double"),
     ("vei_exact_q75", "double"), ("n_scc", "int"), ("harp_severity", "double"), ("scc_mean_size", "double"), ("r_density", "double"), ("r_out_degree_std", "double"),
     ("degree_gini", "double"), ("ew_mean", "double"), ("ew_std", "double"), ("ew_skew", "double"),
+    ("is_hm_exact", "boolean"), ("is_vei_exact", "boolean"),
 )
 MENU = (
     ("is_sarp", "boolean"), ("is_warp", "boolean"), ("is_warp_la", "boolean"), ("n_sarp_violations", "int"), ("n_warp_violations", "int"), ("hm_consistent", "int"),

@@ -134,6 +134,34 @@ def test_exact_levels_are_cheapest(seed):
     assert best < np.inf
 
 
+def test_searches_go_by_component_and_say_whether_they_are_exact(monkeypatch):
+    chance = np.random.default_rng(4)
+    n, copies = 6, 40
+    weak = np.zeros((n * copies, n * copies), dtype=bool)
+    best = 0
+    for k in range(copies):
+        one = chance.random((n, n)) < 0.4
+        np.fill_diagonal(one, False)
+        weak[n * k : n * (k + 1), n * k : n * (k + 1)] = one
+        best += max(len(s) for m in range(n + 1) for s in itertools.combinations(range(n), m) if not (one[np.ix_(s, s)] & brute_reach(one[np.ix_(s, s)]).T).any())
+    # 240 observations, more than are searched in one component
+    assert search.largest_consistent(weak, weak) == (best, True)
+    p, q = chance.uniform(0.1, 1, (1, 12, 3)), chance.uniform(0, 1, (1, 12, 3))
+    q /= (p * q).sum(axis=2, keepdims=True)
+    found = budget_scores(p, q, METRICS)
+    assert not found["is_garp"][0] and found["is_hm_exact"][0] and found["is_vei_exact"][0]
+    assert budget_scores(p, q, ("garp",))["is_hm_exact"] == [None]
+    cost, own = p[0] @ q[0].T, (p[0] * q[0]).sum(axis=1)
+    few = cost[:6, :6]
+    by_orders = search.cheapest_cut(few, own[:6])
+    monkeypatch.setattr(search, "ORDERS_UP_TO", 1)
+    by_branches = search.cheapest_cut(few, own[:6], budget=10**6)
+    assert by_orders[1] and by_branches[1] and by_orders[0] == pytest.approx(by_branches[0])
+    assert not search.cheapest_cut(cost, own, budget=1)[1]
+    monkeypatch.setattr(search, "EXACT_UP_TO", 1)
+    assert not search.largest_consistent(np.ones((5, 5), dtype=bool), ~np.eye(5, dtype=bool))[1]
+
+
 def test_simplex():
     status, value, x = search.simplex(np.array([-3.0, -5, 0, 0, 0]), np.array([[1.0, 0, 1, 0, 0], [0, 2, 0, 1, 0], [3, 2, 0, 0, 1]]), np.array([4.0, 12, 18]))
     assert (status, value) == ("optimal", pytest.approx(-36)) and x[:2].tolist() == pytest.approx([2, 6])
