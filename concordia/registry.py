@@ -141,10 +141,10 @@ QUERIES: dict[str, Query] = {
 
 QUERIES |= {
     "budget_scores_audit": _market(lambda r: panel.audit(score.score_budget(r, ("garp", "ccei", "mpi")))),
-    "budget_power": _market(lambda r: inference.power(r, 50)),
-    "budget_selten": _market(lambda r: inference.selten(r, 50)),
-    "budget_optimal_efficiency": _market(lambda r: inference.optimal_efficiency(r, 50)),
-    "budget_bootstrap": _market(lambda r: inference.bootstrap(r, 50)),
+    "budget_power": _market(inference.power),
+    "budget_selten": _market(inference.selten),
+    "budget_optimal_efficiency": _market(inference.optimal_efficiency),
+    "budget_bootstrap": _market(inference.bootstrap),
     "budget_holdout": _market(inference.holdout),
     "budget_graph": _market(structure.graph_edges),
     "budget_cycles": _market(structure.cycles),
@@ -249,7 +249,7 @@ QUERIES |= {
     "budget_quasilinear_any_length": _market(structure.quasilinear),
     "budget_stone_geary": _market(structure.stone_geary),
     "budget_two_stage": _market(structure.two_stage_effects),
-    "budget_slutsky_bootstrap": _market(lambda r: structure.slutsky_bootstrap(r, 20)),
+    "budget_slutsky_bootstrap": _market(structure.slutsky_bootstrap),
     "budget_additive_groups": _market(structure.additive_groups),
     "price_effects": _market(budget.price_effects),
     "population_welfare": _market(budget.population_welfare),
