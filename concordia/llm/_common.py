@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concordia.errors import DataError
+
 #: Characters of text that a Python step holds at once, beside the Arrow batch.
 CHUNK_CHARS = 1 << 21
 
@@ -19,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is set."""
+    """The folder that the cluster names for checkpoints; a temporary one only where none is set and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise DataError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="concordia-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -43,6 +50,26 @@ def crc_fold(id_col: str, folds: int):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)), F.lit(0))
 
 
+_held: list[tuple[Hashable, object]] = []
+
+
+def hold(key: Hashable, build: Callable[[], object]):
+    """What ``build`` makes, kept by this Python worker until it is asked for something else: one model at a time."""
+    if not _held or _held[0][0] != key:
+        release()
+        _held.append((key, build()))
+    return _held[0][1]
+
+
+def release() -> None:
+    """Give up what this worker holds, and its freed memory; steps without a model of their own start with this."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, null as empty."""
     return [t if t is not None else "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

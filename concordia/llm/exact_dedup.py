@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm._common import materialize, table
+from concordia.llm._common import materialize, release, table
 
 #: Fingerprints of a filter, at most; fingerprints of a block over all partitions, about.
 FILTER_ROWS, BLOCK_ROWS = 1 << 20, 1 << 20
@@ -86,6 +86,7 @@ def repeated(fingerprints: DataFrame, block_bits: int) -> DataFrame:
             data = [encode_filter(values[a:b], counts[a:b], block_bits) for a, b in zip(starts, stops, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(blocks[starts].astype(np.int32)), pa.array(data, pa.binary())], ["block", "filter"])
 
+        release()
         held, n = [], 0
         for batch in batches:
             held.append(np.asarray(batch.column(0)).astype(np.int64))

@@ -8,11 +8,20 @@ the language with the fewest bits wins.
 
 Letters are lower-cased, every run of other characters counts as one space, and a
 phrase never crosses the border of a block of ``BLOCK`` characters, so that blocks
-are parsed side by side with bounded memory.
+are parsed side by side with bounded memory.  Every letter of the samples has a code of
+its own, however many there are.  The automata's arcs lie in one sparse table: the row of
+a state is shifted to where its arcs meet free places, and each place names its row.
+
+What is learned from is bounded by rows, and whole texts are taken: at most
+``ROWS_PER_LANG`` of a language, chosen by a hash of their id among those of up to
+``LONG_TEXT`` characters (longer ones, shortest first, only where these don't suffice),
+as many as fit ``CHARS_PER_LANG`` characters, one at least.  With many languages each has
+less, so that all samples together hold about ``CHARS_IN_ALL`` characters.
 
 Defined results: null, empty or letterless text gives ``und`` with score 0; equal
-texts give equal results; ties go to the first language in alphabetical order;
-without labelled rows every text is ``und``; texts of any length are read whole.
+texts, and rows that repeat, give equal results; ties go to the first language in alphabetical order;
+without labelled rows every text is ``und``; texts of any length are read whole; an empty
+table gives no rows; columns of the input named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -26,15 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordia.llm._common import crc_fold, slices, table, texts_of
+from concordia.llm._common import crc_fold, hold, slices, table, texts_of
 
 UNDETERMINED = "und"
-#: Bounds of the labelled sample that is learned from, per language.
-DOCS_PER_LANG, CHARS_PER_DOC = 24, 2000
-MAX_LANGS = 200
-#: Distinct letters kept apart; rarer ones share a code.
-MAX_LETTERS = 120
+#: Bounds of the labelled sample that is learned from.
+ROWS_PER_LANG, CHARS_PER_LANG, CHARS_IN_ALL, LONG_TEXT = 64, 48_000, 8_000_000, 4_000
+#: Languages whose cuts (24 bytes each) are broadcast at most; more are shuffled.
+BROADCAST_LANGS = 10_000
 BLOCK = 512
+#: Share of the sparse table's places that arcs may take.
+LOAD = 0.55
 #: Bits are weighed down to this share in the score, for neighbouring phrases aren't independent.
 TEMPER = 0.25
 
@@ -80,45 +90,87 @@ class SuffixAutomaton:
         self.last = new
 
 
-class CrossParser:
-    """The automata of all languages as one table of steps.
+class StepTable:
+    """The arcs of one automaton: from the row of a state, ``target[row + code]`` if ``owner[row + code]`` is that row.
 
-    ``steps[row of state + code]`` is ``2 * row of next state + (1 if a phrase starts)``.
+    A state without such an arc ends the phrase, and the next one starts with ``start[code]``.
+    The root has no arcs here, so that each phrase's first letter is counted as a start.
     """
 
+    def __init__(self, automaton: SuffixAutomaton, width: int) -> None:
+        degree = np.fromiter(map(len, automaton.next), np.int64, len(automaton.next))
+        degree[0] = 0
+        first = np.cumsum(degree) - degree
+        arcs = int(degree.sum())
+        codes = np.fromiter((c for s in automaton.next[1:] for c in s), np.int64, arcs)
+        targets = np.fromiter((t for s in automaton.next[1:] for t in s.values()), np.int64, arcs)
+        size = max(64, int(arcs / LOAD))
+        row = np.full(len(degree), -1, dtype=np.int64)
+        used, taken = np.zeros(size + width, dtype=bool), np.zeros(size, dtype=bool)
+        self.owner = np.full(size + 2 * width, -1, dtype=np.int32)
+        chance = np.random.default_rng(len(degree))
+        # states of most arcs first, while places are free; in each round those that meet no one settle
+        for many in sorted(set(degree[degree > 0].tolist()), reverse=True):
+            left = np.flatnonzero(degree == many)
+            own = codes[first[left][:, None] + np.arange(many)]
+            while len(left):
+                try_ = chance.integers(0, size, len(left))
+                place = try_[:, None] + own
+                claim = np.full(size + width, -1, dtype=np.int64)
+                claim[place] = np.arange(len(left))[:, None]
+                row_claim = np.full(size, -1, dtype=np.int64)
+                row_claim[try_] = np.arange(len(left))
+                fine = ~used[place].any(axis=1) & ~taken[try_] & (claim[place] == np.arange(len(left))[:, None]).all(axis=1) & (row_claim[try_] == np.arange(len(left)))
+                row[left[fine]] = try_[fine]
+                used[place[fine]] = True
+                taken[try_[fine]] = True
+                left, own = left[~fine], own[~fine]
+        # states without arcs, and the root, own no place
+        row[degree == 0] = size + width
+        self.root = size + width
+        places = np.repeat(row, degree) + codes
+        self.owner[places] = np.repeat(row, degree)
+        self.target = np.zeros(size + 2 * width, dtype=np.int32)
+        self.target[places] = row[targets]
+        self.start = np.full(width, self.root, dtype=np.int32)
+        for code, to in automaton.next[0].items():
+            self.start[code] = row[to]
+        self.bits = math.log2(max(2, automaton.length[automaton.last]))
+
+    def phrases(self, grid: np.ndarray) -> np.ndarray:
+        """Phrases of each lane of ``grid`` (steps x lanes); a step on padding counts as one."""
+        lanes = grid.shape[1]
+        state, count = np.full(lanes, self.root, dtype=np.int64), np.zeros(lanes, dtype=np.int32)
+        place, own = np.empty(lanes, dtype=np.int64), np.empty(lanes, dtype=np.int32)
+        for column in grid:
+            np.add(state, column, out=place)
+            np.take(self.owner, place, out=own, mode="clip")
+            end = own != state
+            state[:] = np.where(end, np.take(self.start, column), np.take(self.target, place, mode="clip"))
+            count += end
+        return count
+
+
+class CrossParser:
+    """The step tables of all languages over one set of codes: 0 for a space, 1, 2, … for letters, then unknown letters, then padding."""
+
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.langs = sorted(samples)
         flags = letter_flags()
         joined = {k: [t.lower() for t in v] for k, v in samples.items()}
-        points = [code_points("".join(v)) for v in joined.values()]
-        seen, counts = np.unique(np.concatenate(points) if points else np.zeros(0, np.uint32), return_counts=True)
+        seen = np.unique(np.concatenate([code_points("".join(v)) for v in joined.values()])) if joined else np.zeros(0, np.uint32)
         letters = seen[flags[seen]] if len(seen) else seen
-        order = np.argsort(-counts[flags[seen]], kind="stable")[:MAX_LETTERS] if len(seen) else []
-        self.codes = np.zeros(0x110000, dtype=np.uint8)
-        self.codes[flags] = len(order) + 1
-        self.codes[letters[order]] = np.arange(1, len(order) + 1)
-        self.pad = len(order) + 2
-        width = self.pad + 1
-        parts, base, self.roots, self.sample_bits = [], 0, [], []
+        self.codes = np.zeros(0x110000, dtype=np.int32)
+        self.codes[flags] = len(letters) + 1
+        self.codes[letters] = np.arange(1, len(letters) + 1)
+        self.pad = len(letters) + 2
+        self.tables = []
         for lang in self.langs:
             automaton = SuffixAutomaton()
             for text in joined[lang]:
-                for code in self.normal(text)[0]:
-                    automaton.extend(int(code))
-            root, states = automaton.next[0], len(automaton.next)
-            rest = np.zeros(width, dtype=np.int64)
-            for code, to in root.items():
-                rest[code] = to
-            steps = np.tile(((base + rest) * width) << 1 | 1, (states, 1))
-            for state, arcs in enumerate(automaton.next[1:], 1):
-                for code, to in arcs.items():
-                    steps[state, code] = ((base + to) * width) << 1
-            steps[:, self.pad] = (base * width) << 1
-            parts.append(steps.astype(np.int32 if (base + states) * width < 1 << 29 else np.int64))
-            self.roots.append(base * width)
-            self.sample_bits.append(math.log2(max(2, automaton.length[automaton.last])))
-            base += states
-        self.steps = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
+                for code in self.normal(text)[0].tolist():
+                    automaton.extend(code)
+            self.tables.append(StepTable(automaton, self.pad + 1))
 
     def normal(self, text: str) -> tuple[np.ndarray, int]:
         """The codes of a lower-cased text, 0 for a run of other characters; the number of letters."""
@@ -134,22 +186,15 @@ class CrossParser:
         blocks = -(-sizes // BLOCK)
         first = np.cumsum(blocks) - blocks
         lanes = int(blocks.sum())
-        grid = np.full(lanes * BLOCK, self.pad, dtype=np.uint8)
+        grid = np.full(lanes * BLOCK, self.pad, dtype=np.int32)
         shift = np.repeat(first * BLOCK - (np.cumsum(sizes) - sizes), sizes)
         grid[np.arange(len(shift)) + shift] = np.concatenate(pieces)
+        padding = blocks * BLOCK - sizes
         grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
         out = np.zeros((len(pieces), len(self.langs)), dtype=np.int64)
         full = blocks > 0
-        for k, root in enumerate(self.roots):
-            state = np.full(lanes, root, dtype=np.int64)
-            count = np.zeros(lanes, dtype=np.int32)
-            step = np.empty(lanes, dtype=self.steps.dtype)
-            for column in grid:
-                np.take(self.steps, state + column, out=step, mode="clip")
-                count += step & 1
-                np.right_shift(step, 1, out=state)
-            if lanes:
-                out[full, k] = np.add.reduceat(count, first[full])
+        for k, steps in enumerate(self.tables if lanes else ()):
+            out[full, k] = np.add.reduceat(steps.phrases(grid), first[full]) - padding[full]
         return out
 
     def predict(self, texts: list[str]) -> Iterator[tuple[str, float, list[int]]]:
@@ -163,7 +208,7 @@ class CrossParser:
                 rows.append(row)
                 pieces.append(codes)
             np.add.at(total, rows, self.phrases(pieces))
-        bits = total * np.array(self.sample_bits)
+        bits = total * np.array([t.bits for t in self.tables])
         for row in range(len(texts)):
             if not letters[row] or not self.langs:
                 yield UNDETERMINED, 0.0, []
@@ -173,35 +218,38 @@ class CrossParser:
             yield self.langs[best], float(1 / np.exp2(-TEMPER * np.minimum(over, 1000)).sum()), total[row].tolist()
 
 
-@lru_cache(maxsize=2)
-def _parser(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> CrossParser:
-    return CrossParser({k: list(v) for k, v in samples})
-
-
 def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, list[str]]:
-    """A bounded sample of text for each language (at most DOCS_PER_LANG rows of CHARS_PER_DOC characters).
+    """A bounded sample of whole texts for each language (see above).
 
     Rows are taken by a hash of their id, so the sample doesn't depend on their order.
     """
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
+    spark = labelled.sparkSession
+    size = F.greatest(F.length(text_col), F.lit(LONG_TEXT)).alias("size")
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), size, F.xxhash64(F.col(id_col)).alias("h"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    by_hash = Window.partitionBy("lang").orderBy("h")
-    cuts = (
-        rows.select("lang", "h").withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= DOCS_PER_LANG)
-        .groupBy("lang").agg(F.max("h").alias("cut")).orderBy("lang").limit(MAX_LANGS).collect()
-    )
-    if not cuts:
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("size", "h", "text"))
+    by_size = F.row_number().over(Window.partitionBy("lang").orderBy("size", "h"))
+    # at most ROWS_PER_LANG rows of three numbers a language
+    found: dict[str, list[tuple[int, int, int]]] = {}
+    for row in rows.select("lang", "size", "h", F.length("text").alias("chars")).withColumn("rank", by_size).filter(F.col("rank") <= ROWS_PER_LANG).collect():
+        found.setdefault(row["lang"], []).append((row["size"], row["h"], row["chars"]))
+    if not found:
         return {}
-    near = F.lit(False)
-    for row in cuts:
-        near = near | ((F.col("lang") == row["lang"]) & (F.col("h") <= row["cut"]))
-    taken = (
-        rows.filter(near).select("lang", "h", F.substring("text", 1, CHARS_PER_DOC).alias("text"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= DOCS_PER_LANG)
-        .collect()
-    )
+    most = min(CHARS_PER_LANG, max(1, CHARS_IN_ALL // len(found)))
+    cuts = []
+    for lang, own in sorted(found.items()):
+        own.sort()
+        total, n = own[0][2], 1
+        while n < len(own) and total + own[n][2] <= most:
+            total += own[n][2]
+            n += 1
+        cuts.append((lang, *own[n - 1][:2], n))
+    cut = spark.createDataFrame(cuts, "lang string, last_size int, last_h long, n int")
+    taken = rows.join(F.broadcast(cut) if len(cuts) <= BROADCAST_LANGS else cut, "lang")
+    taken = taken.filter((F.col("size") < F.col("last_size")) | ((F.col("size") == F.col("last_size")) & (F.col("h") <= F.col("last_h"))))
     out: dict[str, list[str]] = {}
-    for row in sorted(taken, key=lambda r: (r["lang"], r["rank"])):
+    # ids may repeat: the texts decide, and no more rows are taken
+    for row in sorted(taken.withColumn("rank", rank).filter(F.col("rank") <= F.col("n")).select("lang", "rank", "text").collect(), key=lambda r: (r["lang"], r["rank"])):
         out.setdefault(row["lang"], []).append(row["text"])
     return out
 
@@ -218,7 +266,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], *, text_col: str =
     schema = ", ".join(f"`{n}` {t}" for n, t in [*fields, ("lang_pred", "string"), ("score", "double"), ("phrases", "array<bigint>")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(key)
+        parser = hold(("language", key), lambda: CrossParser({k: list(v) for k, v in key}))
         for batch in batches:
             langs, scores, counts = zip(*parser.predict(texts_of(batch, text_col)), strict=True) if batch.num_rows else ((), (), ())
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.list_(pa.int64()))]

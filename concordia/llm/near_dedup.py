@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm._common import materialize, table, texts_of
+from concordia.llm._common import materialize, release, table, texts_of
 
 SHINGLE, THRESHOLD = 5, 75
 REGISTERS, BAND, BASE, RATE = 128, 4, 1.001, 20.0
@@ -49,7 +49,7 @@ BLOCK, TEXT_BLOCK = 1024, 512
 #: Partitions over which the rows of one bucket or cluster spread.
 SALTS = 16
 #: Words whose hashes a worker remembers; hashes that are minimised at once.
-CACHED_WORDS, CHUNK = 400_000, 4096
+CACHED_WORDS, CHUNK = 100_000, 4096
 
 _multipliers = np.random.default_rng(7).integers(0, 1 << 64, REGISTERS, dtype=np.uint64) | np.uint64(1)
 _places = np.random.default_rng(11).integers(0, 1 << 64, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -136,6 +136,7 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         words = _Words()
         for batch in batches:
             sizes, nodes, sketches = [], [], []

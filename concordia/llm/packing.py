@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordia.llm._common import materialize, table, texts_of
+from concordia.llm._common import hold, materialize, table, texts_of
 
 CAPACITY, END_ID = 2048, 0
 ISLANDS, EPOCHS, GENERATIONS, POPULATION, SEED = 4, 2, 6, 6, 20
@@ -54,7 +54,6 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str):
     """A function from text to ids, equal to the tokenizers library on the file.
 
@@ -64,9 +63,13 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.no_truncation()
-    slow.no_padding()
+    @lru_cache(maxsize=1)
+    def slow() -> Tokenizer:
+        out = Tokenizer.from_file(path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -75,7 +78,7 @@ def encoder(path: str):
     made = [vocab[a + b] for a, b in pairs]
     plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex") and not spec.get("normalizer")
     if not plain or made != sorted(set(made)) or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
-        return lambda text: slow.encode(text, add_special_tokens=False).ids
+        return lambda text: slow().encode(text, add_special_tokens=False).ids
     symbols = byte_symbols()
     ranks = {bytes(symbols[c] for c in token): i for token, i in vocab.items()}
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -89,7 +92,7 @@ def encoder(path: str):
         except BaseException as error:  # the rank encoder panics on some very long runs
             if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            return slow.encode(text, add_special_tokens=False).ids
+            return slow().encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -101,7 +104,7 @@ def tokenize(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
     schema = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = hold(("ids", path), lambda: encoder(path))
         for batch in batches:
             own = batch.column(0)
             rows, columns, held = [], [[], [], [], []], 0

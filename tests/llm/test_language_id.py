@@ -9,9 +9,9 @@ from concordia.llm import langid
 def brute_phrases(parser, lang, sample, text):
     """Greedy longest matches by substring search, block by block."""
     def normal(t):
-        return bytes(parser.normal(t.lower())[0])
+        return "".join(chr(0x10000 + c) for c in parser.normal(t.lower())[0])
 
-    pool = b"\xff".join([b"".join(normal(t) for t in sample)])
+    pool = "".join(normal(t) for t in sample)
     codes, n = normal(text), 0
     for at in range(0, len(codes), langid.BLOCK):
         block, i = codes[at : at + langid.BLOCK], 0
@@ -31,6 +31,34 @@ def test_phrases_equal_substring_search():
         assert counts == [brute_phrases(parser, k, samples[k], text) for k in sorted(samples)]
 
 
+def test_thousands_of_letters():
+    """No letter is merged with another, and languages that share none are told apart."""
+    chance = np.random.default_rng(4)
+    words = lambda low, n: "".join(chr(c) for c in chance.integers(low, low + 5000, n))
+    samples = {"a": [words(0x4E00, 4000)], "b": [words(0x6400, 4000)], "en": [prose(1, 200)]}
+    parser = langid.CrossParser(samples)
+    assert parser.pad > 5000
+    texts = [samples["a"][0][500:900], samples["b"][0][100:700] + " x", prose(5, 50), samples["a"][0][7:90] + samples["b"][0][70:90]]
+    found = list(parser.predict(texts))
+    assert [f[0] for f in found] == ["a", "b", "en", "a"]
+    for text, (_, _, counts) in zip(texts, found, strict=True):
+        assert counts == [brute_phrases(parser, k, samples[k], text) for k in sorted(samples)]
+
+
+def test_hundreds_of_languages(spark):
+    """Each of 250 languages is learned and found; a language of long texts alone gives its shortest one whole."""
+    chance = np.random.default_rng(5)
+    stems = {f"l{k:03d}": ["".join(chr(97 + c) for c in chance.integers(0, 26, 4)) for _ in range(12)] for k in range(250)}
+    text = lambda k, n: " ".join(stems[k][i] for i in chance.integers(0, 12, n))
+    rows = [(i, text(k, 40), k) for i, k in enumerate([*stems, *stems])]
+    long = [(9001, "wörter " * 9000, "long"), (9000, "wörter " * 8000, "long")]
+    samples = langid.learn(spark.createDataFrame(rows + long, "doc_id long, text string, lang string").repartition(5))
+    assert set(samples) == {*stems, "long"}
+    assert samples["long"] == [long[1][1]]
+    parser = langid.CrossParser(samples)
+    assert [f[0] for f in parser.predict([text(k, 15) for k in stems])] == list(stems)
+
+
 def test_automaton_knows_all_substrings():
     automaton = langid.SuffixAutomaton()
     text = [1, 2, 1, 1, 2, 2, 1, 2, 1, 1]
@@ -49,7 +77,9 @@ def test_automaton_knows_all_substrings():
 def test_edges(spark, edges, none, clashing):
     samples = langid.learn(edges)
     assert set(samples) == {"de", "en"}
-    assert all(len(t) <= langid.DOCS_PER_LANG for t in samples.values())
+    assert all(len(t) <= langid.ROWS_PER_LANG and sum(map(len, t)) <= langid.CHARS_PER_LANG for t in samples.values())
+    texts = {r[1] for r in edge_rows()}
+    assert all(t in texts for v in samples.values() for t in v)
     found = langid.identify(edges, samples).collect()
     assert len(found) == len(edge_rows())
     for row in found:
