@@ -6,28 +6,34 @@ element names, classes and ids from the root.  Every node counts how its present
 it a leaf, with or without elements below) vary over the host's pages.  The entropy of either, over the logarithm of the number of pages, is its
 importance, 0 when all pages agree and 1 when all differ.  A leaf's composite importance
 weighs its content with the presentation of the node above it, and leaves of low composite
-importance, and so branches of nothing else, are removed from each page.  Element names and class or id words that say what a branch is for
-(menus, headers, adverts, comments) give it importance 0 from the start, and what lies in
-an article or main element keeps its importance, because pages may be copies.
+importance, and so branches of nothing else, are removed from each page.
+
+Element names, and class or id words, say beforehand what a branch is for: menus, headers,
+adverts and comments have importance 0; in an article or main element, where pages may
+agree by chance, a leaf goes only below ``LOW_ARTICLE`` (its text and its place hardly ever change), others go below ``LOW``.  So the
+tree decides about every leaf that names don't condemn, articles included.
 
 Copies of a page on a host count once: pages with equal text apart from what is beside the
 article and from short dates, times and counters.  Copies that differ otherwise count each.
 
 Pages of a host meet only as counts: rows of (copy, node, content) are grouped by page and
 node, then counted by content, and only the hashes of unimportant nodes go back to the
-pages, so that a host with a third of all pages is no hot spot.
+pages, so that a host with a third of all pages is no hot spot.  A page's tree is held as
+links to the node above, so deep pages take memory in proportion to their length.
 
 Defined results: null or empty html gives an empty text; a page without article or main
-element gives its remaining blocks, or if none remain (pages that are copies) all that
-aren't marked as beside the article; broken markup is read as far as it goes, and a tag
-that the page's end cuts off is dropped; equal pages of a host give equal texts; a null url
-counts as a host of its own; an empty table gives no rows.
+element gives its remaining blocks; where none remain (pages that are copies), all that are
+in the article, or else all that aren't marked as beside it; a header in an article holds its title
+and stays; formulas stay, drawings and media don't; broken markup is read as far as it goes, and a tag
+that the page's end cuts off is dropped; equal pages of a host, and rows that repeat, give equal texts; a null url
+counts as a host of its own; an empty table gives no rows; a column named text is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,10 +42,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm._common import materialize, table
+from concordia.llm._common import materialize, release, table
 
 #: Importance below which a branch is removed, from so many pages of the host on, copies once.
-LOW, PAGES = 0.25, 5
+LOW, LOW_ARTICLE, PAGES = 0.25, 0.02, 5
 #: Share of the presentation of the node above in a leaf's importance.
 ABOVE = 0.1
 #: Unimportant nodes (8 bytes each) that are broadcast at most; more are joined by host.
@@ -47,7 +53,9 @@ BROADCAST_NODES = 100_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
-RAW = frozenset("script style noscript textarea title template iframe xmp noembed noframes svg math object canvas audio video".split())
+RAW = frozenset("script style noscript textarea title iframe xmp noembed noframes".split())
+#: Elements with contents that aren't text of the page.
+UNSEEN = frozenset("template svg object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li "
@@ -83,9 +91,9 @@ def host_of(url: str | None) -> str:
     return (found[1].lower().removeprefix("www.") if found else "") or "-"
 
 
-def _signature(name: str, attributes: str) -> tuple[str, int]:
+def _signature(name: str, attributes: str, inside: bool = False) -> tuple[str, int]:
     """The name with its classes and id as part of a path; 2 if it marks a branch beside the article, 1 if by words of layout alone, else 0."""
-    words, other = [], 2 * (name in OTHER)
+    words, other = [], 2 * (name in UNSEEN or name in OTHER and not (inside and name == "header"))
     if not attributes or "=" not in attributes:
         return name, other
     for kind, *values in ATTRIBUTE.findall(attributes):
@@ -99,13 +107,15 @@ def _signature(name: str, attributes: str) -> tuple[str, int]:
 
 
 class Page:
-    """Blocks of a page: path (hashed), text, whether inside an article, whether beside the article; child sequences of its nodes."""
+    """Blocks of a page: node (hashed path), text, whether inside an article, whether beside the article; child sequences of its nodes, and the node above each."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[list[int], str, bool, bool]] = []
+        self.blocks: list[tuple[int, str, bool, bool]] = []
         self.styles: list[tuple[int, int]] = []
+        self.above: dict[int, int] = {}
         # an open element: name, hash of its path, article depth, how far beside the article, hash of its children so far, what an inline one interrupts
         self.stack: list[list] = [["", 0, 0, 0, 0, None]]
+        self.open: Counter = Counter()
         self.held: list[str] = []
         self._read(source)
         self._block()
@@ -147,9 +157,10 @@ class Page:
                 self._open(name, attributes)
 
     def _open(self, name: str, attributes: str) -> None:
-        signature, other = _signature(name, attributes)
+        top = self.stack[-1]
+        signature, other = _signature(name, attributes, top[2] > 0)
         inline = name not in BLOCK
-        if name in VOID:
+        if name in VOID or name in UNSEEN and attributes.endswith("/"):
             if not inline:
                 self._block()
             return
@@ -161,18 +172,22 @@ class Page:
                 self._close("p", within=("button", "td", "th", "li", "div", "section", "article"))
             if name in SIBLINGS:
                 self._end_sibling(SIBLINGS[name])
-        top = self.stack[-1]
+            top = self.stack[-1]
         path = xxhash.xxh3_64_intdigest(signature.encode("utf-8", "replace"), top[1])
         top[4] = xxhash.xxh3_64_intdigest(signature.encode("utf-8", "replace"), top[4])
+        self.above[path] = top[1]
         starts = name in ("article", "main") and not other and top[3] < 2
         beside = 0 if starts else max(other, top[3])
         article = top[2] + starts
         # an inline branch beside the article lets the block around it go on after it
         self.stack.append([name, path, article, beside, 0, self.held if inline else None])
+        self.open[name] += 1
         if inline:
             self.held = []
 
     def _end_sibling(self, names: set[str]) -> None:
+        if not any(self.open[name] for name in names):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] in names:
                 while len(self.stack) > k:
@@ -183,6 +198,8 @@ class Page:
     def _close(self, name: str, within: tuple[str, ...] = ()) -> None:
         if name in BLOCK and not within:
             self._block()
+        if not self.open[name]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == name:
                 self._block()
@@ -195,6 +212,7 @@ class Page:
     def _pop(self) -> None:
         self._block()
         top = self.stack.pop()
+        self.open[top[0]] -= 1
         if top[5] is None:
             self.styles.append((top[1], top[4]))
         else:
@@ -206,13 +224,31 @@ class Page:
         self.held.clear()
         if text:
             top = self.stack[-1]
-            self.blocks.append(([x[1] for x in self.stack[1:]], text, top[2] > 0, top[3] > 0))
+            self.blocks.append((top[1], text, top[2] > 0, top[3] > 0))
+
+    def leaves(self) -> dict[int, tuple[int, bool]]:
+        """Hash of the text of each leaf that isn't marked as beside the article, and whether it is inside one."""
+        content: dict[int, list[str]] = {}
+        inside = {}
+        for node, text, article, other in self.blocks:
+            if node and not other:
+                content.setdefault(node, []).append(text)
+                inside[node] = article
+        return {n: (xxhash.xxh3_64_intdigest("\n".join(t).encode("utf-8", "replace")), inside[n]) for n, t in content.items()}
+
+    def presentations(self, leaves: Iterable[int]) -> dict[int, int]:
+        """Hash of the child sequence of the nodes above the leaves."""
+        branches: set[int] = set()
+        for node in leaves:
+            while (node := self.above.get(node, 0)) and node not in branches:
+                branches.add(node)
+        return {n: s for n, s in self.styles if n in branches}
 
     def text(self, low: frozenset[int]) -> str:
         """The blocks that stay when the text of nodes of ``low`` importance goes; blocks of nodes below have their own."""
         own = [b for b in self.blocks if not b[3]]
-        inside = [b for b in own if b[2]]
-        return "\n".join(b[1] for b in inside or [b for b in own if not b[0] or b[0][-1] not in low] or own)
+        own = [b for b in own if b[2]] or own
+        return "\n".join(b[1] for b in [b for b in own if b[0] not in low] or own)
 
     def identity(self) -> int:
         """Hash of the text not marked as beside the article, without dates, times and counters: pages of one host that agree in it are copies."""
@@ -235,49 +271,46 @@ def _signed(x: int) -> int:
 
 
 def importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, node, pages (copies once), importance of every leaf that is outside articles and not marked as beside them."""
+    """host, node, inside (an article), pages (copies once), importance of every leaf that isn't marked as beside the article."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            seen: dict[tuple[str, int, int, int | None], int] = {}
+            seen: dict[tuple[str, int, int, int | None, bool], int] = {}
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page, host = Page(source or ""), host_of(url)
-                content: dict[int, list[str]] = {}
-                above: dict[int, int] = {}
-                for path, text, article, other in page.blocks:
-                    if path and not article and not other:
-                        content.setdefault(path[-1], []).append(text)
-                        above[path[-1]] = path[-2] if len(path) > 1 else 0
-                leaves = {n: xxhash.xxh3_64_intdigest("\n".join(t).encode("utf-8", "replace")) for n, t in content.items()}
-                # the presentation of inner nodes; one with text of its own is a leaf too
-                branches = {p for path, _, article, other in page.blocks if not article and not other for p in path[:-1]}
-                styles = {n: s for n, s in page.styles if n in branches}
+                leaves = page.leaves()
                 if not leaves:
                     continue
                 copy = page.identity()
-                for key, value in [*(((host, copy, n, above[n]), v) for n, v in leaves.items()), *(((host, copy, n, None), v) for n, v in styles.items())]:
+                rows = [((host, copy, n, page.above[n], inside), v) for n, (v, inside) in leaves.items()]
+                # the presentation of inner nodes; one with text of its own is a leaf too
+                rows += [((host, copy, n, None, False), v) for n, v in page.presentations(leaves).items()]
+                for key, value in rows:
                     seen[key] = min(_signed(value), seen.get(key, _signed(value)))
-            hosts, copies, nodes, parents = zip(*seen, strict=True) if seen else ((), (), (), ())
+            hosts, copies, nodes, parents, insides = zip(*seen, strict=True) if seen else ((), (), (), (), ())
             signed = [pa.array([None if x is None else _signed(x) for x in c], pa.int64()) for c in (copies, nodes, parents)]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *signed, pa.array(seen.values(), pa.int64())], ["host", "copy", "node", "above", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *signed, pa.array(insides, pa.bool_()), pa.array(seen.values(), pa.int64())], ["host", "copy", "node", "above", "inside", "value"])
 
-    rows = pages.select(url_col, html_col).mapInArrow(run, "host string, copy long, node long, above long, value long")
+    rows = pages.select(url_col, html_col).mapInArrow(run, "host string, copy long, node long, above long, inside boolean, value long")
     # copies of a page count once, with one of their values at each node
-    once = rows.groupBy("host", "copy", "node", "above").agg(F.min("value").alias("value"))
-    counts = once.groupBy("host", "node", "above", "value").agg(F.count(F.lit(1)).alias("n"))
-    nodes = counts.groupBy("host", "node", "above").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    once = rows.groupBy("host", "copy", "node", "above", "inside").agg(F.min("value").alias("value"))
+    counts = once.groupBy("host", "node", "above", "inside", "value").agg(F.count(F.lit(1)).alias("n"))
+    nodes = counts.groupBy("host", "node", "above", "inside").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.log("pages") - F.col("s") / F.col("pages")
-    nodes = materialize(nodes.select("host", "node", "above", "pages", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("own")), "style-tree")
+    nodes = materialize(nodes.select("host", "node", "above", "inside", "pages", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("own")), "style-tree")
     parents = nodes.filter(F.col("above").isNull()).select("host", F.col("node").alias("above"), F.col("own").alias("presentation"))
     leaves = nodes.filter(F.col("above").isNotNull()).join(parents, ["host", "above"], "left")
     composite = (1 - ABOVE) * F.col("own") + ABOVE * F.coalesce("presentation", F.lit(1.0))
-    return leaves.select("host", "node", "pages", composite.alias("importance"))
+    # within an article the place counts for nothing: paragraphs vary in number on every page
+    return leaves.select("host", "node", "inside", "pages", F.when(F.col("inside"), F.col("own")).otherwise(composite).alias("importance"))
 
 
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with text; a column with this name is replaced."""
     base = pages.drop("text")
-    nodes = importance(base, url_col=url_col, html_col=html_col).filter((F.col("pages") >= PAGES) & (F.col("importance") < LOW))
+    nodes = importance(base, url_col=url_col, html_col=html_col)
+    nodes = nodes.filter((F.col("pages") >= PAGES) & (F.col("importance") < F.when(F.col("inside"), LOW_ARTICLE).otherwise(LOW)))
     nodes = materialize(nodes.select("host", "node"), "unimportant")
     few = nodes.count() <= BROADCAST_NODES
     names = base.columns

@@ -1,4 +1,8 @@
+import math
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from concordia.llm import html_extract as m
 
@@ -88,6 +92,49 @@ def test_copies_and_joins_by_host(spark, monkeypatch):
     assert m.extract(pages.limit(0)).collect() == []
 
 
+def test_importance_by_hand(spark):
+    """Eight pages: a leaf that half of them share has entropy ln 8 - (4 ln 4) / 8, and its place never changes."""
+    words = "river stone walk light seven garden paper open".split()
+    rows = [(f"http://h.example/{w}", f"<body><div class=x><p class=half>{'same' if i < 4 else w}</p><p class=own>{w}</p></div><article><h2 class=sign>Sign up</h2><p>Own {w}</p></article></body>") for i, w in enumerate(words)]
+    found = sorted(((r["inside"], round(r["importance"], 6)) for r in m.importance(spark.createDataFrame(rows, "url string, html string")).collect()))
+    own = (math.log(8) - 4 * math.log(4) / 8) / math.log(8)
+    assert found == [(False, round(0.9 * own, 6)), (False, 0.9), (True, 0.0), (True, 1.0)]
+
+
+def test_the_tree_decides_in_articles(spark):
+    """What a site repeats within its articles goes; names alone would keep it."""
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    before = {r["page_id"]: r["text"] for r in m.extract(rows).collect()}
+    one_host = rows.withColumn("url", F.concat(F.lit("http://one.example/"), F.col("page_id").cast("string")))
+    signed = one_host.withColumn("html", F.regexp_replace("html", "</h1>", '</h1><p class="lead">Read this on our site</p>'))
+    after = {r["page_id"]: r["text"] for r in m.extract(signed).collect()}
+    assert len(before) > 20 and any("Read this on our site" in m.Page(r["html"]).text(frozenset()) for r in signed.collect())
+    assert after == before
+
+
+def test_headers_formulas_and_drawings():
+    assert text("<header>Site</header><article><header><h1>Title</h1></header><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p></article>") == "Title\na x=1 b"
+    assert text("<article><header class=ad>No</header><p>a<svg><g><svg><text>no</text></svg><text>no</text></g></svg> b</p><object><p>no</p><object>no</object>no</object><p>c</p></article>") == "a b\nc"
+    assert text("<p>x<svg/>y</p><template><template>no</template>no</template><p>z</p>") == "xy\nz"
+
+
+def test_deep_and_long_pages_clashing_names_and_repeated_rows(spark):
+    deep = "<div>" * 50_000 + "<p>deep</p>" + "</div>" * 50_000
+    quotes = "<blockquote><li>q" * 20_000
+    long = "<article>" + "<p>word and word</p>" * 60_000 + "</article>"
+    began = time.perf_counter()
+    assert text(deep) == "deep"
+    assert text(quotes).count("q") == 20_000
+    assert text(long).count("\n") == 59_999
+    assert text("<b>" * 50_000 + "x" + "</b></i>" * 50_000) == "x"
+    assert len(m.Page(deep).presentations(m.Page(deep).leaves())) == 50_000
+    assert time.perf_counter() - began < 30
+    rows = [(1, "http://a.example/", "<p>x</p>", 7)] * 3 + [(None, None, None, None), (2, "http://a.example/2", "<p>y</p>", 8)]
+    found = m.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert sorted((str(r["page_id"]), r["text"]) for r in found) == [("1", "x")] * 3 + [("2", "y"), ("None", "")]
+
+
 def test_tables_against_a_pattern(spark):
     import html
 
