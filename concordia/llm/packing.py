@@ -4,9 +4,11 @@ Pieces of equal length are interchangeable, so a packing is a list of (bin patte
 number of bins) over the histogram of lengths, which has at most ``capacity`` entries
 however large the corpus is.  On it runs a grouping genetic algorithm: crossover injects
 whole well-filled bins of one parent into the other, bins that would use a piece twice
-are removed, and the displaced pieces go back by best fit in decreasing order; mutation
+are removed, and the displaced pieces go back by best fit in decreasing order, or as the
+sets that fill a bin best; mutation
 empties poorly filled bins.  Islands evolve as separate Spark tasks and send their elite
-to their neighbours between epochs.  It stops early, after a generation at least, at the lower bound.
+to their neighbours between epochs.  It stops early, after a generation at least, at the lower bound,
+or when epochs bring nothing any more.
 
 The winning patterns then deal out the pieces: the rank of a piece among those of its
 length tells its bin and its place there.  Ranks are exact and distributed (counts of
@@ -15,7 +17,8 @@ share is no hot spot, and no text or token crosses the network.
 
 Defined results: null text is empty; an empty text is the end id alone; texts of any
 length are encoded whole, and only those of more than ``capacity`` ids are cut, so that
-just the first piece is shorter; equal rows are packed each; an empty table gives no rows.
+just the first piece is shorter; equal rows are packed each; an empty table gives no rows;
+columns of the input named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -33,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordia.llm._common import hold, materialize, table, texts_of
+from concordia.llm._common import hold, map_arrow, materialize, table, texts_of
 
 CAPACITY, END_ID = 2048, 0
-ISLANDS, EPOCHS, GENERATIONS, POPULATION, SEED = 4, 2, 6, 6, 20
+ISLANDS, EPOCHS, GENERATIONS, POPULATION, SEED = 4, 6, 30, 6, 20
 #: Rows of a sub-bucket in which pieces of one length are ranked, about; its hashes have at most MAX_SUBS values.
 SUB_ROWS, MIN_SUBS, MAX_SUBS = 200_000, 8, 4096
 #: Token ids that a Python worker holds before it hands them on.
@@ -127,13 +130,24 @@ def tokenize(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
             if rows:
                 yield flush()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return map_arrow(rows, run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 # ---------------------------------------------------------------- packings of a histogram
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """No packing has fewer bins: the volume, and the pieces of more than half a bin."""
-    return max(-(-sum(k * n for k, n in counts.items()) // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
+    """No packing has fewer bins (Martello and Toth): for each least length, the pieces that share a bin with none so long, and the volume that doesn't fit beside those of more than half a bin."""
+    if not counts:
+        return 0
+    length = np.array(sorted(counts), dtype=np.int64)
+    number = np.array([counts[k] for k in length.tolist()], dtype=np.int64)
+    n, volume = np.append(0, np.cumsum(number)), np.append(0, np.cumsum(number * length))
+    half = int(np.searchsorted(length, capacity // 2, side="right"))
+    least = np.append(0, length[:half])
+    small = np.searchsorted(length, least)
+    alone = np.maximum(half, np.searchsorted(length, capacity - least, side="right"))
+    middle = n[alone] - n[half]
+    beside = volume[half] - volume[small] - (capacity * middle - (volume[alone] - volume[half]))
+    return int((n[-1] - n[alone] + middle + np.maximum(0, -(-beside // capacity))).max())
 
 
 def size_of(packing: Packing) -> int:
@@ -191,8 +205,68 @@ def best_fit(counts: dict[int, int], capacity: int, kept: Packing | None = None,
     return {p: n for p, n in done.items() if n}
 
 
+def best_sets(counts: dict[int, int], capacity: int, chance: random.Random, tries: int = 24) -> Packing:
+    """Bin by bin, the longest piece left and those sets of up to three others that leave the least room; of full triples ``tries`` first pieces are tried."""
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    left[list(counts)] = list(counts.values())
+    every = np.arange(capacity + 1)
+    out: Counter = Counter()
+
+    def open_lengths() -> tuple[np.ndarray, np.ndarray]:
+        """The lengths left, and for each room the longest of them that it takes."""
+        return np.flatnonzero(left), np.maximum.accumulate(np.where(left > 0, every, 0))
+
+    def best_set(gap: int) -> list[int]:
+        a = lengths[: np.searchsorted(lengths, gap, side="right")]
+        b = floor[gap - a]
+        b = np.where((b == a) & (left[a] < 2), 0, b)
+        at = int((a + b).argmax())
+        found = [int(a[at]), int(b[at])]
+        if sum(found) < gap:
+            first = a if len(a) <= tries else a[sorted(chance.sample(range(len(a)), tries))]
+            room = gap - first[:, None] - a[None, :]
+            c = np.where(room > 0, floor[np.maximum(room, 0)], 0)
+            twice = (first[:, None] == a[None, :]).astype(int)
+            need = np.maximum(1 + twice + (c == first[:, None]), 1 + (c == a[None, :]) + twice)
+            enough = (left[first][:, None] > twice) & (left[c] >= np.where(c > 0, 1 + (c == first[:, None]) + (c == a[None, :]), 0)) & (left[a][None, :] >= np.where(twice > 0, need, 1))
+            total = np.where((room >= 0) & enough, first[:, None] + a[None, :] + c, 0)
+            if total.max() > sum(found):
+                i, j = np.unravel_index(int(total.argmax()), total.shape)
+                found = [int(first[i]), int(a[j]), int(c[i, j])]
+        return [x for x in found if x]
+
+    lengths, floor = open_lengths()
+    while len(lengths):
+        pieces, gap = [int(lengths[-1])], capacity - int(lengths[-1])
+        left[lengths[-1]] -= 1
+        lengths, floor = open_lengths()
+        while len(lengths) and gap >= lengths[0]:
+            more = best_set(gap)
+            for k in more:
+                left[k] -= 1
+            pieces += more
+            gap -= sum(more)
+            lengths, floor = open_lengths()
+        # half of the bins that could be alike are made alike
+        need = Counter(pieces)
+        again = int(min(left[k] // c for k, c in need.items())) // 2
+        for k, c in need.items():
+            left[k] -= c * again
+        out[tuple(sorted(pieces, reverse=True))] += 1 + again
+        lengths, floor = open_lengths()
+    return dict(out)
+
+
+def put_back(free: dict[int, int], capacity: int, kept: Packing, chance: random.Random) -> Packing:
+    """Displaced pieces into the bins kept and new ones by best fit, or into new ones by best sets."""
+    free = {k: n for k, n in free.items() if n}
+    if free and chance.random() < 0.6:
+        return dict(Counter(kept) + Counter(best_sets(free, capacity, chance)))
+    return best_fit(free, capacity, kept, chance if chance.random() < 0.5 else None)
+
+
 def cross(mine: Packing, other: Packing, counts: dict[int, int], capacity: int, chance: random.Random) -> Packing:
-    """Inject well-filled bins of ``other``, keep what then still fits of ``mine``, best-fit the rest."""
+    """Inject well-filled bins of ``other``, keep what then still fits of ``mine``, put back the rest."""
     free = dict(counts)
 
     def take(pattern: Pattern, most: int) -> int:
@@ -211,36 +285,37 @@ def cross(mine: Packing, other: Packing, counts: dict[int, int], capacity: int,
             kept[pattern] += take(pattern, n)
     for pattern, n in sorted(mine.items(), key=lambda x: (-sum(x[0]), x[0])):
         kept[pattern] += take(pattern, n)
-    return best_fit(free, capacity, {p: n for p, n in kept.items() if n})
+    return put_back(free, capacity, {p: n for p, n in kept.items() if n}, chance)
 
 
 def mutate(packing: Packing, capacity: int, chance: random.Random) -> Packing:
-    """Empty the least filled bins and a share of the others, and best-fit their pieces in a disturbed order."""
+    """Empty some bins, poorly filled ones rather than full ones, and put their pieces back."""
     free: Counter = Counter()
     kept: Packing = {}
-    short, share = capacity - capacity // 32, chance.choice((0.05, 0.15, 0.4, 0.7))
+    bins, room = size_of(packing), sum(n * (capacity - sum(p)) for p, n in packing.items())
+    # bins to empty, in proportion to their room, with a little for full ones
+    aim = max(6.0, bins * chance.choice((0.01, 0.03, 0.1, 0.3)))
     for pattern, n in sorted(packing.items()):
-        if sum(pattern) < short and chance.random() < 0.7:
-            gone = n
-        else:
-            # of many equal bins the share itself goes, of few each by chance
-            gone = round(n * share * chance.uniform(0.5, 1.5)) if n > 20 else sum(chance.random() < share for _ in range(n))
-        gone = min(n, gone)
+        share = min(1.0, aim * (capacity - sum(pattern) + 0.5) / (room + 0.5 * bins))
+        # of many equal bins the share itself goes, of few each by chance
+        gone = min(n, round(n * share * chance.uniform(0.5, 1.5))) if n > 20 else sum(chance.random() < share for _ in range(n))
         for k in pattern:
             free[k] += gone
         if n > gone:
             kept[pattern] = n - gone
-    return best_fit(free, capacity, kept, chance if chance.random() < 0.7 else None)
+    return put_back(free, capacity, kept, chance)
 
 
 def evolve(counts: dict[int, int], capacity: int, start: list[Packing], generations: int, population: int, seed: int) -> list[Packing]:
     """One island for one epoch; the best packings come first."""
     chance = random.Random(seed)
     bound = lower_bound(counts, capacity)
+    key = lambda p: fitness(p, capacity)
     pool = [best_fit(counts, capacity), *start]
+    if not start:
+        pool.append(best_sets(counts, capacity, chance))
     while len(pool) < population:
         pool.append(mutate(chance.choice(pool[:2]), capacity, chance))
-    key = lambda p: fitness(p, capacity)
     pool.sort(key=key)
     for generation in range(generations):
         if generation and size_of(pool[0]) <= bound:
@@ -248,19 +323,26 @@ def evolve(counts: dict[int, int], capacity: int, start: list[Packing], generati
         children = []
         for _ in range(population // 2):
             a, b = chance.sample(pool[: max(2, population // 2)], 2)
-            child = cross(a, b, counts, capacity, chance)
-            children.append(mutate(child, capacity, chance) if chance.random() < 0.5 else child)
-        pool = sorted([*pool, *children], key=key)[:population]
+            children.append(cross(a, b, counts, capacity, chance) if chance.random() < 0.3 else mutate(a, capacity, chance))
+        # equal packings would fill the pool
+        unlike = {tuple(sorted(p.items())): p for p in [*pool, *children]}
+        pool = sorted(unlike.values(), key=key)[:population]
+        if len(pool) < 2:
+            pool.append(mutate(pool[0], capacity, chance))
     return pool
 
 
 def islands(spark, counts: dict[int, int], capacity: int = CAPACITY, *, n_islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, seed: int = SEED) -> Packing:
-    """The best packing of all islands; each epoch starts from the elite of an island and of its neighbour."""
+    """The best packing of all islands; each epoch starts from the elite of an island and of its neighbour.
+
+    It ends at the lower bound, or when two epochs have brought no bin less, or after ``epochs``.
+    """
     bound = lower_bound(counts, capacity)
     elite: list[list[Packing]] = [[] for _ in range(n_islands)]
     best: Packing = {}
+    sizes: list[int] = []
     for epoch in range(epochs if counts else 0):
-        if best and size_of(best) <= bound:
+        if best and (size_of(best) <= bound or sizes[-3:] == [size_of(best)] * 3):
             break
         sent = [pickle.dumps([*own, *before[:1]]) for own, before in zip(elite, elite[-1:] + elite[:-1], strict=True)]
 
@@ -270,10 +352,11 @@ def islands(spark, counts: dict[int, int], capacity: int = CAPACITY, *, n_island
                 out = [pickle.dumps(evolve(counts, capacity, pickle.loads(sent[i]), generations, population, seed + 1000 * epoch + i)[:2]) for i in ids]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["island", "elite"])
 
-        rows = spark.range(0, n_islands, 1, n_islands).mapInArrow(run, "island long, elite binary").collect()
+        rows = map_arrow(spark.range(0, n_islands, 1, n_islands), run, "island long, elite binary").collect()
         for row in rows:
             elite[row["island"]] = pickle.loads(row["elite"])
         best = min([*([best] if best else []), *(e[0] for e in elite)], key=lambda p: fitness(p, capacity))
+        sizes.append(size_of(best))
     return best
 
 
@@ -326,7 +409,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, *, keys: tuple[str, ...] =
             kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(bins), pa.array(offsets)], [*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "__length", "__rank").mapInArrow(run, schema)
+    return map_arrow(ranked.select(*names, "__length", "__rank"), run, schema)
 
 
 def sequences(pieces: DataFrame, packed: DataFrame) -> DataFrame:

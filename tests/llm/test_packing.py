@@ -106,3 +106,51 @@ def test_encoder_equals_the_library():
     texts = ["".join(chance.choice(alphabet) for _ in range(chance.randint(0, 40))) for _ in range(500)]
     for text in [*texts, " " * 5000 + "x", "a" * 3000, "x<|endoftext|>y"]:
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def fewest(pieces, capacity):
+    """The fewest bins, by trying every bin for every piece."""
+    best = [len(pieces)]
+
+    def put(at, bins):
+        if len(bins) >= best[0]:
+            return
+        if at == len(pieces):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + pieces[at] <= capacity and bins[k] not in bins[:k]:
+                put(at + 1, [*bins[:k], bins[k] + pieces[at], *bins[k + 1 :]])
+        put(at + 1, [*bins, pieces[at]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_bound_and_search_against_all_packings():
+    chance = random.Random(8)
+    reached = 0
+    for _ in range(40):
+        pieces = sorted((chance.randint(8, 60) for _ in range(chance.randint(1, 9))), reverse=True)
+        counts, exact = dict(Counter(pieces)), fewest(pieces, 100)
+        assert packing.lower_bound(counts, 100) <= exact
+        found = packing.evolve(counts, 100, [], packing.GENERATIONS, packing.POPULATION, 3)[0]
+        assert packing.size_of(found) == exact
+        reached += packing.lower_bound(counts, 100) == exact
+    assert reached > 25
+    assert packing.lower_bound({}, 100) == 0
+    assert packing.lower_bound({60: 4, 40: 1, 41: 3}, 100) == 6
+
+
+def test_search_beats_best_fit_on_a_hard_instance(spark):
+    chance = random.Random(1)
+    counts = dict(Counter(chance.randint(300, 1100) for _ in range(4000)))
+    found = packing.islands(spark, counts, n_islands=2, epochs=2)
+    used = Counter()
+    for pattern, n in found.items():
+        assert sum(pattern) <= packing.CAPACITY
+        for k in pattern:
+            used[k] += n
+    assert used == counts
+    bound, plain = packing.lower_bound(counts, packing.CAPACITY), packing.size_of(packing.best_fit(counts, packing.CAPACITY))
+    assert packing.size_of(found) <= bound * 1.005 < plain * 0.99
