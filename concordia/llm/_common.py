@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,8 @@ from concordia.errors import DataError
 
 #: Characters of text that a Python step holds at once, beside the Arrow batch.
 CHUNK_CHARS = 1 << 21
+#: Rows of an Arrow batch.
+BATCH_ROWS, BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most BATCH_ROWS rows (the session's own bound, if it is lower), that returns freed memory when a task ends.
+
+    Texts can be long and Spark bounds batches by rows alone; workers that wait for their next task keep what they once took.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(task, schema)
+
+
 def crc_fold(id_col: str, folds: int):
     """crc32 of the id written as text, modulo ``folds``; a null id falls in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)), F.lit(0))
@@ -62,12 +80,18 @@ def hold(key: Hashable, build: Callable[[], object]):
 
 
 def release() -> None:
-    """Give up what this worker holds, and its freed memory; steps without a model of their own start with this."""
+    """Give up what this worker holds; steps without a model of their own start with this."""
     if _held:
         _held.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

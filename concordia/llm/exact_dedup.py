@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm._common import materialize, release, table
+from concordia.llm._common import map_arrow, materialize, release, table
 
 #: Fingerprints of a filter, at most; fingerprints of a block over all partitions, about.
 FILTER_ROWS, BLOCK_ROWS = 1 << 20, 1 << 20
@@ -102,7 +102,7 @@ def repeated(fingerprints: DataFrame, block_bits: int) -> DataFrame:
         more = counts > 1
         return pa.table({"fp": pa.array(values[more].view(np.int64)), "n": pa.array(counts[more])})
 
-    built = fingerprints.select("fp").mapInArrow(build, "block int, filter binary")
+    built = map_arrow(fingerprints.select("fp"), build, "block int, filter binary")
     return built.groupBy("block").applyInArrow(merge, "fp long, n long")
 
 

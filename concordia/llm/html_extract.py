@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm._common import materialize, release, table
+from concordia.llm._common import map_arrow, materialize, release, table
 
 #: Importance below which a branch is removed, from so many pages of the host on, copies once.
 LOW, LOW_ARTICLE, PAGES = 0.25, 0.02, 5
@@ -292,7 +292,7 @@ def importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
             signed = [pa.array([None if x is None else _signed(x) for x in c], pa.int64()) for c in (copies, nodes, parents)]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *signed, pa.array(insides, pa.bool_()), pa.array(seen.values(), pa.int64())], ["host", "copy", "node", "above", "inside", "value"])
 
-    rows = pages.select(url_col, html_col).mapInArrow(run, "host string, copy long, node long, above long, inside boolean, value long")
+    rows = map_arrow(pages.select(url_col, html_col), run, "host string, copy long, node long, above long, inside boolean, value long")
     # copies of a page count once, with one of their values at each node
     once = rows.groupBy("host", "copy", "node", "above", "inside").agg(F.min("value").alias("value"))
     counts = once.groupBy("host", "node", "above", "inside", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -332,7 +332,7 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -
         for row in nodes.collect():
             by_host.setdefault(row["host"], set()).add(row["node"] & ((1 << 64) - 1))
         held = {h: frozenset(n) for h, n in by_host.items()}
-        return base.mapInArrow(reader(lambda _, urls: [held.get(host_of(u), frozenset()) for u in urls]), schema)
+        return map_arrow(base, reader(lambda _, urls: [held.get(host_of(u), frozenset()) for u in urls]), schema)
     lists = nodes.groupBy("host").agg(F.collect_list("node").alias("__low"))
     host = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST.pattern.replace("^", "(?i)^", 1), 1)
     host = F.regexp_replace(F.lower(host), r"^www\.", "")
@@ -341,7 +341,7 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -
     def lows(batch: pa.RecordBatch, _) -> list[frozenset[int]]:
         return [frozenset(np.array(x or [], np.int64).view(np.uint64).tolist()) for x in batch.column(batch.schema.get_field_index("__low")).to_pylist()]
 
-    return joined.select(*names, "__low").mapInArrow(reader(lows), schema)
+    return map_arrow(joined.select(*names, "__low"), reader(lows), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

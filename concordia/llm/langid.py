@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordia.llm._common import crc_fold, hold, slices, table, texts_of
+from concordia.llm._common import crc_fold, hold, map_arrow, slices, table, texts_of
 
 UNDETERMINED = "und"
 #: Bounds of the labelled sample that is learned from.
@@ -272,7 +272,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], *, text_col: str =
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -39,13 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm._common import materialize, release, table, texts_of
+from concordia.llm._common import map_arrow, materialize, release, table, texts_of
 
 SHINGLE, THRESHOLD = 5, 75
 REGISTERS, BAND, BASE, RATE = 128, 4, 1.001, 20.0
 ESTIMATE_FLOOR = 0.58
-#: Classes of a block in the full search of a bucket, and texts of a block in the comparison with a component.
-BLOCK, TEXT_BLOCK = 1024, 512
+#: Classes of a block in the full search of a bucket; parts of PART shingles of a block of texts in the comparison with a component.
+BLOCK, TEXT_BLOCK, PART = 1024, 512, 400
+#: Partners of a class that one block verifies; rows from which a node may be hot; hot values that are broadcast at most.
+PARTNERS, HOT_DEGREE, HOT_VALUES = 256, 512, 100_000
 #: Partitions over which the rows of one bucket or cluster spread.
 SALTS = 16
 #: Words whose hashes a worker remembers; hashes that are minimised at once.
@@ -148,7 +150,7 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
             columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "n_shingles", "node", "sketch"])
 
-    return rows.mapInArrow(run, f"id {kind}, fp long, n_shingles long, node binary, sketch binary")
+    return map_arrow(rows, run, f"id {kind}, fp long, n_shingles long, node binary, sketch binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -169,7 +171,7 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 near = plausible_pairs(_matrix(get("sketch_a")), _matrix(get("sketch_b")), np.asarray(get("n_a")), np.asarray(get("n_b")))
                 yield pa.RecordBatch.from_arrays([get("a"), get("b")], ["a", "b"]).filter(pa.array(near))
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a binary, b binary")
+    return map_arrow(pairs.join(side("b"), "b").join(side("a"), "a"), run, "a binary, b binary")
 
 
 def texts_of_nodes(needed: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -180,26 +182,52 @@ def texts_of_nodes(needed: DataFrame, classes: DataFrame, docs: DataFrame, id_co
     return materialize(texts.dropDuplicates(["node"]), "candidates")
 
 
+def _often(rows: DataFrame, column: str, least: int) -> DataFrame:
+    """column and n of the values of ``column`` in at least ``least`` rows and so large a share of all that they are few: HOT_VALUES at most."""
+    least = max(least, rows.count() // HOT_VALUES + 1)
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b) whose full sets reach the threshold.
+
+    The partners of ``a`` are dealt to blocks of about PARTNERS; a block's rows come to a
+    task in a row, ``a`` first, so that two texts are held at a time and ``a`` is sent once a block.
+    """
     texts = texts_of_nodes(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs, id_col, text_col)
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    hot = _often(pairs, "a", PARTNERS).select("a", F.ceil(F.col("n") / PARTNERS).alias("blocks"))
+    # at most HOT_VALUES rows of 24 bytes
+    dealt = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), "blocks")).cast("int").alias("block"))
+    dealt = materialize(dealt, "dealt")
+    first = dealt.select("a", "block").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("binary").alias("b"), "text")
+    rest = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "text")
+    rows = first.union(rest).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, one = _Words(), None, None
+        release()
+        words, one = _Words(), None
         for batch in batches:
-            get = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
-            a, text_a, text_b, linked = get("a"), get("text_a"), get("text_b"), []
+            a, b, text, linked = batch.column(0), batch.column(1), batch.column(2), []
             for row in range(batch.num_rows):
-                if (node := a[row].as_py()) != last:
-                    last, one = node, shingle_set(text_a[row].as_py(), words)
-                two = shingle_set(text_b[row].as_py(), words)
+                two = shingle_set(text[row].as_py(), words)
+                if not b[row].is_valid:
+                    one = two
+                    linked.append(False)
+                    continue
                 common = len(np.intersect1d(one, two, assume_unique=True))
                 linked.append(100 * common >= THRESHOLD * (len(one) + len(two) - common))
-            yield pa.RecordBatch.from_arrays([a, get("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return map_arrow(rows.select("a", "b", "text"), run, "a binary, b binary")
+
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+def _meet(rows: DataFrame, least: DataFrame, hot: int) -> DataFrame:
+    """``rows`` (u, v) with the m of their u in ``least`` (u, m, degree); nodes of at least ``hot`` rows meet theirs by a broadcast."""
+    # a node has ``hot`` of the rows, so there are at most HOT_VALUES of them
+    few = least.filter(F.col("degree") >= hot).select("u", F.col("m").alias("hot_m"))
+    rows = rows.join(F.broadcast(few), "u", "left")
+    rest = rows.filter(F.col("hot_m").isNull()).select("u", "v").join(least.select("u", "m"), "u")
+    return rows.filter(F.col("hot_m").isNotNull()).select("u", "v", F.col("hot_m").alias("m")).union(rest.select("u", "v", "m"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -211,11 +239,12 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
+        hot = max(HOT_DEGREE, 2 * now[0] // HOT_VALUES + 1)
         sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sides.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a")).filter("a <> b")
+        least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+        large = _meet(sides.filter("v > u"), least, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+        small = _meet(large, least, hot).select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a")).filter("a <> b")
         edges = materialize(small.select("a", "b").distinct(), "edges")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
@@ -290,7 +319,9 @@ def join_components(cluster: DataFrame, labels: DataFrame, classes: DataFrame, d
     # a component of one class isn't in ``labels``
     alone = cluster.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), "label", "cluster")
     held = materialize(labels.join(cluster, "label").select("node", "label", "cluster").union(alone), "cluster-members")
-    rows = materialize(_blocks(held, held.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")), "cluster", TEXT_BLOCK), "comparisons")
+    # blocks are bounded by what their sets hold, not by rows: a long text has many parts
+    parts = held.join(classes.select("node", F.ceil(F.col("n_shingles") / PART).alias("parts")), "node")
+    rows = materialize(_blocks(held, parts.groupBy("cluster", "label").agg(F.sum("parts").alias("n")), "cluster", TEXT_BLOCK), "comparisons")
     texts = texts_of_nodes(rows.select("node").distinct(), classes, docs, id_col, text_col)
 
     def run(group: pa.Table) -> pa.Table:

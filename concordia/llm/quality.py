@@ -9,7 +9,8 @@ hash of their id); every text is scored whole.
 
 Defined results: null counts as empty, and empty texts get the score of their structure
 alone; equal texts get equal scores; without labels every score is 0.5; labels other than
-0 and 1 and labels without a document are not used; repeated labels count each.
+0 and 1 and labels without a document are not used; repeated labels count each, up to ``SAMPLE``
+rows in all; an empty table gives no rows; columns of the input named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm._common import crc_fold, table, texts_of
+from concordia.llm._common import crc_fold, map_arrow, table, texts_of
 
 #: Labelled rows that are learned from at most.
 SAMPLE = 6000
@@ -155,7 +156,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays(columns, ["id", "label", "index", "value"])
 
     kind = rows.schema["__id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {kind}, label int, index binary, value binary").limit(2 * sample).toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("index", "ascending")])
+    # ids may repeat: the rows are in one order, and no more are taken than labels were
+    got = map_arrow(rows, run, f"id {kind}, label int, index binary, value binary").orderBy("id", "label", "index", "value").limit(sample).toArrow()
     pairs = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(got.column("index").to_pylist(), got.column("value").to_pylist(), strict=True)]
     return FactorisationMachine().fit(pairs, np.array(got.column("label").to_pylist(), dtype=float))
 
@@ -174,7 +176,7 @@ def score(docs: DataFrame, machine: FactorisationMachine, *, text_col: str = "te
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "score", "predicted"])
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
