@@ -230,16 +230,18 @@ def _meet(rows: DataFrame, least: DataFrame, hot: int) -> DataFrame:
     return rows.filter(F.col("hot_m").isNotNull()).select("u", "v", F.col("hot_m").alias("m")).union(rest.select("u", "v", "m"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of edges (a < b) has one least node a, which has none: then the components are known."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("below")), F.struct(F.col("b").alias("node"), F.lit(1).alias("below")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.below").alias("below"), F.count(F.lit(1)).alias("n"))
+    return nodes.filter((F.col("below") > 0) & (F.col("n") > 1)).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and label (least node) of every node that a link (a, b) has, by large and small stars."""
     edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    state = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
-        hot = max(HOT_DEGREE, 2 * now[0] // HOT_VALUES + 1)
+    while not _stars(edges):
+        hot = max(HOT_DEGREE, 2 * edges.count() // HOT_VALUES + 1)
         sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
         large = _meet(sides.filter("v > u"), least, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
