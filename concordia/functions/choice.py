@@ -9,9 +9,10 @@ import numpy as np
 
 from concordia.functions import kernels, search
 
-#: Items up to which all orders are tried.
-ALL_ORDERS_UP_TO = 6
-KEMENY_UP_TO = 10
+#: Items up to which all orders are tried, and up to which they are counted through subsets.
+ALL_ORDERS_UP_TO, ORDERS_UP_TO = 6, 20
+#: Items of a majority cycle up to which an order is searched through all subsets.
+KEMENY_UP_TO = 16
 
 
 def _index(menus: list[list[int]]) -> dict[int, int]:
@@ -88,20 +89,70 @@ def limited_attention(menus: list[list[int]], choices: list[int]) -> dict[str, o
     return {"success": order is not None, "order": [items[k] for k in order or []], "relation": [(items[a], items[b]) for a, b in np.argwhere(above).tolist()]}
 
 
-def random_attention(menus: list[list[int]], shares: list[dict[int, float]], tol: float = 1e-9) -> dict[str, object]:
+def monotone_attention(menus: list[list[int]], shares: list[dict[int, float]], tol: float = 1e-9) -> dict[str, object]:
     """Orders that monotone random attention allows.
 
     An order is ruled out by an item a better one of which leaves the menu and that is
     then chosen less often: attention to a set can't fall when other items go.
     """
     items = sorted({i for m in menus for i in m})
-    if len(items) > ALL_ORDERS_UP_TO:
-        raise ValueError(f"more than {ALL_ORDERS_UP_TO} items")
     by_menu = {frozenset(m): s for m, s in zip(menus, shares, strict=True)}
     # x in a menu, y another: x chosen more often with y there than without means x is above y
     above = {(x, y) for m, s in by_menu.items() for y in m if m - {y} in by_menu for x in m - {y} if s.get(x, 0) > by_menu[m - {y}].get(x, 0) + tol}
-    fits = [o for o in permutations(items) if all(o.index(x) < o.index(y) for x, y in above)]
-    return {"is_consistent": bool(fits), "n_orders": len(fits), "order": list(fits[0]) if fits else []}
+    n, first = orders_of(items, above)
+    return {"is_consistent": n > 0, "n_orders": n, "order": first}
+
+
+def orders_of(items: list[int], above: set[tuple[int, int]]) -> tuple[int, list[int]]:
+    """How many orders keep all pairs (x above y), by dynamic programming over subsets, and the first of them (least items first)."""
+    at = {i: k for k, i in enumerate(items)}
+    need = [sum(1 << at[x] for x, y in above if y == i) for i in items]
+    n = len(items)
+    if n > ORDERS_UP_TO:
+        raise ValueError(f"more than {ORDERS_UP_TO} items")
+    ways = [0] * (1 << n)
+    ways[0] = 1
+    for mask in range(1 << n):
+        if ways[mask]:
+            for k in range(n):
+                if not mask >> k & 1 and need[k] & ~mask == 0:
+                    ways[mask | 1 << k] += ways[mask]
+    relation = np.zeros((n, n), dtype=bool)
+    for x, y in above:
+        relation[at[x], at[y]] = True
+    order = order_of(relation)
+    return ways[-1], [items[k] for k in order or []]
+
+
+def attention_distance(menus: list[list[int]], shares: list[dict[int, float]], order: list[int]) -> float:
+    """Mean square by which an item is chosen less often than the next one below it in the order, over menus."""
+    place = {i: k for k, i in enumerate(order)}
+    gaps = []
+    for m, s in zip(menus, shares, strict=True):
+        ranked = sorted(m, key=place.__getitem__)
+        gaps += [max(0.0, s.get(y, 0.0) - s.get(x, 0.0)) ** 2 for x, y in zip(ranked, ranked[1:], strict=False)]
+    return sum(gaps) / len(gaps) if gaps else 0.0
+
+
+def random_attention(menus: list[list[int]], shares: list[dict[int, float]], alpha: float = 0.05, draws: int = 1000, seed: int = 0) -> dict[str, object]:
+    """Orders under which no item is never chosen from a menu of which a worse one is; the first one's distance, and the share of orders at least as distant.
+
+    The share is over all orders of up to ALL_ORDERS_UP_TO items, else over ``draws`` seeded ones.  Data are
+    consistent if an order fits and its distance is 0 or that share exceeds ``alpha``.
+    """
+    items = sorted({i for m in menus for i in m})
+    seen = [(m, s) for m, s in zip(menus, shares, strict=True) if sum(s.values()) > 0]
+    above = {(x, y) for m, s in seen for x in m for y in m if s.get(x, 0) > 0 and not s.get(y, 0)}
+    n, first = orders_of(items, above)
+    if not n:
+        return {"is_consistent": False, "n_orders": 0, "order": [], "statistic": 1.0, "p_value": 0.0}
+    menus, shares = [m for m, _ in seen], [s for _, s in seen]
+    own = attention_distance(menus, shares, first)
+    chance = np.random.default_rng(seed)
+    others = permutations(items) if len(items) <= ALL_ORDERS_UP_TO else (chance.permutation(items).tolist() for _ in range(draws))
+    as_far = [attention_distance(menus, shares, list(o)) >= own - 1e-12 for o in others]
+    p = sum(as_far) / len(as_far)
+    return {"is_consistent": own < 1e-6 or p > alpha, "n_orders": n, "order": first, "statistic": own, "p_value": p}
 
 
 def logit(menus: list[list[int]], counts: list[list[int]], rounds: int = 2000, tol: float = 1e-10) -> dict[str, object]:
@@ -142,22 +193,74 @@ def kemeny(rankings: list[list[int]]) -> list[int]:
 
 
 def consensus(items: list[int], prefer: np.ndarray) -> list[int]:
-    """The order of items with the fewest disagreements over pairs, by dynamic programming over subsets; by net wins beyond ten items."""
-    n = len(items)
-    if n > KEMENY_UP_TO:
-        return [items[k] for k in np.argsort(-(prefer - prefer.T).sum(axis=1), kind="stable")]
-    best = {0: (0.0, -1)}
-    for mask in range(1, 1 << n):
-        # the last item of a prefix: it loses what it would have won before the others
-        best[mask] = min((best[mask ^ (1 << k)][0] + sum(prefer[k, j] for j in range(n) if mask >> j & 1 and j != k), k) for k in range(n) if mask >> k & 1)
-    out, mask = [], (1 << n) - 1
-    while mask:
-        k = best[mask][1]
-        out.append(items[k])
-        mask ^= 1 << k
+    """The order of items with the fewest disagreements over pairs."""
+    return exact_consensus(items, prefer)[0]
+
+
+def exact_consensus(items: list[int], prefer: np.ndarray) -> tuple[list[int], bool]:
+    """The order with the fewest disagreements, and whether that is proven.
+
+    Groups of items whose every member a majority puts before all of the others' follow each
+    other in every such order, so each group of a majority cycle is ordered by itself: by
+    dynamic programming over its subsets, or beyond KEMENY_UP_TO items by insertions while they help.
+    """
+    reach = kernels.closure((prefer >= prefer.T)[None])[0]
+    labels = kernels.components(reach[None])[0][0]
+    # of two groups one reaches the other, so the order is by how many are reached
+    groups = sorted(np.unique(labels).tolist(), key=lambda x: -int(reach[x].sum()))
+    out, proven = [], True
+    for label in groups:
+        nodes = np.flatnonzero(labels == label)
+        part = prefer[np.ix_(nodes, nodes)]
+        exact = len(nodes) <= KEMENY_UP_TO
+        out += [items[nodes[k]] for k in (_order_by_subsets(part) if exact else _order_by_insertions(part))]
+        proven &= exact
+    return out, proven
+
+
+def _order_by_subsets(prefer: np.ndarray) -> list[int]:
+    n = len(prefer)
+    size = 1 << n
+    # what item k loses that stands behind the items of a subset
+    behind, total, last, count = np.zeros((n, size)), np.full(size, np.inf), np.zeros(size, dtype=np.int8), np.zeros(size, dtype=np.int8)
+    for u in range(n):
+        half = 1 << u
+        behind[:, half : 2 * half] = behind[:, :half] + prefer[:, u][:, None]
+        count[half : 2 * half] = count[:half] + 1
+    total[0] = 0
+    by_size = np.argsort(count, kind="stable")
+    ends = np.searchsorted(count[by_size], np.arange(n + 2))
+    for k in range(n):
+        before = by_size[ends[k] : ends[k + 1]]
+        for v in range(n):
+            some = before[(before >> v) & 1 == 0]
+            after, cost = some | (1 << v), total[some] + behind[v, some]
+            better = cost < total[after]
+            total[after[better]], last[after[better]] = cost[better], v
+    out, left = [], size - 1
+    while left:
+        out.append(int(last[left]))
+        left ^= 1 << out[-1]
     return out[::-1]
 
 
+def _order_by_insertions(prefer: np.ndarray) -> list[int]:
+    order = np.argsort(-(prefer - prefer.T).sum(axis=1), kind="stable").tolist()
+    moved = True
+    while moved:
+        moved = False
+        for item in list(order):
+            rest = [x for x in order if x != item]
+            # losses of the item at each place: of those before it what it wins, of those behind what they win
+            ahead = np.concatenate([[0.0], np.cumsum(prefer[item, rest])])
+            back = np.concatenate([[0.0], np.cumsum(prefer[rest, item])])
+            loss = ahead + back[-1] - back
+            best, now = int(loss.argmin()), order.index(item)
+            if loss[best] < loss[now] - 1e-12:
+                order, moved = [*rest[:best], item, *rest[best:]], True
+    return order
+
+
 def dominated(outcomes: np.ndarray, probs: np.ndarray, chosen: int, tol: float = 1e-8) -> bool:
     """Whether another lottery of the choice first-order dominates the chosen one."""
     from concordia.functions.single import dominates

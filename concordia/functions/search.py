@@ -81,8 +81,11 @@ def _parts(arcs: np.ndarray) -> list[np.ndarray]:
     return [nodes for label in np.unique(labels) if len(nodes := np.flatnonzero(labels == label)) > 1]
 
 
-def largest_consistent(weak: np.ndarray, strict: np.ndarray, budget: int = BUDGET) -> tuple[int, bool]:
-    """Size of the largest subset of observations without violation, by component, and whether every search came to its end."""
+def largest_consistent(weak: np.ndarray, strict: np.ndarray, budget: int | None = BUDGET) -> tuple[int, bool]:
+    """Size of the largest subset of observations without violation, by component, and whether every search came to its end.
+
+    Without a budget every component is searched to its end, whatever its size.
+    """
     size, exact = len(weak), True
     for nodes in _parts(weak):
         kept, proven = _largest_of_component(weak[np.ix_(nodes, nodes)], strict[np.ix_(nodes, nodes)], budget)
@@ -91,12 +94,12 @@ def largest_consistent(weak: np.ndarray, strict: np.ndarray, budget: int = BUDGE
     return size, exact
 
 
-def _largest_of_component(weak: np.ndarray, strict: np.ndarray, budget: int) -> tuple[int, bool]:
+def _largest_of_component(weak: np.ndarray, strict: np.ndarray, budget: int | None) -> tuple[int, bool]:
     """Branch on the nodes of a shortest cycle."""
     n = len(weak)
     best = [int(greedy_subset(weak, strict).sum())]
     # nothing or one removed can't be beaten
-    if n > EXACT_UP_TO or best[0] >= n - 1:
+    if budget is not None and n > EXACT_UP_TO or best[0] >= n - 1:
         return best[0], best[0] >= n - 1
     spent, stopped = [0], [False]
 
@@ -111,7 +114,7 @@ def _largest_of_component(weak: np.ndarray, strict: np.ndarray, budget: int) ->
     def branch(alive: np.ndarray, fixed: np.ndarray, size: int) -> None:
         if size <= best[0]:
             return
-        if spent[0] > budget:
+        if budget is not None and spent[0] > budget:
             stopped[0] = True
             return
         spent[0] += 1
@@ -134,12 +137,12 @@ def _largest_of_component(weak: np.ndarray, strict: np.ndarray, budget: int) ->
     return best[0], not stopped[0]
 
 
-def exact_levels(cost: np.ndarray, own: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+def exact_levels(cost: np.ndarray, own: np.ndarray, budget: int | None = BUDGET) -> np.ndarray:
     """Efficiency of each observation when the cheapest set of strict preferences is given up that breaks all cycles."""
     return cheapest_cut(cost, own, budget)[0]
 
 
-def cheapest_cut(cost: np.ndarray, own: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, bool]:
+def cheapest_cut(cost: np.ndarray, own: np.ndarray, budget: int | None = BUDGET) -> tuple[np.ndarray, bool]:
     """The levels of ``exact_levels``, by component, and whether every search came to its end."""
     n = len(cost)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -156,7 +159,7 @@ def cheapest_cut(cost: np.ndarray, own: np.ndarray, budget: int = BUDGET) -> tup
     return level, exact
 
 
-def _cut_by_orders(arcs: np.ndarray, price: np.ndarray, budget: int) -> tuple[tuple, bool]:
+def _cut_by_orders(arcs: np.ndarray, price: np.ndarray, budget: int | None) -> tuple[tuple, bool]:
     """What is left without cycles has an order: the cheapest one, in which steps from later nodes to earlier ones are cut."""
     n = len(arcs)
     size = 1 << n
@@ -184,7 +187,7 @@ def _cut_by_orders(arcs: np.ndarray, price: np.ndarray, budget: int) -> tuple[tu
     return tuple(cut), True
 
 
-def _cut_of_component(arcs: np.ndarray, price: np.ndarray, budget: int) -> tuple[tuple, bool]:
+def _cut_of_component(arcs: np.ndarray, price: np.ndarray, budget: int | None) -> tuple[tuple, bool]:
     """Branch on the steps of a shortest cycle."""
     n = len(arcs)
     best = [np.inf, None]
@@ -193,7 +196,7 @@ def _cut_of_component(arcs: np.ndarray, price: np.ndarray, budget: int) -> tuple
     def branch(left: np.ndarray, fixed: frozenset, cut: tuple, total: float) -> None:
         if total >= best[0] - 1e-12:
             return
-        if spent[0] > budget:
+        if budget is not None and spent[0] > budget:
             stopped[0] = True
             return
         spent[0] += 1
@@ -224,6 +227,11 @@ def _cut_of_component(arcs: np.ndarray, price: np.ndarray, budget: int) -> tuple
 
 def simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, max_steps: int = 20_000) -> tuple[str, float, np.ndarray]:
     """min c x with a x = b and x >= 0, in two phases by Bland's rule: status, value, x."""
+    return simplex_with_duals(c, a, b, max_steps)[:3]
+
+
+def simplex_with_duals(c: np.ndarray, a: np.ndarray, b: np.ndarray, max_steps: int = 20_000) -> tuple[str, float, np.ndarray, np.ndarray]:
+    """The same with the dual price of each row."""
     a, b, c = np.array(a, float), np.array(b, float), np.array(c, float)
     negative = b < 0
     a[negative] *= -1
@@ -260,7 +268,7 @@ def simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, max_steps: int = 20_000
     x = np.zeros(n + m)
     x[basis] = table[:m, -1]
     if status != "optimal" or x[n:].sum() > 1e-7:
-        return ("infeasible" if status == "optimal" else status), float(x[n:].sum()), x[:n]
+        return ("infeasible" if status == "optimal" else status), float(x[n:].sum()), x[:n], np.zeros(m)
     for row in range(m):  # artificial variables leave where they can
         if basis[row] >= n and len(other := np.flatnonzero(abs(table[row, :n]) > 1e-9)):
             k = int(other[0])
@@ -272,4 +280,5 @@ def simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, max_steps: int = 20_000
     status = run(c, n)
     x = np.zeros(n + m)
     x[basis] = table[:m, -1]
-    return status, float(c @ x[:n]), x[:n]
+    # an artificial variable costs nothing now: its reduced cost is the price of its row
+    return status, float(c @ x[:n]), x[:n], np.where(negative, 1, -1) * table[m, n : n + m]

@@ -43,16 +43,37 @@ def path(relation: np.ndarray, start: int, end: int) -> list[int]:
     return out[::-1]
 
 
-def cycles(g: dict[str, np.ndarray], most: int = 1000) -> list[list[int]]:
-    """Shortest violating cycles through each strict preference, one for each set of observations."""
-    seen, out = set(), []
+def _tree(relation: np.ndarray, start: int) -> dict[int, int | None]:
+    """The node before each node on a shortest path from ``start``."""
+    before, front = {start: None}, [start]
+    while front:
+        after = []
+        for u in front:
+            for v in np.flatnonzero(relation[u]).tolist():
+                if v not in before:
+                    before[v] = u
+                    after.append(v)
+        front = after
+    return before
+
+
+def cycles(g: dict[str, np.ndarray], most: int | None = None) -> list[list[int]]:
+    """Shortest violating cycles through each strict preference, one for each set of observations; the first ``most`` of them if asked for."""
+    seen, out, trees = set(), [], {}
     weak = g["weak"] & ~np.eye(len(g["weak"]), dtype=bool)
     for i, j in np.argwhere(g["strict"] & g["reach"].T).tolist():
-        way = path(weak, j, i)
-        if way and (key := frozenset(way)) not in seen:
+        if j not in trees:
+            trees[j] = _tree(weak, j)
+        if i not in trees[j]:
+            continue
+        way, at = [], i
+        while at is not None:
+            way.append(at)
+            at = trees[j][at]
+        if (key := frozenset(way)) not in seen:
             seen.add(key)
-            out.append([i, *way[:-1]])
-            if len(out) >= most:
+            out.append([i, *way[:0:-1]])
+            if most is not None and len(out) >= most:
                 break
     return out
 
@@ -104,19 +125,15 @@ def efficiency(p: np.ndarray, q: np.ndarray, tol: float = TOL) -> float:
     return float(kernels.ccei(cost, own, kernels.violations(kernels.closure(weak), strict) == 0, tol)[0])
 
 
-def continuous_efficiency(p: np.ndarray, q: np.ndarray, tol: float = 1e-6, rounds: int = 50) -> float:
-    """The supremum of consistent efficiency levels, by bisection."""
+def continuous_efficiency(p: np.ndarray, q: np.ndarray) -> float:
+    """The supremum of consistent efficiency levels: a cycle breaks below its largest cost ratio, so it is the least of these over cycles, one at most."""
     cost, own = kernels.costs(p[None], q[None])
-    fine = lambda e: not kernels.violations(kernels.closure(relations[0]), relations[1])[0] if (relations := kernels.relations(cost, own, e)) else True
-    if fine(1.0):
-        return 1.0
-    low, high = 0.0, 1.0
-    for _ in range(rounds):
-        if high - low <= tol:
-            break
-        mid = (low + high) / 2
-        low, high = (mid, high) if fine(mid) else (low, mid)
-    return low
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(own[0][:, None] > 0, cost[0] / own[0][:, None], np.inf)
+    np.fill_diagonal(ratio, np.inf)
+    for k in range(len(ratio)):
+        ratio = np.minimum(ratio, np.maximum(ratio[:, k, None], ratio[None, k, :]))
+    return float(min(1.0, np.diag(ratio).min(initial=np.inf)))
 
 
 def minimum_cost(g: dict[str, np.ndarray], tol: float = 1e-8) -> float:
@@ -319,6 +336,39 @@ def separability(p: np.ndarray, q: np.ndarray, a: list[int], b: list[int]) -> di
     return {"within_a": inside[0], "within_b": inside[1], "cross_effect": cross, "is_separable": min(inside) > 0.9 and cross < 0.2}
 
 
+def separability_by_numbers(p: np.ndarray, q: np.ndarray, a: list[int], b: list[int]) -> dict[str, object]:
+    """Weak separability of group b: its Afriat numbers stand for it as one more good of the other group, whose price is one over the multiplier.
+
+    Where both tests hold, utilities of the theorem are found and the groups are separable; other
+    numbers of group b might still hold where these don't.
+    """
+    inside = [efficiency(p[:, g], q[:, g]) for g in (a, b)]
+    own = utility(p[:, b], q[:, b])
+    if not own["success"]:
+        return {"within_a": inside[0], "within_b": inside[1], "is_separable": False}
+    value = own["u"] - own["u"].min()
+    prices, amounts = np.column_stack([p[:, a], 1 / own["multiplier"]]), np.column_stack([q[:, a], value])
+    cost, spent = kernels.costs(prices[None], amounts[None])
+    weak, strict = kernels.relations(cost, spent, tol=TOL)
+    return {"within_a": inside[0], "within_b": inside[1], "is_separable": int(kernels.violations(kernels.closure(weak), strict)[0]) == 0}
+
+
+def euclidean(items: np.ndarray, menus: list[list[int]], choices: list[int], tol: float = 1e-8) -> tuple[bool, float]:
+    """Whether a point exists that every choice is nearest to, by linear programming over pairs of a choice and an item left, and by how much the worst weights fail.
+
+    Weights on pairs whose weighted differences of features cancel must not let chosen items have the larger squared norms.
+    """
+    pairs = [(c, i) for m, c in zip(menus, choices, strict=True) for i in m if i != c]
+    if not pairs:
+        return True, 0.0
+    chosen, left = items[[c for c, _ in pairs]], items[[i for _, i in pairs]]
+    a = np.vstack([(chosen - left).T, np.ones(len(pairs))])
+    gain = (chosen**2).sum(axis=1) - (left**2).sum(axis=1)
+    status, value, _ = search.simplex(-gain, a, np.append(np.zeros(items.shape[1]), 1.0))
+    worst = -value if status == "optimal" else 0.0
+    return worst <= tol, max(0.0, worst)
+
+
 def ideal_point(items: np.ndarray, menus: list[list[int]], choices: list[int], rounds: int = 400) -> tuple[np.ndarray, int]:
     """A point that the chosen items are nearer to than the others, by descent on squared hinge losses from the mean and from chosen items; how many choices it fails."""
     chosen, other = [], []

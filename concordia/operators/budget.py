@@ -225,3 +225,32 @@ def pump_pairs(rows: DataFrame) -> DataFrame:
     both = both_ways(rows).filter(F.col("r_ij") & F.col("r_ji"))
     saved = ((F.col("own_i") - F.col("e_ij")) / F.col("own_i") + (F.col("own_j") - F.col("e_ji")) / F.col("own_j")) / 2
     return per_user(rows, both.groupBy("user_id").agg(F.max(F.greatest(F.lit(0.0), saved)).alias("mpi_pairs")), mpi_pairs=0.0)
+
+
+def varian_least_squares(rows: DataFrame, related: DataFrame) -> DataFrame:
+    """Levels of least squared distance from one that are no lower than the cost ratios of all observations revealed worse.
+
+    ``related`` has user_id, i, j, own, e of every pair in the closure.  Levels are at most one, so they are
+    all one if no ratio is above one, and there are none otherwise.
+    """
+    worst = related.groupBy("user_id").agg(F.max(F.col("e") / F.col("own")).alias("highest"))
+    fine = F.coalesce(F.col("highest"), F.lit(0.0)) <= 1 + 1e-10
+    return rows.select("user_id").join(worst, "user_id", "left").select("user_id", fine.alias("success"), F.when(fine, 1.0).alias("mean_level"), F.when(fine, 1.0).alias("min_level"))
+
+
+def demand_bounds(rows: DataFrame, prices: list[float]) -> DataFrame:
+    """Bounds of each good's quantity at new prices: four fifths of what was bought when it was dearer, half as much again as the same spending buys when it was cheaper."""
+    o = observations(rows).select("user_id", F.posexplode(F.arrays_zip("p", "q")).alias("g", "x"))
+    new = F.get(F.array(*[F.lit(float(x)) for x in prices]), F.col("g"))
+    cells = o.select("user_id", F.col("g").cast("long").alias("g"), F.when(new < F.col("x.p"), F.col("x.q") * 0.8).alias("low"), F.when(new > F.col("x.p"), F.greatest(F.lit(0.0), F.col("x.q") * (F.col("x.p") / new) * 1.5)).alias("high"))
+    found = cells.groupBy("user_id", "g").agg(F.greatest(F.lit(0.0), F.coalesce(F.max("low"), F.lit(0.0))).alias("low"), F.min("high").alias("high"))
+    crossed = F.coalesce(F.col("low") > F.col("high"), F.lit(False))
+    return found.select("user_id", "g", F.when(crossed, 0.0).otherwise(F.col("low")).alias("low"), F.when(crossed, None).otherwise(F.col("high")).alias("high"), (~crossed & F.col("high").isNotNull()).alias("is_bounded"))
+
+
+def quantity_correlations(rows: DataFrame) -> DataFrame:
+    """Correlation of the quantities of every pair of goods over a user's observations; none for one that never varies."""
+    o = observations(rows).select("user_id", "q", F.posexplode("q").alias("g", "a"))
+    pairs = o.select("user_id", F.col("g").cast("long").alias("g"), "a", F.posexplode("q").alias("h", "b")).filter("g < h")
+    found = pairs.groupBy("user_id", "g", F.col("h").cast("long").alias("h")).agg(F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), F.covar_pop("a", "b").alias("c"))
+    return found.select("user_id", "g", "h", F.when((F.col("sa") > 1e-9) & (F.col("sb") > 1e-9), F.col("c") / (F.col("sa") * F.col("sb"))).alias("correlation"))

@@ -38,3 +38,17 @@ def returns_to_scale(rows: DataFrame) -> DataFrame:
     o = rows.select("user_id", F.explode("obs").alias("o")).select("user_id", F.log(dot(F.col("o.ip"), F.col("o.iq"))).alias("x"), F.log(dot(F.col("o.op"), F.col("o.oq"))).alias("y"))
     slope = o.groupBy("user_id").agg(F.regr_slope("y", "x").alias("slope"))
     return slope.withColumn("returns", F.when(F.col("slope") > 1.05, "increasing").when(F.col("slope") < 0.95, "decreasing").otherwise("constant"))
+
+
+def profit_efficiency(rows: DataFrame) -> DataFrame:
+    """Mean profit as a share of the largest, 0 to 1; 1 for firms that never make any."""
+    o = rows.select("user_id", F.explode("obs").alias("o")).select("user_id", (dot(F.col("o.op"), F.col("o.oq")) - dot(F.col("o.ip"), F.col("o.iq"))).alias("profit"))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("profit") / F.max("profit")))
+    return o.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_obs"), F.max("profit").alias("largest_profit"), F.when(F.max("profit") <= 0, 1.0).otherwise(share).alias("efficiency"))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """Cost, revenue and profit of every observation."""
+    o = rows.select("user_id", F.posexplode("obs").alias("i", "o"))
+    cost, revenue = dot(F.col("o.ip"), F.col("o.iq")), dot(F.col("o.op"), F.col("o.oq"))
+    return o.select("user_id", F.col("i").cast("long").alias("i"), cost.alias("cost"), revenue.alias("revenue"), (revenue - cost).alias("profit"))

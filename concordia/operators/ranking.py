@@ -88,13 +88,13 @@ def pairs_of(rankings: DataFrame) -> DataFrame:
 
 
 def kemeny(pairs: DataFrame) -> DataFrame:
-    """place and item of the order with the fewest disagreements with winner, loser, n: as many rows as pairs of items."""
+    """place and item of the order with the fewest disagreements with winner, loser, n (as many rows as pairs of items), and whether that is proven."""
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         items = np.unique(np.concatenate([frame["winner"], frame["loser"]]))
         prefer = np.zeros((len(items), len(items)))
         np.add.at(prefer, (np.searchsorted(items, frame["winner"]), np.searchsorted(items, frame["loser"])), frame["n"])
-        order = choice.consensus(items.tolist(), prefer)
-        return pd.DataFrame({"place": range(len(order)), "item": order})
+        order, proven = choice.exact_consensus(items.tolist(), prefer)
+        return pd.DataFrame({"place": range(len(order)), "item": order, "is_exact": proven})
 
-    return pairs.withColumn("contest", F.lit(0)).groupBy("contest").applyInPandas(fit, "place long, item long")
+    return pairs.withColumn("contest", F.lit(0)).groupBy("contest").applyInPandas(fit, "place long, item long, is_exact boolean")

@@ -121,12 +121,40 @@ def bootstrap(rows: DataFrame, n: int = 1000, *, confidence: float = 0.95, seed:
     return each_user(rows, "ccei double, low double, high double, std_error double", one, seed)
 
 
-def difference(rows: DataFrame, group_col: str, n: int = 1000, *, seed: int = 42) -> DataFrame:
-    """Mean efficiency of two groups of users with the normal score of their difference; rows have user_id, obs and the group."""
-    from concordia.plans import score
+def levels(p: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """The metric of histories that are n x times x goods: ccei, or garp as 0 and 1."""
+    fine, level = scores(p, q, ccei=metric == "ccei")
+    return level if metric == "ccei" else fine.astype(float)
 
-    level = score.score_budget(rows, ("garp", "ccei")).select("user_id", "ccei").join(rows.select("user_id", group_col), "user_id")
-    return level.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"), F.avg("ccei").alias("mean"), F.var_samp("ccei").alias("variance"))
+
+def difference(first: DataFrame, second: DataFrame, n: int = 1000, *, metric: str = "ccei", confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """Whether two histories of a user (budget rows of one user_id in either table) differ in a metric.
+
+    Observations of both together are drawn with replacement to histories of either length; the p-value
+    is the share of draws that differ as much, and low and high are quantiles of the drawn differences.
+    """
+    if metric not in ("ccei", "garp"):
+        raise ValueError("metric is 'ccei' or 'garp'")
+    side = lambda rows, name: rows.select("user_id", F.transform("obs", lambda o: F.struct(o["p"].alias("p"), o["q"].alias("q"))).alias(name))
+    both = side(first, "a").join(side(second, "b"), "user_id")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("level_a", "level_b", "difference", "p_value", "low", "high")
+        for batch in batches:
+            found = []
+            for user, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                chance = np.random.default_rng([seed, xxhash.xxh3_64_intdigest(user or "")])
+                p, q = (np.array([o[k] for o in [*a, *b]], float) for k in ("p", "q"))
+                own = [float(levels(p[part], q[part][None], metric)[0]) for part in (slice(0, len(a)), slice(len(a), None))]
+                drawn = [levels(p[at], q[at], metric) for at in (chance.integers(0, len(p), (n, len(part))) for part in (a, b))]
+                null = drawn[0] - drawn[1]
+                low, high = np.percentile(null, [50 * (1 - confidence), 50 * (1 + confidence)])
+                found.append((*own, own[0] - own[1], float((np.abs(null) >= abs(own[0] - own[1]) - 1e-12).mean()), float(low), float(high)))
+            columns = list(zip(*found, strict=True)) if found else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in columns)], ["user_id", *names])
+
+    schema = "user_id string, level_a double, level_b double, difference double, p_value double, low double, high double"
+    return both.mapInArrow(run, schema).withColumn("is_significant", F.col("p_value") < 1 - confidence)
 
 
 def holdout(rows: DataFrame, share: float = 0.2, splits: int = 5, *, seed: int = 42, draws: int = 20) -> DataFrame:

@@ -59,16 +59,29 @@ def with_filter(rows: DataFrame, keep) -> DataFrame:
     return each(rows, "is_explained boolean", lambda obs: [(choice.filtered(*_menus(obs), keep),)])
 
 
-def random_attention(rows: DataFrame) -> DataFrame:
-    """From rows (user_id, obs: array of (menu, counts)) of up to six items."""
+def _shares(obs) -> tuple[list[list[int]], list[dict[int, float]]]:
+    menus = [list(map(int, o["menu"])) for o in obs]
+    return menus, [dict(zip(m, (np.array(o["counts"]) / max(1, sum(o["counts"]))).tolist(), strict=True)) for m, o in zip(menus, obs, strict=True)]
+
+
+def random_attention(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """From rows (user_id, obs: array of (menu, counts)): orders that fit, the first one, its distance and the share of orders as distant."""
+
+    def one(obs):
+        found = choice.random_attention(*_shares(obs), alpha)
+        return [(found["is_consistent"], found["n_orders"], found["order"], found["statistic"], found["p_value"])]
+
+    return each(rows, "is_consistent boolean, n_orders bigint, preference array<int>, statistic double, p_value double", one)
+
+
+def monotone_attention(rows: DataFrame) -> DataFrame:
+    """Orders that the theory of monotone attention allows, from the same rows."""
 
     def one(obs):
-        menus = [list(map(int, o["menu"])) for o in obs]
-        shares = [dict(zip(m, (np.array(o["counts"]) / max(1, sum(o["counts"]))).tolist(), strict=True)) for m, o in zip(menus, obs, strict=True)]
-        found = choice.random_attention(menus, shares)
+        found = choice.monotone_attention(*_shares(obs))
         return [(found["is_consistent"], found["n_orders"], found["order"])]
 
-    return each(rows, "is_consistent boolean, n_orders int, preference array<int>", one)
+    return each(rows, "is_consistent boolean, n_orders bigint, preference array<int>", one)
 
 
 def logit(rows: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ from concordia.schema import BUDGET, MENU, METRICS, STOCHASTIC, TOLERANCE, ddl
 
 #: Cells of a batch of cost matrices.
 CELLS = 2_000_000
-#: Items up to which all orders are tried; columns added otherwise.
-ALL_ORDERS_UP_TO, MAX_COLUMNS = 6, 200
+#: Items up to which all orders are tried; up to which the best order to add is found among all.
+ALL_ORDERS_UP_TO, PRICED_UP_TO = 6, 14
 
 _ARROW = {"boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64(), "bigint": pa.int64()}
 
@@ -35,7 +35,7 @@ def check_metrics(metrics) -> tuple[str, ...]:
     return tuple(metrics)
 
 
-def budget_scores(p: np.ndarray, q: np.ndarray, metrics: tuple[str, ...], tol: float = TOLERANCE) -> dict[str, np.ndarray | list]:
+def budget_scores(p: np.ndarray, q: np.ndarray, metrics: tuple[str, ...], tol: float = TOLERANCE, search_nodes: int | None = search.BUDGET) -> dict[str, np.ndarray | list]:
     """All columns of BUDGET for users of one shape."""
     began = time.perf_counter()
     users, n = p.shape[:2]
@@ -55,7 +55,7 @@ def budget_scores(p: np.ndarray, q: np.ndarray, metrics: tuple[str, ...], tol: f
         "hm_consistent": none, "hm_total": none, "is_hm_exact": none, "is_vei_exact": none,
     }
     if "hm" in metrics:
-        out["hm_consistent"], out["is_hm_exact"] = zip(*[(n, True) if fine[u] else search.largest_consistent(weak[u], strict[u]) for u in range(users)], strict=True) if users else ((), ())
+        out["hm_consistent"], out["is_hm_exact"] = zip(*[(n, True) if fine[u] else search.largest_consistent(weak[u], strict[u], search_nodes) for u in range(users)], strict=True) if users else ((), ())
         out["hm_total"] = [n] * users
     levels = {"vei": np.ones((users, n)), "vei_exact": np.ones((users, n))}
     if "vei" in metrics:
@@ -63,7 +63,7 @@ def budget_scores(p: np.ndarray, q: np.ndarray, metrics: tuple[str, ...], tol: f
     if "vei_exact" in metrics:
         out["is_vei_exact"] = [True] * users
         for u in np.flatnonzero(~fine):
-            levels["vei_exact"][u], out["is_vei_exact"][u] = search.cheapest_cut(cost[u], own[u])
+            levels["vei_exact"][u], out["is_vei_exact"][u] = search.cheapest_cut(cost[u], own[u], search_nodes)
     for name, level in levels.items():
         out |= {f"{name}_{k}": v for k, v in kernels.spread(level).items()}
     network = kernels.degrees(weak) if "network" in metrics else dict.fromkeys(("r_density", "r_out_degree_std", "degree_gini"), zero)
@@ -136,10 +136,13 @@ def _gather(columns, n: int, parts: Iterable[tuple[list[int], dict]]) -> dict[st
     return values
 
 
-def score_budget(rows: DataFrame, metrics=("garp", "ccei", "mpi"), tol: float = TOLERANCE) -> DataFrame:
-    """user_id and the columns of BUDGET from budget rows (user_id, obs)."""
+def score_budget(rows: DataFrame, metrics=("garp", "ccei", "mpi"), tol: float = TOLERANCE, *, search_nodes: int | None = search.BUDGET) -> DataFrame:
+    """user_id and the columns of BUDGET from budget rows (user_id, obs).
+
+    ``hm`` and ``vei_exact`` search at most ``search_nodes`` nodes for each component of a user's graph (none: to the end) and say whether that was enough.
+    """
     metrics = check_metrics(metrics)
-    return by_shape(rows, BUDGET, lambda p, q: budget_scores(p, q, metrics, tol))
+    return by_shape(rows, BUDGET, lambda p, q: budget_scores(p, q, metrics, tol, search_nodes))
 
 
 #: Variants of consistency: strict acyclicity, cycles of strict preference only, and the dual test on prices.
@@ -171,6 +174,29 @@ def score_variants(rows: DataFrame, tol: float = TOLERANCE) -> DataFrame:
     return by_shape(rows, VARIANTS, lambda p, q: variant_scores(p, q, tol))
 
 
+#: Columns of a firm's score.
+FIRM = (("is_garp", "boolean"), ("n_violations", "int"), ("ccei", "double"), ("max_scc", "int"))
+
+
+def score_firms(rows: DataFrame, tol: float = TOLERANCE) -> DataFrame:
+    """user_id and the columns of FIRM from rows (user_id, obs: array of (t, ip, iq, op, oq)): the budget tests on profits at own prices."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for obs in batch.column(1).to_pylist():
+                ip, iq, op, oq = (np.array([o[k] for o in obs], float) for k in ("ip", "iq", "op", "oq"))
+                profit = (op @ oq.T - ip @ iq.T)[None]
+                own = np.einsum("uii->ui", profit).copy()
+                weak, strict = kernels.relations(profit, own, tol=tol)
+                reach = kernels.closure(weak)
+                bad = kernels.violations(reach, strict)
+                found.append({"is_garp": bool(bad[0] == 0), "n_violations": int(bad[0]), "ccei": float(kernels.ccei(profit, own, bad == 0, tol)[0]), "max_scc": int(kernels.components(reach)[2][0])})
+            yield _batch(batch.column(0), FIRM, {name: [f[name] for f in found] for name, _ in FIRM})
+
+    return rows.select("user_id", "obs").mapInArrow(run, f"user_id string, {ddl(FIRM)}")
+
+
 def by_shape(rows: DataFrame, columns: tuple[tuple[str, str], ...], score) -> DataFrame:
     """``score(p, q)`` for users of one number of observations and goods at a time, in batches of bounded size."""
     slim = rows.select("user_id", F.transform("obs", lambda o: o["p"]).alias("p"), F.transform("obs", lambda o: o["q"]).alias("q"))
@@ -253,58 +279,88 @@ def score_menu(rows: DataFrame, *, count: str = "items") -> DataFrame:
     return slim.mapInArrow(run, f"user_id string, {ddl(MENU)}")
 
 
+def best_order(sets: list[int], credit: np.ndarray, cells: list[tuple[int, int]], n: int) -> tuple[float, tuple[int, ...]]:
+    """The order of n items of greatest credit, by dynamic programming over the sets of items placed first: a menu (bits) pays for the first of its items."""
+    size = 1 << n
+    masks = np.arange(size)
+    gain = np.zeros((n, size))
+    for (k, i), value in zip(cells, credit, strict=True):
+        gain[i] += np.where(masks & sets[k] == 0, value, 0.0)
+    total, last = np.full(size, -np.inf), np.zeros(size, dtype=np.int8)
+    total[0] = 0.0
+    count = np.zeros(size, dtype=np.int8)
+    for u in range(n):
+        count[1 << u : 2 << u] = count[: 1 << u] + 1
+    by_size = np.argsort(count, kind="stable")
+    ends = np.searchsorted(count[by_size], np.arange(n + 2))
+    for k in range(n):
+        before = by_size[ends[k] : ends[k + 1]]
+        for v in range(n):
+            some = before[(before >> v) & 1 == 0]
+            after, value = some | (1 << v), total[some] + gain[v, some]
+            better = value > total[after]
+            total[after[better]], last[after[better]] = value[better], v
+    order, left = [], size - 1
+    while left:
+        order.append(int(last[left]))
+        left ^= 1 << order[-1]
+    return float(total[-1]), tuple(order[::-1])
+
+
 def random_utility(menus: list[list[int]], counts: list[list[int]], seed: int = 0) -> dict[str, object]:
     """Whether shares are a mixture of orders: the least total deviation over mixtures, by linear programming.
 
     Up to six items all orders are tried.  Beyond, orders are added while the dual prices of
-    the shares find one that lowers the deviation; each such search starts from seeded
-    orders and swaps items while that helps.
+    the shares find one that lowers the deviation: the best one of all orders up to
+    PRICED_UP_TO items, so that the end is proven; with more items by swaps from seeded orders, and
+    a deviation that stays is then marked as not exact.
     """
     items = sorted({i for m in menus for i in m})
-    cells = [(k, i) for k, m in enumerate(menus) for i in m]
+    at = {i: k for k, i in enumerate(items)}
+    cells = [(k, at[i]) for k, m in enumerate(menus) for i in m]
     share = np.array([c / max(1, sum(counts[k])) for k, m in enumerate(menus) for c in counts[k]])
-    columns = lambda orders: np.array([[float(next(x for x in o if x in sets[k]) == i) for o in orders] for k, i in cells])
     sets = [set(m) for m in menus]
+    bits = [sum(1 << at[i] for i in m) for m in sets]
 
-    def solve(orders):
+    def columns(orders: list[tuple[int, ...]]) -> np.ndarray:
+        """Of every order (of places of items) which cells it chooses."""
+        places = np.argsort(np.array(orders, dtype=int).reshape(len(orders), len(items)), axis=1)
+        best = [np.array(sorted(at[i] for i in m))[places[:, sorted(at[i] for i in m)].argmin(axis=1)] for m in sets]
+        return np.array([best[k] == i for k, i in cells], dtype=float).reshape(len(cells), len(orders))
+
+    def solve(orders: list[tuple[int, ...]]) -> tuple[float, np.ndarray, np.ndarray]:
         a = columns(orders)
         m, n = a.shape
         full = np.zeros((m + 1, n + 2 * m))
         full[:m, :n], full[:m, n : n + m], full[:m, n + m :], full[m, :n] = a, np.eye(m), -np.eye(m), 1
-        status, value, x = search.simplex(np.concatenate([np.zeros(n), np.ones(2 * m)]), full, np.append(share, 1.0))
-        return value, x[:n], full
+        _, value, x, price = search.simplex_with_duals(np.concatenate([np.zeros(n), np.ones(2 * m)]), full, np.append(share, 1.0))
+        return value, x[:n], price
 
-    if len(items) <= ALL_ORDERS_UP_TO:
-        orders = list(permutations(items))
+    n, exact = len(items), True
+    if n <= ALL_ORDERS_UP_TO:
+        orders = list(permutations(range(n)))
         value, weight, _ = solve(orders)
         rounds = 1
     else:
         chance = np.random.default_rng(seed)
-        score = {i: sum(c for m, cs in zip(menus, counts, strict=True) for x, c in zip(m, cs, strict=True) if x == i) for i in items}
-        first = tuple(sorted(items, key=lambda i: -score[i]))
-        orders = [first, first[::-1], *(tuple(chance.permutation(items).tolist()) for _ in range(5))]
-        value, weight, _ = solve(orders)
+        score = np.zeros(n)
+        np.add.at(score, [i for _, i in cells], [c for cs in counts for c in cs])
+        first = tuple(np.argsort(-score, kind="stable").tolist())
+        orders = [first, first[::-1]]
+        value, weight, price = solve(orders)
         rounds = 0
-        while value > 1e-6 and rounds < MAX_COLUMNS:
+        while value > 1e-9:
             rounds += 1
-            gap = share - columns(orders) @ weight
-            best, gain = None, -np.inf
-            for start in range(4):
-                order = list(chance.permutation(items)) if start else list(first)
-                rate = lambda o: float(columns([o])[:, 0] @ np.sign(gap))
-                now, moved = rate(order), True
-                while moved:
-                    moved = False
-                    for a in range(len(order) - 1):
-                        other = [*order[:a], order[a + 1], order[a], *order[a + 2 :]]
-                        if (then := rate(other)) > now + 1e-12:
-                            order, now, moved = other, then, True
-                if now > gain and tuple(order) not in set(orders):
-                    best, gain = tuple(order), now
-            if best is None:
+            if n <= PRICED_UP_TO:
+                best, order = best_order(bits, price[:-1], cells, n)
+            else:
+                best, order = _order_by_swaps(lambda o: float(columns([o])[:, 0] @ price[:-1]), first, chance)
+            # a column lowers the deviation if its credit exceeds the price of the weights' sum
+            if best + price[-1] <= 1e-9 or order in orders:
+                exact = n <= PRICED_UP_TO or value <= 1e-6
                 break
-            orders.append(best)
-            value, weight, _ = solve(orders)
+            orders.append(order)
+            value, weight, price = solve(orders)
     irregular = 0
     for a in range(len(menus)):
         for b in range(len(menus)):
@@ -313,10 +369,26 @@ def random_utility(menus: list[list[int]], counts: list[list[int]], seed: int =
                 irregular += sum(c / max(1, sum(counts[b])) > small[i] + 1e-10 for i, c in zip(menus[b], counts[b], strict=True) if i in small)
     return {
         "is_consistent": value <= 1e-6, "is_regular": irregular == 0, "distance": max(0.0, value) if value > 1e-6 else 0.0, "n_orderings": int((weight > 1e-9).sum()),
-        "n_violations": irregular, "n_iterations": rounds, "weights": {o: float(w) for o, w in zip(orders, weight, strict=True) if w > 1e-9},
+        "n_violations": irregular, "n_iterations": rounds, "is_exact": exact, "weights": {tuple(items[k] for k in o): float(w) for o, w in zip(orders, weight, strict=True) if w > 1e-9},
     }
 
 
+def _order_by_swaps(credit, first: tuple[int, ...], chance: np.random.Generator, starts: int = 4) -> tuple[float, tuple[int, ...]]:
+    """An order that no swap of neighbours betters, the best from the first order and seeded ones."""
+    found: list[tuple[float, tuple[int, ...]]] = []
+    for start in range(starts):
+        order = tuple(chance.permutation(first).tolist()) if start else first
+        now, moved = credit(order), True
+        while moved:
+            moved = False
+            for a in range(len(order) - 1):
+                other = (*order[:a], order[a + 1], order[a], *order[a + 2 :])
+                if (then := credit(other)) > now + 1e-12:
+                    order, now, moved = other, then, True
+        found.append((now, order))
+    return max(found)
+
+
 def score_stochastic(rows: DataFrame) -> DataFrame:
     """user_id and the columns of STOCHASTIC from rows (user_id, obs: array of (menu, counts))."""
     slim = rows.select("user_id", F.transform("obs", lambda o: o["menu"]).alias("menus"), F.transform("obs", lambda o: o["counts"]).alias("counts"))

@@ -39,8 +39,8 @@ def graph_edges(rows: DataFrame) -> DataFrame:
     return _rows(rows, "i int, j int, own double, e double, r boolean, p boolean, weight double, component int", one)
 
 
-def cycles(rows: DataFrame, most: int = 1000) -> DataFrame:
-    """Violating cycles with their length and cost."""
+def cycles(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Violating cycles with their length and cost; all of them, or each user's first ``most``."""
 
     def one(p, q):
         g = single.graph(p, q)
@@ -133,6 +133,11 @@ def separability(rows: DataFrame, a: list[int], b: list[int]) -> DataFrame:
     return each_user(rows, "within_a double, within_b double, cross_effect double, is_separable boolean", lambda p, q, _: single.separability(p, q, a, b), 0)
 
 
+def separability_by_numbers(rows: DataFrame, a: list[int], b: list[int]) -> DataFrame:
+    """The sequential test of weak separability."""
+    return each_user(rows, "within_a double, within_b double, is_separable boolean", lambda p, q, _: single.separability_by_numbers(p, q, a, b), 0)
+
+
 def separable_partition(rows: DataFrame, groups: int = 3) -> DataFrame:
     return _rows(rows, "part int, goods array<int>", lambda p, q: list(enumerate(single.partition(p, q, groups))))
 
@@ -249,5 +254,18 @@ def ideal_points(menus: DataFrame, items: DataFrame) -> DataFrame:
     return slim.mapInPandas(run, "user_id string, point array<double>, n_violations int, n_choices int")
 
 
+def euclidean(menus: DataFrame, items: DataFrame) -> DataFrame:
+    """Whether any ideal point explains all of a user's choices, and by how much the worst combination of them fails."""
+    matrix, place = _features(items)
+    slim = menus.select("user_id", F.transform("obs", lambda o: o["menu"]).alias("menus"), F.transform("obs", lambda o: o["choice"]).alias("choices"))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(user, *single.euclidean(matrix, [[place[i] for i in x] for x in m], [place[i] for i in c])) for user, m, c in zip(frame["user_id"], frame["menus"], frame["choices"], strict=True)]
+            yield pd.DataFrame(out, columns=["user_id", "is_rational", "violation"])
+
+    return slim.mapInPandas(run, "user_id string, is_rational boolean, violation double")
+
+
 #: Items whose features go to every worker, at most.
 MAX_ITEMS = 100_000

@@ -18,7 +18,7 @@ MENU = (
     ("is_sarp", "boolean"), ("is_warp", "boolean"), ("is_warp_la", "boolean"), ("n_sarp_violations", "int"), ("n_warp_violations", "int"), ("hm_consistent", "int"),
     ("hm_total", "int"), ("max_scc", "int"), ("n_scc", "int"), ("r_density", "double"), ("pref_entropy", "double"), ("choice_diversity", "double"), ("compute_time_us", "bigint"),
 )
-STOCHASTIC = (("is_consistent", "boolean"), ("is_regular", "boolean"), ("distance", "double"), ("n_orderings", "int"), ("n_violations", "int"), ("n_iterations", "int"), ("compute_time_us", "bigint"))
+STOCHASTIC = (("is_consistent", "boolean"), ("is_regular", "boolean"), ("distance", "double"), ("n_orderings", "int"), ("n_violations", "int"), ("n_iterations", "int"), ("is_exact", "boolean"), ("compute_time_us", "bigint"))
 
 OBSERVATIONS = "array<struct<t:string,p:array<double>,q:array<double>>>"
 

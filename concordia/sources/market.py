@@ -175,20 +175,20 @@ purchases AS (
   SELECT t, item, median(unit) AS price FROM purchases GROUP BY t, item
 ), cells AS (
   SELECT t, item, price FROM (SELECT DISTINCT t FROM purchases) CROSS JOIN (SELECT DISTINCT item FROM purchases) LEFT JOIN medians USING (t, item)
-), grid AS (
+), grid AS MATERIALIZED (
   SELECT t, item, floor(coalesce(
     last_value(price IGNORE NULLS) OVER (PARTITION BY item ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
     first_value(price IGNORE NULLS) OVER (PARTITION BY item ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) * 100 + 0.5) AS price
   FROM cells
-), bought AS (
+), bought AS MATERIALIZED (
   SELECT user_id, t, item, sum(quantity) AS quantity FROM purchases GROUP BY user_id, t, item
-), obs AS (
+), obs AS MATERIALIZED (
   SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i FROM (SELECT DISTINCT user_id, t FROM bought)
-), cost AS (
+), cost AS MATERIALIZED (
   SELECT a.user_id, a.i, b.i AS j, sum(g.price * x.quantity) AS e
   FROM obs a JOIN obs b USING (user_id) JOIN bought x ON x.user_id = b.user_id AND x.t = b.t JOIN grid g ON g.t = a.t AND g.item = x.item
   GROUP BY a.user_id, a.i, b.i
-), edges AS (
+), edges AS MATERIALIZED (
   SELECT c.user_id, c.i, c.j, o.e AS own, c.e, o.e >= c.e - 1e-10 AS r, o.e > c.e + 1e-10 AS p
   FROM cost c JOIN cost o ON o.user_id = c.user_id AND o.i = c.i AND o.j = c.i WHERE c.i <> c.j
 ), sizes AS (

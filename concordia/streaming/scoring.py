@@ -20,7 +20,8 @@ def score_stream(stream: DataFrame, *, store: str, output: str, checkpoint: str,
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(F.col(user_col).cast("string").alias(user_col), time_col, *cost_cols, *action_cols)
+        # a column can have several roles
+        rows = batch.select(F.col(user_col).cast("string").alias(user_col), *[c for c in dict.fromkeys([time_col, *cost_cols, *action_cols]) if c != user_col])
         rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
         touched = spark.read.parquet(f"{store}/batch={number}").select(user_col).distinct()
         known = spark.read.parquet(store).filter(F.col("batch") <= number).join(touched, user_col, "left_semi")

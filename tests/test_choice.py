@@ -25,10 +25,51 @@ def test_attention():
     assert choice.filtered([[0, 1], [0, 1]], [0, 1], lambda m: m) is False
     assert choice.filtered([[0, 1, 2], [0, 1]], [2, 0], lambda m: m) is True
     assert choice.filtered([[0, 1]], [1], lambda m: {0}) is False
-    fits = choice.random_attention([[0, 1, 2], [0, 1]], [{0: 0.5, 1: 0.3, 2: 0.2}, {0: 0.4, 1: 0.6}])
+    fits = choice.monotone_attention([[0, 1, 2], [0, 1]], [{0: 0.5, 1: 0.3, 2: 0.2}, {0: 0.4, 1: 0.6}])
     assert fits["is_consistent"] and fits["order"].index(0) < fits["order"].index(2)
+
+
+def test_random_attention():
+    """Never chosen items stand below chosen ones of the menu; the distance is that of the first order."""
+    none = choice.random_attention([[0, 1], [0, 1]], [{0: 1.0, 1: 0.0}, {0: 0.0, 1: 1.0}])
+    assert not none["is_consistent"] and none["statistic"] == 1.0 and none["p_value"] == 0.0
+    found = choice.random_attention([[0, 1, 2]], [{0: 0.2, 1: 0.8, 2: 0.0}])
+    assert found["order"] == [0, 1, 2] and found["n_orders"] == 2
+    assert found["statistic"] == pytest.approx(0.36 / 2)
+    distances = [choice.attention_distance([[0, 1, 2]], [{0: 0.2, 1: 0.8, 2: 0.0}], list(o)) for o in itertools.permutations(range(3))]
+    assert found["p_value"] == pytest.approx(np.mean([d >= 0.18 - 1e-12 for d in distances]))
+    many = choice.random_attention([list(range(9))], [{i: (i == 4) * 1.0 for i in range(9)}])
+    assert many["n_orders"] == math.factorial(8) and many["order"][0] == 4 and many["is_consistent"]
     with pytest.raises(ValueError, match="items"):
-        choice.random_attention([list(range(7))], [{}])
+        choice.random_attention([list(range(21))], [{0: 1.0}])
+
+
+@pytest.mark.parametrize("n", [5, 12, 30])
+def test_consensus_of_many_items(n):
+    """Beyond what a search could try, majority groups decide, and cycles are searched one by one."""
+    chance = np.random.default_rng(n)
+    order = chance.permutation(n).tolist()
+    assert choice.exact_consensus(list(range(n)), np.array([[3.0 * (order.index(a) < order.index(b)) for b in range(n)] for a in range(n)])) == (order, True)
+    # triples that beat each other in a circle, after one another
+    prefer = np.zeros((n, n))
+    for a in range(n):
+        for b in range(n):
+            if a // 3 < b // 3:
+                prefer[a, b] = 2
+            elif a // 3 == b // 3 and (b - a) % 3 == 1 and a != b:
+                prefer[a, b] = 1 + (a % 3 == 2)
+    found, proven = choice.exact_consensus(list(range(n)), prefer)
+    assert proven and [x // 3 for x in found] == sorted(x // 3 for x in range(n))
+    loss = sum(prefer[b, a] for a, b in itertools.combinations(found, 2))
+    groups = [list(range(k, min(n, k + 3))) for k in range(0, n, 3)]
+    assert loss == sum(min(sum(prefer[b, a] for a, b in itertools.combinations(o, 2)) for o in itertools.permutations(g)) for g in groups)
+
+
+def test_insertions_when_a_cycle_is_too_large():
+    n = choice.KEMENY_UP_TO + 2
+    prefer = np.array([[1.0 if (b - a) % n in range(1, n // 2) else 0.0 for b in range(n)] for a in range(n)])
+    found, proven = choice.exact_consensus(list(range(n)), prefer)
+    assert sorted(found) == list(range(n)) and not proven
 
 
 def test_logit_recovers_utilities():

@@ -193,6 +193,78 @@ def test_random_utility_goldens():
     assert eight["is_consistent"]
 
 
+def test_added_orders_reach_the_optimum(monkeypatch):
+    """With orders added by their prices the deviation is that over all orders."""
+    from concordia.plans import score
+
+    chance = np.random.default_rng(3)
+    for _ in range(12):
+        menus = [sorted(chance.choice(5, chance.integers(2, 5), replace=False).tolist()) for _ in range(5)]
+        counts = [chance.integers(0, 20, len(m)).tolist() for m in menus]
+        counts = [c if sum(c) else [1] * len(c) for c in counts]
+        every = random_utility(menus, counts)
+        monkeypatch.setattr(score, "ALL_ORDERS_UP_TO", 0)
+        added = random_utility(menus, counts)
+        monkeypatch.setattr(score, "PRICED_UP_TO", 0)
+        swapped = random_utility(menus, counts)
+        monkeypatch.undo()
+        assert added["distance"] == pytest.approx(every["distance"], abs=1e-6) and added["is_exact"] and every["is_exact"]
+        assert swapped["distance"] >= every["distance"] - 1e-6 and (swapped["is_exact"] or swapped["distance"] > 0)
+
+
+def test_searches_without_a_budget_end():
+    """The largest consistent subset and the cheapest cut of inconsistent users, against every subset."""
+    from itertools import combinations
+
+    from concordia.functions import kernels, search
+
+    chance = np.random.default_rng(8)
+    for _ in range(6):
+        p, q = chance.uniform(0.5, 2, (9, 3)), chance.uniform(0.1, 5, (9, 3))
+        cost, own = kernels.costs(p[None], q[None])
+        weak, strict = (x[0] for x in kernels.relations(cost, own))
+        best = max(k for k in range(10) for some in combinations(range(9), k) if search.consistent(weak, strict, np.isin(np.arange(9), some)))
+        assert search.largest_consistent(weak, strict, None) == (best, True)
+    p, q = chance.uniform(0.5, 2, (60, 4)), chance.uniform(0.5, 1.5, (60, 4))
+    cost, own = kernels.costs(p[None], q[None])
+    weak, strict = (x[0] for x in kernels.relations(cost, own))
+    few, proven = search.largest_consistent(weak, strict, 1)
+    most, ended = search.largest_consistent(weak, strict, None)
+    assert ended and few <= most
+
+
+def test_all_cycles_and_the_supremum():
+    chance = np.random.default_rng(5)
+    for _ in range(10):
+        p, q = chance.uniform(0.5, 2, (12, 3)), chance.uniform(0.1, 5, (12, 3))
+        g = single.graph(p, q)
+        found = single.cycles(g)
+        assert len({frozenset(c) for c in found}) == len(found)
+        for c in found:
+            assert g["strict"][c[0], c[1]] and all(g["weak"][i, j] for i, j in single.steps(c))
+        assert (len(found) > 0) == (single.efficiency(p, q) < 1)
+        assert single.cycles(g, 1) == found[:1]
+        sup = single.continuous_efficiency(p, q)
+        fine = lambda e, p=p, q=q: int(kernels.violations(kernels.closure((r := kernels.relations(*kernels.costs(p[None], q[None]), e))[0]), r[1])[0]) == 0
+        assert fine(sup * (1 - 1e-9)) and (sup == 1 or not fine(sup * (1 + 1e-9)))
+
+
+def test_exact_programs():
+    """A point that explains choices, and one choice between others of a line that none explains; a separable and a joint user."""
+    items = np.array([[0.0, 0], [1, 0], [0, 1], [2, 2]])
+    assert single.euclidean(items, [[0, 3], [1, 3], [2, 3]], [0, 1, 2]) == (True, 0.0)
+    line = np.array([[-1.0], [0.0], [1.0]])
+    ends = single.euclidean(line, [[0, 1], [1, 2]], [0, 2])
+    assert not ends[0] and ends[1] > 0
+    assert single.euclidean(line, [[0, 1, 2]], [1])[0]
+    p = np.array([[1.0, 2, 1, 3], [2, 1, 3, 1], [1, 1, 2, 2]])
+    spend = np.array([10.0, 12, 14])
+    separable = spend[:, None] * np.array([0.2, 0.3, 0.1, 0.4]) / p
+    assert single.separability_by_numbers(p, separable, [0, 1], [2, 3])["is_separable"]
+    against = np.array([[1.0, 3], [3, 1], [2, 2]])
+    assert not single.separability_by_numbers(p, np.column_stack([separable[:, :2], against]), [0, 1], [2, 3])["is_separable"]
+
+
 def test_risk_goldens():
     outcomes = np.array([[70, 0], [90, 0], [110, 0]], float)
     half = np.full((3, 2), 0.5)
