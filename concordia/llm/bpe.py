@@ -42,6 +42,8 @@ from concordia.llm.packing import byte_symbols
 
 #: Words that a worker remembers, and their greatest length.
 CACHED_WORDS, CACHED_CHARS = 200_000, 40
+#: Steps along links to shorter endings that a worker remembers.
+MORE_STEPS = 300_000
 
 
 def _tree(parent: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
@@ -126,7 +128,9 @@ class Automaton:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.labels |= {i: t for t, i in self.special.items()}
         self.cutter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.bytes = {b: s for s, b in byte_symbols().items()}
+        symbols = {b: s for s, b in byte_symbols().items()}
+        self.of_byte = [self.codes[symbols[b]] for b in range(256)]
+        self.ends = {self.codes[s]: self.codes[s + self.suffix] for s in symbols.values()} if self.suffix else {}
         self.library = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
 
@@ -155,18 +159,27 @@ class Automaton:
                 node = to
             self.token[node] = i
         self.ending, self.shorter = [0] * len(parents), [0] * len(parents)
+        self.most = len(self.steps) + MORE_STEPS
+        self.node_place, self.node_begin, self.node_end = ([x[t] if t >= 0 else -1 for t in self.token] for x in (self.place, self.begin, self.end))
         for node in sorted(range(1, len(parents)), key=self.long.__getitem__):
             above, code = parents[node]
             if above:
-                self.ending[node] = self.step(self.ending[above], code)
+                at = self.ending[above]
+                while (to := self.steps.get(at * self.width + code)) is None and at:
+                    at = self.ending[at]
+                self.ending[node] = to or 0
             known = self.ending[node]
             self.shorter[node] = known if self.token[known] >= 0 else self.shorter[known]
 
     def step(self, node: int, code: int) -> int:
-        """The node of the longest ending, one symbol further."""
-        steps, width = self.steps, self.width
-        while (to := steps.get(node * width + code)) is None and node:
-            node = self.ending[node]
+        """The node of the longest ending, one symbol further; remembered as a step of its own, in bounded number."""
+        steps, width, at = self.steps, self.width, node
+        while (to := steps.get(at * width + code)) is None and at:
+            at = self.ending[at]
+        if at != node:
+            if len(steps) > self.most:
+                self.steps = steps = {k: v for k, v in steps.items() if self.long[v] == self.long[k // width] + 1}
+            steps[node * width + code] = to or 0
         return to or 0
 
     def arc(self, u: int, t: int) -> bool:
@@ -189,39 +202,48 @@ class Automaton:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, given as byte symbols."""
-        codes = list(map(self.codes.__getitem__, word))
+        codes = [self.codes[s] for s in word]
         if self.suffix:
             codes[-1] = self.codes[word[-1] + self.suffix]
-        steps, width, ending, token, shorter, long = self.steps, self.width, self.ending, self.token, self.shorter, self.long
-        place, begin, end, cut_from, cut_to = self.place, self.begin, self.end, self.cut_from, self.cut_to
-        node, last, size = 0, [0], [0]
-        for stop, code in enumerate(codes, 1):
-            while (to := steps.get(node * width + code)) is None:
-                node = ending[node]
+        return self._path(codes)
+
+    def _path(self, codes: list[int]) -> list[int]:
+        """Ids of a word, given as codes of its symbols."""
+        steps, width, shorter, long = self.steps, self.width, self.shorter, self.long
+        place, begin, end, cut_from, cut_to = self.node_place, self.node_begin, self.node_end, self.cut_from, self.cut_to
+        node, stop, last = 0, 0, [0]
+        for code in codes:
+            stop += 1
+            if (to := steps.get(node * width + code)) is None:
+                to = self.step(node, code)
+                steps = self.steps
             node = to
-            found = node if token[node] >= 0 else shorter[node]
+            found = node if place[node] >= 0 else shorter[node]
             while (start := stop - long[found]) > 0:
-                u, at = last[start], place[token[found]]
+                u, at = last[start], place[found]
                 row = begin[u]
                 # as arc() says
                 if (cut := bisect_right(cut_from, at, row, end[u])) == row or cut_to[cut - 1] <= at:
                     break
                 found = shorter[found]
-            last.append(token[found])
-            size.append(long[found])
-        out, at = [], len(codes)
-        while at:
-            out.append(last[at])
-            at -= size[at]
+            last.append(found)
+        out, token = [], self.token
+        while stop:
+            found = last[stop]
+            out.append(token[found])
+            stop -= long[found]
         return out[::-1]
 
     def _ids(self, symbols: str) -> bytes:
-        return np.array(self.encode_word(symbols), dtype="<u4").tobytes()
+        return array("I", self.encode_word(symbols)).tobytes()
 
     def _word(self, word: str) -> bytes:
         if (known := self.words.get(word)) is not None:
             return known
-        ids = self._ids("".join(map(self.bytes.__getitem__, word.encode("utf-8", "surrogatepass"))))
+        codes = list(map(self.of_byte.__getitem__, word.encode("utf-8", "surrogatepass")))
+        if self.suffix:
+            codes[-1] = self.ends[codes[-1]]
+        ids = array("I", self._path(codes)).tobytes()
         if len(word) <= CACHED_CHARS:
             if len(self.words) >= CACHED_WORDS:
                 self.words.clear()
