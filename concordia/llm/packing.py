@@ -40,6 +40,8 @@ from concordia.llm._common import hold, map_arrow, materialize, table, texts_of
 
 CAPACITY, END_ID = 2048, 0
 ISLANDS, EPOCHS, GENERATIONS, POPULATION, SEED = 4, 6, 30, 6, 20
+#: Share of the bound by which best fit may miss it before sets of pieces are looked for.
+EASY = 0.002
 #: Rows of a sub-bucket in which pieces of one length are ranked, about; its hashes have at most MAX_SUBS values.
 SUB_ROWS, MIN_SUBS, MAX_SUBS = 200_000, 8, 4096
 #: Token ids that a Python worker holds before it hands them on.
@@ -257,15 +259,15 @@ def best_sets(counts: dict[int, int], capacity: int, chance: random.Random, trie
     return dict(out)
 
 
-def put_back(free: dict[int, int], capacity: int, kept: Packing, chance: random.Random) -> Packing:
-    """Displaced pieces into the bins kept and new ones by best fit, or into new ones by best sets."""
+def put_back(free: dict[int, int], capacity: int, kept: Packing, chance: random.Random, sets: float) -> Packing:
+    """Displaced pieces into the bins kept and new ones by best fit, or in a share ``sets`` of cases into new ones by best sets."""
     free = {k: n for k, n in free.items() if n}
-    if free and chance.random() < 0.6:
+    if free and chance.random() < sets:
         return dict(Counter(kept) + Counter(best_sets(free, capacity, chance)))
-    return best_fit(free, capacity, kept, chance if chance.random() < 0.5 else None)
+    return best_fit(free, capacity, kept, chance if chance.random() < 0.7 else None)
 
 
-def cross(mine: Packing, other: Packing, counts: dict[int, int], capacity: int, chance: random.Random) -> Packing:
+def cross(mine: Packing, other: Packing, counts: dict[int, int], capacity: int, chance: random.Random, sets: float = 0.0) -> Packing:
     """Inject well-filled bins of ``other``, keep what then still fits of ``mine``, put back the rest."""
     free = dict(counts)
 
@@ -285,25 +287,27 @@ def cross(mine: Packing, other: Packing, counts: dict[int, int], capacity: int,
             kept[pattern] += take(pattern, n)
     for pattern, n in sorted(mine.items(), key=lambda x: (-sum(x[0]), x[0])):
         kept[pattern] += take(pattern, n)
-    return put_back(free, capacity, {p: n for p, n in kept.items() if n}, chance)
+    return put_back(free, capacity, {p: n for p, n in kept.items() if n}, chance, sets)
 
 
-def mutate(packing: Packing, capacity: int, chance: random.Random) -> Packing:
-    """Empty some bins, poorly filled ones rather than full ones, and put their pieces back."""
+def mutate(packing: Packing, capacity: int, chance: random.Random, sets: float = 0.0) -> Packing:
+    """Empty some bins and put their pieces back: a few, poorly filled ones rather than full ones, or the poorly filled ones and a share of all."""
     free: Counter = Counter()
     kept: Packing = {}
     bins, room = size_of(packing), sum(n * (capacity - sum(p)) for p, n in packing.items())
-    # bins to empty, in proportion to their room, with a little for full ones
+    few = chance.random() < sets
+    # bins to empty in proportion to their room, with a little for full ones; or a share of all bins
     aim = max(6.0, bins * chance.choice((0.01, 0.03, 0.1, 0.3)))
+    short, share = capacity - capacity // 32, chance.choice((0.05, 0.15, 0.4, 0.7))
     for pattern, n in sorted(packing.items()):
-        share = min(1.0, aim * (capacity - sum(pattern) + 0.5) / (room + 0.5 * bins))
+        part = min(1.0, aim * (capacity - sum(pattern) + 0.5) / (room + 0.5 * bins)) if few else 1.0 if sum(pattern) < short and chance.random() < 0.7 else share
         # of many equal bins the share itself goes, of few each by chance
-        gone = min(n, round(n * share * chance.uniform(0.5, 1.5))) if n > 20 else sum(chance.random() < share for _ in range(n))
+        gone = min(n, round(n * part * chance.uniform(0.5, 1.5))) if n > 20 and part < 1 else sum(chance.random() < part for _ in range(n))
         for k in pattern:
             free[k] += gone
         if n > gone:
             kept[pattern] = n - gone
-    return put_back(free, capacity, kept, chance)
+    return put_back(free, capacity, kept, chance, sets if few else 0.0)
 
 
 def evolve(counts: dict[int, int], capacity: int, start: list[Packing], generations: int, population: int, seed: int) -> list[Packing]:
@@ -312,10 +316,12 @@ def evolve(counts: dict[int, int], capacity: int, start: list[Packing], generati
     bound = lower_bound(counts, capacity)
     key = lambda p: fitness(p, capacity)
     pool = [best_fit(counts, capacity), *start]
-    if not start:
+    # far from the bound, pieces are too long to fill the gaps that best fit leaves: sets are looked for
+    sets = 0.6 if size_of(pool[0]) > bound * (1 + EASY) else 0.0
+    if sets and not start:
         pool.append(best_sets(counts, capacity, chance))
     while len(pool) < population:
-        pool.append(mutate(chance.choice(pool[:2]), capacity, chance))
+        pool.append(mutate(chance.choice(pool[:2]), capacity, chance, sets))
     pool.sort(key=key)
     for generation in range(generations):
         if generation and size_of(pool[0]) <= bound:
@@ -323,26 +329,30 @@ def evolve(counts: dict[int, int], capacity: int, start: list[Packing], generati
         children = []
         for _ in range(population // 2):
             a, b = chance.sample(pool[: max(2, population // 2)], 2)
-            children.append(cross(a, b, counts, capacity, chance) if chance.random() < 0.3 else mutate(a, capacity, chance))
+            crossed = chance.random() < (0.3 if sets else 0.7)
+            child = cross(a, b, counts, capacity, chance, sets) if crossed else a
+            children.append(child if crossed and chance.random() < 0.5 else mutate(child, capacity, chance, sets))
         # equal packings would fill the pool
         unlike = {tuple(sorted(p.items())): p for p in [*pool, *children]}
         pool = sorted(unlike.values(), key=key)[:population]
         if len(pool) < 2:
-            pool.append(mutate(pool[0], capacity, chance))
+            pool.append(mutate(pool[0], capacity, chance, sets))
     return pool
 
 
 def islands(spark, counts: dict[int, int], capacity: int = CAPACITY, *, n_islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, seed: int = SEED) -> Packing:
     """The best packing of all islands; each epoch starts from the elite of an island and of its neighbour.
 
-    It ends at the lower bound, or when two epochs have brought no bin less, or after ``epochs``.
+    It ends at the lower bound, or when epochs have brought no bin less, or after ``epochs``.
     """
     bound = lower_bound(counts, capacity)
     elite: list[list[Packing]] = [[] for _ in range(n_islands)]
     best: Packing = {}
     sizes: list[int] = []
     for epoch in range(epochs if counts else 0):
-        if best and (size_of(best) <= bound or sizes[-3:] == [size_of(best)] * 3):
+        # near the bound one epoch without a bin less is enough, else two
+        wait = 2 if best and size_of(best) <= bound * (1 + EASY) else 3
+        if best and (size_of(best) <= bound or sizes[-wait:] == [size_of(best)] * wait):
             break
         sent = [pickle.dumps([*own, *before[:1]]) for own, before in zip(elite, elite[-1:] + elite[:-1], strict=True)]
 

@@ -145,7 +145,7 @@ def test_bound_and_search_against_all_packings():
 def test_search_beats_best_fit_on_a_hard_instance(spark):
     chance = random.Random(1)
     counts = dict(Counter(chance.randint(300, 1100) for _ in range(4000)))
-    found = packing.islands(spark, counts, n_islands=2, epochs=2)
+    found = packing.islands(spark, counts, epochs=3)
     used = Counter()
     for pattern, n in found.items():
         assert sum(pattern) <= packing.CAPACITY
