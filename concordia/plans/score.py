@@ -65,11 +65,12 @@ def budget_scores(p: np.ndarray, q: np.ndarray, metrics: tuple[str, ...], tol: f
         for u in np.flatnonzero(~fine):
             levels["vei_exact"][u], out["is_vei_exact"][u] = search.cheapest_cut(cost[u], own[u], search_nodes)
     for name, level in levels.items():
-        out |= {f"{name}_{k}": v for k, v in kernels.spread(level).items()}
+        # levels that weren't asked for are all one
+        out |= {f"{name}_{k}": v for k, v in (kernels.spread(level) if name in metrics else {"mean": one, "min": one, "std": zero, "q25": one, "q75": one}).items()}
     network = kernels.degrees(weak) if "network" in metrics else dict.fromkeys(("r_density", "r_out_degree_std", "degree_gini"), zero)
     # log weights belong to the ratio test: they are there if both are asked for
     network |= kernels.weights(cost, own, weak, tol) if {"network", "harp"} <= set(metrics) else dict.fromkeys(("ew_mean", "ew_std", "ew_skew"), zero)
-    return out | network | {"compute_time_us": [int((time.perf_counter() - began) * 1e6 / users)] * users}
+    return out | network | {"compute_time_us": np.full(users, int((time.perf_counter() - began) * 1e6 / users))}
 
 
 def menu_scores(rows: list[tuple[list[list[int]], list[int]]], n_items: int, count: str = "items") -> dict[str, np.ndarray | list]:
@@ -98,8 +99,8 @@ def relation_scores(direct: np.ndarray, diversity: np.ndarray) -> dict[str, np.n
     entropy = -np.where(share > 0, share * np.log2(np.where(share > 0, share, 1)), 0).sum(axis=1)
     return {
         "is_sarp": sarp == 0, "is_warp": warp == 0, "is_warp_la": kernels.limited_attention(direct), "n_sarp_violations": sarp, "n_warp_violations": warp,
-        "hm_consistent": n_items - (sizes // 2).sum(axis=1), "hm_total": [n_items] * users, "max_scc": max_scc, "n_scc": n_scc, "r_density": edges / max(1, n_items * (n_items - 1)),
-        "pref_entropy": np.abs(entropy), "choice_diversity": diversity, "compute_time_us": [int((time.perf_counter() - began) * 1e6 / max(1, users))] * users,
+        "hm_consistent": n_items - (sizes // 2).sum(axis=1), "hm_total": np.full(users, n_items), "max_scc": max_scc, "n_scc": n_scc, "r_density": edges / max(1, n_items * (n_items - 1)),
+        "pref_entropy": np.abs(entropy), "choice_diversity": diversity, "compute_time_us": np.full(users, int((time.perf_counter() - began) * 1e6 / max(1, users))),
     }
 
 
@@ -122,18 +123,27 @@ def observations_kept(menus: list[list[int]], choices: list[int], direct: np.nda
     return sum(not (gone[c] and len(set(m)) > 1) for m, c in zip(menus, choices, strict=True))
 
 
-def _batch(ids: pa.Array, columns: tuple[tuple[str, str], ...], values: dict[str, list]) -> pa.RecordBatch:
-    arrays = [pa.array([v if v is None else v.item() if isinstance(v, np.generic) else v for v in values[name]], _ARROW[kind]) for name, kind in columns]
+_NUMPY = {"boolean": np.bool_, "int": np.int32, "double": np.float64, "bigint": np.int64}
+
+
+def _batch(ids: pa.Array, columns: tuple[tuple[str, str], ...], values: dict[str, list | pa.Array]) -> pa.RecordBatch:
+    arrays = [values[name] if isinstance(values[name], pa.Array) else pa.array([v if v is None else v.item() if isinstance(v, np.generic) else v for v in values[name]], _ARROW[kind]) for name, kind in columns]
     return pa.RecordBatch.from_arrays([ids, *arrays], ["user_id", *(name for name, _ in columns)])
 
 
-def _gather(columns, n: int, parts: Iterable[tuple[list[int], dict]]) -> dict[str, list]:
-    values = {name: [None] * n for name, _ in columns}
+def _gather(columns, n: int, parts: Iterable[tuple[np.ndarray, dict]]) -> dict[str, pa.Array]:
+    """The columns of n users from parts (places of users, their values): arrays are put in at once, lists with gaps one by one."""
+    held = {name: (np.zeros(n, dtype=_NUMPY[kind]), np.zeros(n, dtype=bool)) for name, kind in columns}
     for users, found in parts:
         for name, _ in columns:
-            for u, v in zip(users, found[name], strict=True):
-                values[name][u] = v
-    return values
+            values, (out, known) = found[name], held[name]
+            if isinstance(values, np.ndarray):
+                out[users], known[users] = values, True
+            elif values and values.count(None) < len(values):
+                for u, v in zip(users, values, strict=True):
+                    if v is not None:
+                        out[u], known[u] = v, True
+    return {name: pa.array(held[name][0], _ARROW[kind], mask=~held[name][1]) for name, kind in columns}
 
 
 def score_budget(rows: DataFrame, metrics=("garp", "ccei", "mpi"), tol: float = TOLERANCE, *, search_nodes: int | None = search.BUDGET) -> DataFrame:
@@ -207,22 +217,24 @@ def by_shape(rows: DataFrame, columns: tuple[tuple[str, str], ...], score) -> Da
             for name in ("p", "q"):
                 column = batch.column(batch.schema.get_field_index(name))
                 inner = column.values
-                sides.append((np.asarray(column.offsets), np.asarray(inner.offsets), inner.values.to_numpy(zero_copy_only=False).astype(float)))
-            shapes: dict[tuple[int, int], list[int]] = defaultdict(list)
+                sides.append((np.asarray(column.offsets).astype(np.int64), np.asarray(inner.offsets).astype(np.int64), inner.values.to_numpy(zero_copy_only=False).astype(float)))
             (outer, inner, _), (outer_q, inner_q, _) = sides
-            for u in range(batch.num_rows):
-                n = outer[u + 1] - outer[u]
-                goods = np.diff(inner[outer[u] : outer[u + 1] + 1])
-                if n and ((goods != goods[0]).any() or (goods != np.diff(inner_q[outer_q[u] : outer_q[u + 1] + 1])).any()):
-                    raise errors.DataError(f"user {batch.column(0)[u]} has observations with different numbers of goods")
-                shapes[int(n), int(goods[0]) if n else 0].append(u)
-
-            def parts(sides=sides, shapes=shapes):
-                for (n, goods), users in sorted(shapes.items()):
+            times = np.diff(outer)
+            lengths, lengths_q = np.diff(inner)[outer[0] : outer[-1]], np.diff(inner_q)[outer_q[0] : outer_q[-1]]
+            goods = np.zeros(len(times), dtype=np.int64)
+            goods[times > 0] = lengths[(outer[:-1] - outer[0])[times > 0]]
+            owner = np.repeat(np.arange(len(times)), times)
+            unlike = np.flatnonzero((lengths != goods[owner]) | (lengths_q != goods[owner])) if (np.diff(outer_q) == times).all() else np.zeros(1, np.int64)
+            if len(unlike):
+                raise errors.DataError(f"user {batch.column(0)[int(owner[unlike[0]])]} has observations with different numbers of goods")
+
+            def parts(sides=sides, times=times, goods=goods):
+                for n, k in np.unique(np.stack([times, goods], axis=1), axis=0).tolist():
+                    users = np.flatnonzero((times == n) & (goods == k))
                     step = max(1, CELLS // max(1, n * n))
                     for at in range(0, len(users), step):
                         some = users[at : at + step]
-                        p, q = (np.stack([v[i[o[u]] : i[o[u + 1]]].reshape(n, goods) for u in some]) for o, i, v in sides)
+                        p, q = (v[i[o[some]][:, None] + np.arange(n * k)].reshape(len(some), n, k) if n else None for o, i, v in sides)
                         yield some, score(p, q) if n else dict.fromkeys((c for c, _ in columns), [None] * len(some))
 
             yield _batch(batch.column(0), columns, _gather(columns, batch.num_rows, parts()))
@@ -272,7 +284,7 @@ def score_menu(rows: DataFrame, *, count: str = "items") -> DataFrame:
                             index = [{i: k for k, i in enumerate(sorted({i for m in batch.column(1)[u].as_py() for i in m}))} for u in some.tolist()]
                             kept = [observations_kept([[x[i] for i in m] for m in batch.column(1)[u].as_py()], [x[c] for c in batch.column(2)[u].as_py()], d) for u, x, d in zip(some.tolist(), index, direct, strict=True)]
                             found |= {"hm_consistent": kept, "hm_total": [len(batch.column(2)[u]) for u in some.tolist()]}
-                        yield some.tolist(), found
+                        yield some, found
 
             yield _batch(batch.column(0), MENU, _gather(MENU, batch.num_rows, parts()))
 

@@ -4,9 +4,10 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from concordia import checked, registry
+from concordia import checked, checked_datasets, registry
 from concordia.operators import dated, production, ranking, stochastic
 from concordia.plans import inference, score, structure
 from concordia.sources import generate, market
@@ -91,6 +92,37 @@ def test_checked_query_equals_sql(spark, db, name):
     assert rows_of(mine) == rows_of(theirs)
 
 
+@pytest.mark.parametrize("name", sorted(checked_datasets.ORACLE_SQL))
+def test_dataset_query_equals_sql(spark, db, name):
+    mine = checked_datasets.QUERIES[name](spark, FOLDER).toPandas()
+    theirs = db.execute(checked_datasets.ORACLE_SQL[name]).df()
+    assert sorted(mine.columns) == sorted(theirs.columns)
+    assert rows_of(mine) == rows_of(theirs)
+
+
+def test_datasets_from_folders(spark, tmp_path):
+    """Files in their own layouts: headers or none, tabs, gaps in prices and codes that look like numbers."""
+    from concordia import errors
+    from concordia.sources import datasets
+
+    put = lambda name, text: (tmp_path / name).write_text(text)
+    put("transactions_train.csv", "t_dat,customer_id,article_id,price,sales_channel_id\n" + "".join(f"2020-0{m}-15,c{m % 2}000000000000,0{g}10,0.{g}5,1\n" for m in range(1, 9) for g in (1, 2)))
+    found = {r["user_id"]: r["obs"] for r in datasets.load(spark, "hm", str(tmp_path), min_periods=3, period="month").collect()}
+    assert sorted(found) == ["customer_c00000000000", "customer_c10000000000"] and all(len(o) == 4 and o[0]["q"] == [1.0, 1.0] and o[0]["p"] == [0.15, 0.25] for o in found.values())
+    put("UserBehavior.csv", "".join(f"7,{i},1,{'buy' if k == 2 else 'pv'},{1_511_000_000 + s * 9000 + k}\n" for s in range(6) for k, i in enumerate((5, 6, 6))))
+    rows = datasets.renumbered(datasets.load(spark, "taobao", str(tmp_path))).collect()
+    assert len(rows) == 6 and all(r["menu"] == [0, 1] and r["choice"] == 1 for r in rows)
+    put("behaviors.tsv", "".join(f"{k}\tU1\t11/11/2019\tN9\tN1-0 N2-1 N3-0\n" for k in range(5)) + "9\tU2\tx\t\tN1-1 N2-1\n")
+    rows = datasets.load(spark, "mind", str(tmp_path)).collect()
+    assert len(rows) == 5 and {r["choice"] for r in rows} == {"N2"}
+    put("ctr_data_1M.csv", "user_id,item_id,click,like\n" + "".join(f"1,{k},{int(k != 3)},{int(k % 3 == 2)}\n" for k in range(18)))
+    assert [r["menu"] for r in datasets.load(spark, "tenrec", str(tmp_path)).orderBy("t").limit(2).collect()] == [[0, 1, 2], [4, 5]]
+    prices = {a: p for a, p in spark.createDataFrame([(a,) for a in ("Frozen Juice", "ice cream ice", "cream", "packaged cheese", "nothing known")], "a string").select("a", datasets.aisle_price(F.col("a"))).collect()}
+    assert prices == {"Frozen Juice": 3.0, "ice cream ice": 4.5, "cream": 3.5, "packaged cheese": 5.0, "nothing known": 3.0}
+    with pytest.raises(errors.FormatError):
+        datasets.load(spark, "none", str(tmp_path))
+
+
 def test_entry(spark):
     row = entry.entry(spark).first()
     assert set(row.asDict()) == {"user_id", "is_garp", "n_violations", "max_scc", "n_scc"}
