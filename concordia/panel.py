@@ -83,6 +83,10 @@ class Auditor:
         """Verdict, integrity (ccei) and confusion (mpi)."""
         return reports.audit(score.score_budget(panel.rows, ("garp", "ccei", "mpi")))
 
+    def scores(self, panel: Panel) -> DataFrame:
+        """One number from 0 to 1 of each user: the mean of integrity and of one less confusion."""
+        return self.audit(panel).select("user_id", ((F.col("integrity") + 1 - F.least(F.lit(1.0), F.col("confusion"))) / 2).alias("score"))
+
     def details(self, panel: Panel) -> DataFrame:
         """All metrics and the variants of the test."""
         return panel.score().join(score.score_variants(panel.rows), "user_id")
@@ -118,6 +122,11 @@ class Encoder:
         names = [c for c in rows.columns if c != "user_id"]
         return rows.select("user_id", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]).alias("features"))
 
+    def status(self, panel: Panel) -> DataFrame:
+        """Whether a utility could be recovered for each user."""
+        fitted = score.score_budget(panel.rows, ("garp", "utility")).select("user_id", F.col("utility_success").alias("is_fitted"))
+        return fitted.withColumn("status", F.when(F.col("is_fitted"), "optimal").otherwise("inconsistent"))
+
     def values(self, panel: Panel) -> DataFrame:
         """Recovered utility and multiplier of each observation."""
         return structure.utilities(panel.rows)

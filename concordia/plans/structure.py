@@ -39,6 +39,29 @@ def graph_edges(rows: DataFrame) -> DataFrame:
     return _rows(rows, "i int, j int, own double, e double, r boolean, p boolean, weight double, component int", one)
 
 
+def graph_json(rows: DataFrame) -> DataFrame:
+    """Each user's graph as text: nodes, and links (source, target, weight, strict) of the direct relation."""
+    link = F.struct(F.col("i").alias("source"), F.col("j").alias("target"), F.round("weight", 9).alias("weight"), F.col("p").alias("strict"))
+    links = graph_edges(rows).filter("r").groupBy("user_id").agg(F.array_sort(F.collect_list(link)).alias("links"))
+    both = rows.select("user_id", F.sequence(F.lit(0), F.size("obs") - 1).alias("nodes")).join(links, "user_id", "left")
+    return both.select("user_id", F.to_json(F.struct("nodes", F.coalesce("links", F.array().cast("array<struct<source:int,target:int,weight:double,strict:boolean>>")).alias("links"))).alias("graph"))
+
+
+def sensitivity(rows: DataFrame, share: float = 0.2) -> DataFrame:
+    """Efficiency after taking out observations one by one, those of the lowest Varian levels first; two at least stay."""
+    from concordia.functions import kernels
+
+    def one(p, q):
+        n = len(p)
+        cost, own = kernels.costs(p[None], q[None])
+        fine = np.array([single.efficiency(p, q) == 1.0])
+        order = np.argsort(kernels.varian_levels(cost, own, fine)[0], kind="stable")
+        steps = min(max(1, int(n * share)), n - 2)
+        return [(k, single.efficiency(p[np.sort(order[k:])], q[np.sort(order[k:])])) for k in range(max(0, steps) + 1)]
+
+    return _rows(rows, "removed int, ccei double", one)
+
+
 def cycles(rows: DataFrame, most: int | None = None) -> DataFrame:
     """Violating cycles with their length and cost; all of them, or each user's first ``most``."""
 
