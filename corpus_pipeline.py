@@ -21,19 +21,33 @@ from concordia.llm._common import materialize, table
 BROADCAST_ROWS = 200_000
 
 
+#: Columns of documents; others are carried along under names of their own, for they may be named like results.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielded(docs: DataFrame) -> DataFrame:
+    """``docs`` with its other columns renamed by their places."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in COLUMNS else f"__own_{k}") for k, c in enumerate(docs.columns)])
+
+
+def restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of what became of shielded(docs)."""
+    return found.select(*[F.col(c if c in COLUMNS else f"__own_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones among them teach."""
-    found = langid.identify(docs, langid.learn(docs)).filter(F.col("lang_pred") != langid.UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.identify(shielded(docs), langid.learn(docs)).filter(F.col("lang_pred") != langid.UNDETERMINED)
+    return restored(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the largest id of each group of equal texts."""
-    found = exact_dedup.deduplicate(docs)
+    found = exact_dedup.deduplicate(shielded(docs))
     single = found.filter(F.col("group_size") == 1)
     # a row can be there twice, id and text alike
     chosen = found.filter(F.col("kept") & (F.col("group_size") > 1)).dropDuplicates(["doc_id", "text_sha256"])
-    return single.unionByName(chosen).select(*docs.columns)
+    return restored(single.unionByName(chosen), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +61,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the spans of secrets masked."""
-    found = secret_scan.scan(docs)
+    found = secret_scan.scan(shielded(docs))
     found = found.withColumn("masked", secret_scan.redact(F.col("text"), F.col("spans")))
     changed = F.size("spans") > 0
     found = found.withColumn("n_chars", F.when(changed, F.length("masked").cast("long")).otherwise(F.col("n_chars")))
-    return found.withColumn("text", F.col("masked")).select(*docs.columns)
+    return restored(found.withColumn("text", F.col("masked")), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
