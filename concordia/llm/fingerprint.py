@@ -13,7 +13,8 @@ All of it is column expressions; nothing runs in Python on the executors.
 Defined results: null and empty texts and those without words have the fingerprint '';
 its likeness is 1 to itself and 0 to others; equal texts have equal fingerprints; a lone
 document is its own next one; rows with equal ids follow each other in the order of their
-texts, and rows without id come last; texts are read whole whatever their length.
+texts, and rows without id come last; rows that repeat have equal fingerprints; texts are read whole whatever their length; an empty
+table gives no rows; columns named like a result of ``with_next`` are replaced.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ buckets, and no text is shuffled.
 
 Defined results: null text has size 8 and the crc32 of nothing; a null source is a
 stratum of its own; rows with equal ids stand in the order of their text's crc32 and
-size, so equal rows are interchangeable; copies are ordinary rows; an empty table gives
+size, so equal rows are interchangeable; copies are ordinary rows: shards of equal counts and groups kept
+together exclude each other where a group is larger than a shard, so equal texts are dealt like any other
+rows, and columns named like a result are replaced; an empty table gives
 no rows.
 """
 

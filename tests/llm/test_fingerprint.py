@@ -75,3 +75,18 @@ def test_query(spark):
         assert r["n_chars"] == len(text)
         assert r["edited_sha256"] == hashlib.sha256((text[: len(text) - cut] + following[:cut]).encode()).hexdigest()
         assert 0 <= r["near_next"] <= 1
+
+
+def test_clashing_names_and_repeated_rows(spark, clashing):
+    rows = clashing.withColumns({"next_text": F.lit(1), "next_fingerprint": F.lit(2)}).drop("fingerprint")
+    rows = rows.union(rows).withColumn("fingerprint", fp.fingerprint(F.col("text")))
+    found = fp.with_next(rows, ["text", "fingerprint"]).collect()
+    assert len(found) == 60 and all(r["next_text"] is None or isinstance(r["next_text"], str) for r in found)
+    by_text = {}
+    for r in found:
+        assert by_text.setdefault(r["text"], r["fingerprint"]) == r["fingerprint"]
+
+
+def test_query_stays_in_the_engine(spark):
+    plan = fp.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

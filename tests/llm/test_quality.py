@@ -50,6 +50,15 @@ def test_held_out(spark):
     assert np.mean([[a > b for b in bad] for a in good]) > 0.9
 
 
+def test_repeated_ids_give_the_same_fit(spark):
+    """Labelled ids that several texts share: the same rows are learned from whatever the partitions."""
+    rows = [(i % 9, prose(i, 40), "en", "a", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i % 9, i % 2) for i in range(18)], "doc_id long, quality int")
+    fits = [m.learn(docs.repartition(k), labels.repartition(5 - k), sample=25) for k in (1, 4)]
+    assert fits[0].bias == fits[1].bias and (fits[0].w == fits[1].w).all() and (fits[0].v == fits[1].v).all()
+
+
 def test_features_read_whole_texts():
     words = m._Words()
     a, b = prose(1, 5000), prose(1, 5000) + " zebra" * 50
