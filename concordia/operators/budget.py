@@ -23,13 +23,32 @@ def observations(rows: DataFrame) -> DataFrame:
 
 
 def edges(rows: DataFrame, tol: float = TOL) -> DataFrame:
-    """user_id, i, j, own, e, r, p for all pairs i <> j: what bundle j costs at prices i, and whether i is revealed preferred."""
-    first = rows.select("user_id", "obs", F.posexplode("obs").alias("i", "a")).withColumn("own", dot(F.col("a.p"), F.col("a.q")))
-    pairs = first.select("user_id", "own", "i", F.col("a.p").alias("pi"), F.posexplode("obs").alias("j", "b")).filter("i <> j")
-    cost = pairs.select("user_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "own", dot(F.col("pi"), F.col("b.q")).alias("e"))
+    """user_id, i, j, own, e, r, p for all pairs i <> j: what bundle j costs at prices i, and whether i is revealed preferred.
+
+    The costs of a user are one matrix of numbers, so that no prices or bundles are copied to pairs.
+    """
+    costs = F.transform("obs", lambda a: F.transform("obs", lambda b: dot(a["p"], b["q"])))
+    first = rows.select("user_id", F.posexplode(costs).alias("i", "row"))
+    cost = first.select("user_id", F.col("i").cast("long").alias("i"), F.get("row", F.col("i")).alias("own"), F.posexplode("row").alias("j", "e")).filter("i <> j")
+    cost = cost.select("user_id", "i", F.col("j").cast("long").alias("j"), "own", "e")
     return cost.withColumns({"r": F.col("own") >= F.col("e") - tol, "p": F.col("own") > F.col("e") + tol})
 
 
+def pairs(rows: DataFrame) -> DataFrame:
+    """user_id, i < j and prices and quantities of both (p0, q0, p1, q1), out of each user's own row."""
+    first = rows.select("user_id", "obs", F.posexplode("obs").alias("i", "a"))
+    later = F.slice("obs", F.col("i") + 2, F.greatest(F.lit(0), F.size("obs") - F.col("i") - 1))
+    both = first.select("user_id", "i", F.col("a.p").alias("p0"), F.col("a.q").alias("q0"), F.posexplode(later).alias("k", "b"))
+    return both.select("user_id", F.col("i").cast("long").alias("i"), (F.col("i") + F.col("k") + 1).cast("long").alias("j"), "p0", "q0", F.col("b.p").alias("p1"), F.col("b.q").alias("q1"))
+
+
+def moves(rows: DataFrame) -> DataFrame:
+    """user_id, i < j, g (good) and its price and quantity at both (p0, q0, p1, q1), with what both bundles cost (m0, m1)."""
+    both = pairs(rows).withColumns({"m0": dot(F.col("p0"), F.col("q0")), "m1": dot(F.col("p1"), F.col("q1"))})
+    each = both.select("user_id", "i", "j", "m0", "m1", F.posexplode(F.arrays_zip("p0", "q0", "p1", "q1")).alias("g", "x"))
+    return each.select("user_id", "i", "j", "m0", "m1", F.col("g").cast("long").alias("g"), "x.p0", "x.q0", "x.p1", "x.q1")
+
+
 def both_ways(rows: DataFrame) -> DataFrame:
     """user_id, i < j with costs and relations both ways, from the edges of each user without a join."""
     lower = F.least("i", "j")
@@ -93,19 +112,6 @@ def savings(rows: DataFrame) -> DataFrame:
     return per_user(rows, found, max_saving=0.0)
 
 
-def quasilinear(rows: DataFrame, tol: float = TOL) -> DataFrame:
-    """Cycles of two and three observations along which swapping bundles saves money."""
-    gain = edges(rows).select("user_id", "i", "j", (F.col("e") - F.col("own")).alias("g"))
-    # walks from the least node of a cycle, so that each cycle counts once
-    two = gain.alias("a").join(gain.alias("b"), F.expr("a.user_id = b.user_id AND a.j = b.i AND b.j = a.i AND a.i < a.j")).filter(F.expr(f"a.g + b.g < -{tol}"))
-    two = two.groupBy(F.expr("a.user_id").alias("user_id")).agg(F.count(F.lit(1)).alias("two"))
-    path = gain.alias("a").join(gain.alias("b"), F.expr("a.user_id = b.user_id AND a.j = b.i AND b.j > a.i AND a.i < a.j")).select(F.expr("a.user_id").alias("user_id"), F.expr("a.i").alias("i"), F.expr("b.j").alias("k"), F.expr("a.g + b.g").alias("g"))
-    three = path.alias("x").join(gain.alias("c"), F.expr("x.user_id = c.user_id AND x.k = c.i AND c.j = x.i")).filter(F.expr(f"x.g + c.g < -{tol}"))
-    three = three.groupBy(F.expr("x.user_id").alias("user_id")).agg(F.count(F.lit(1)).alias("three"))
-    found = two.join(three, "user_id", "full").select("user_id", F.coalesce("two", F.lit(0)).alias("two_cycles"), F.coalesce("three", F.lit(0)).alias("three_cycles"))
-    return per_user(rows, found, two_cycles=0, three_cycles=0).withColumn("is_quasilinear", F.col("two_cycles") + F.col("three_cycles") == 0)
-
-
 def varian(rows: DataFrame, consistent: DataFrame) -> DataFrame:
     """Mean and least efficiency of observations; ``consistent`` has user_id and is_garp."""
     worst = edges(rows, 1e-8).groupBy("user_id", "i").agg(F.max(F.when(F.col("r"), F.col("e") / F.col("own"))).alias("x"))
@@ -135,10 +141,8 @@ def goods(rows: DataFrame) -> DataFrame:
 
 def law_of_demand(rows: DataFrame, threshold: float = 0.05) -> DataFrame:
     """For each good and user the pairs of observations whose price differs by the threshold: how many obey, how many don't."""
-    x = goods(rows)
-    pairs = x.alias("a").join(x.alias("b"), F.expr("a.user_id = b.user_id AND a.g = b.g AND a.i < b.i"))
-    pairs = pairs.select(F.expr("a.user_id").alias("user_id"), F.expr("a.g").alias("g"), F.expr("(b.price - a.price) / a.price").alias("dp"), F.expr("b.quantity - a.quantity").alias("dq"))
-    moved = pairs.filter(F.abs("dp") >= threshold)
+    changes = moves(rows).select("user_id", "g", ((F.col("p1") - F.col("p0")) / F.col("p0")).alias("dp"), (F.col("q1") - F.col("q0")).alias("dq"))
+    moved = changes.filter(F.abs("dp") >= threshold)
     sign = F.signum("dp") * F.signum("dq")
     return moved.groupBy("user_id", "g").agg(F.sum((sign < 0).cast("long")).alias("obeying"), F.sum((sign > 0).cast("long")).alias("violating"))
 
@@ -149,11 +153,9 @@ def substitution(rows: DataFrame, threshold: float = 0.05) -> DataFrame:
     Counted over pairs of observations in which price h changes by the threshold at least,
     and every other price by half of that change at most.
     """
-    x = observations(rows).select("user_id", "i", "p", "q")
-    pairs = x.alias("a").join(x.alias("b"), F.expr("a.user_id = b.user_id AND a.i < b.i"))
-    dp = F.zip_with(F.col("a.p"), F.col("b.p"), lambda s, t: (t - s) / s)
-    dq = F.zip_with(F.col("a.q"), F.col("b.q"), lambda s, t: t - s)
-    rows = pairs.select(dp.alias("dp"), dq.alias("dq")).withColumn("size", F.sort_array(F.transform("dp", F.abs), asc=False))
+    dp = F.zip_with("p0", "p1", lambda s, t: (t - s) / s)
+    dq = F.zip_with("q0", "q1", lambda s, t: t - s)
+    rows = pairs(rows).select(dp.alias("dp"), dq.alias("dq")).withColumn("size", F.sort_array(F.transform("dp", F.abs), asc=False))
     clean = rows.filter((F.get("size", F.lit(0)) >= threshold) & (F.coalesce(F.get("size", F.lit(1)), F.lit(0.0)) <= F.get("size", F.lit(0)) / 2))
     moved = clean.withColumn("h", F.array_position(F.transform("dp", F.abs), F.get("size", F.lit(0))) - 1)
     goods_ = moved.select("h", F.get("dp", F.col("h").cast("int")).alias("dh"), F.posexplode("dq").alias("g", "d")).filter("g <> h")
@@ -163,10 +165,8 @@ def substitution(rows: DataFrame, threshold: float = 0.05) -> DataFrame:
 
 def additivity(rows: DataFrame, tol: float = 1e-6) -> DataFrame:
     """Pairs of observations in which a good's price and quantity rise together, by user: none in additive demand."""
-    x = goods(rows)
-    pairs = x.alias("a").join(x.alias("b"), F.expr("a.user_id = b.user_id AND a.g = b.g AND a.i < b.i"))
-    bad = F.expr(f"(b.price - a.price) * (b.quantity - a.quantity) > {tol}")
-    found = pairs.groupBy(F.expr("a.user_id").alias("user_id")).agg(F.sum(bad.cast("long")).alias("n_violations"))
+    bad = (F.col("p1") - F.col("p0")) * (F.col("q1") - F.col("q0")) > tol
+    found = moves(rows).groupBy("user_id").agg(F.sum(bad.cast("long")).alias("n_violations"))
     return per_user(rows, found, n_violations=0).withColumn("is_additive", F.col("n_violations") == 0)
 
 
@@ -214,10 +214,10 @@ def population_welfare(rows: DataFrame) -> DataFrame:
 
 def additive_consistency(rows: DataFrame, tol: float = 0.05) -> DataFrame:
     """Pairs of observations with like spending in which a good has one price but quantities that differ by a tenth."""
-    o = observations(rows).withColumn("m", dot(F.col("p"), F.col("q"))).select("user_id", "i", "m", F.posexplode(F.arrays_zip("p", "q")).alias("g", "x")).select("user_id", "i", "m", "g", F.col("x.p").alias("p"), F.col("x.q").alias("q"))
-    pairs = o.alias("a").join(o.alias("b"), F.expr(f"a.user_id = b.user_id AND a.g = b.g AND a.i < b.i AND abs(a.p - b.p) <= {tol} * a.p AND abs(a.m - b.m) <= {tol} * a.m"))
-    bad = F.expr("abs(a.q - b.q) > 0.1 * greatest(a.q, b.q)")
-    return per_user(rows, pairs.groupBy(F.expr("a.user_id").alias("user_id")).agg(F.sum(bad.cast("long")).alias("n_violations"), F.count(F.lit(1)).alias("n_pairs")), n_violations=0, n_pairs=0)
+    alike = (F.abs(F.col("p0") - F.col("p1")) <= tol * F.col("p0")) & (F.abs(F.col("m0") - F.col("m1")) <= tol * F.col("m0"))
+    bad = F.abs(F.col("q0") - F.col("q1")) > 0.1 * F.greatest("q0", "q1")
+    found = moves(rows).filter(alike).groupBy("user_id").agg(F.sum(bad.cast("long")).alias("n_violations"), F.count(F.lit(1)).alias("n_pairs"))
+    return per_user(rows, found, n_violations=0, n_pairs=0)
 
 
 def pump_pairs(rows: DataFrame) -> DataFrame:

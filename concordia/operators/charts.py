@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordia.operators.budget import dot, edges, observations
+from concordia.operators.budget import dot, observations, pairs, warp
 
 
 def histogram(rows: DataFrame, column: str, bins: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -37,16 +37,12 @@ def severities(related: DataFrame) -> DataFrame:
 
 def intersections(rows: DataFrame) -> DataFrame:
     """Pairs of a user's budget sets that cross, and how many of all pairs contradict each other directly."""
-    o = observations(rows).select("user_id", "i", "p", dot(F.col("p"), F.col("q")).alias("m"))
-    both = o.join(o.select("user_id", F.col("i").alias("j"), F.col("p").alias("pj"), F.col("m").alias("mj")), "user_id").filter("i < j")
-    gap = F.zip_with("p", "pj", lambda a, b: a * F.col("mj") - b * F.col("m"))
+    both = pairs(rows).withColumns({"m0": dot(F.col("p0"), F.col("q0")), "m1": dot(F.col("p1"), F.col("q1"))})
+    gap = F.zip_with("p0", "p1", lambda a, b: a * F.col("m1") - b * F.col("m0"))
     crossing = F.exists(gap, lambda x: x > 1e-9) & F.exists(gap, lambda x: x < -1e-9)
-    pairs = both.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(crossing.cast("long")).alias("n_crossing"))
-    e = edges(rows)
-    a, b = e.alias("a"), e.alias("b")
-    warp = a.join(b, F.expr("a.user_id = b.user_id AND a.i = b.j AND a.j = b.i AND a.i < a.j")).filter(F.expr("(a.r AND b.p) OR (a.p AND b.r)"))
-    bad = warp.groupBy(F.expr("a.user_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n_contradicting"))
-    return pairs.join(bad, "user_id", "left").select("user_id", "n_pairs", "n_crossing", F.coalesce("n_contradicting", F.lit(0)).alias("n_contradicting"))
+    found = both.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(crossing.cast("long")).alias("n_crossing"))
+    bad = warp(rows).select("user_id", F.col("n_violations").alias("n_contradicting"))
+    return found.join(bad, "user_id").select("user_id", "n_pairs", "n_crossing", "n_contradicting")
 
 
 def budget_lines(rows: DataFrame, goods: tuple[int, int] = (0, 1)) -> DataFrame:

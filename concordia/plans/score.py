@@ -184,6 +184,30 @@ def score_variants(rows: DataFrame, tol: float = TOLERANCE) -> DataFrame:
     return by_shape(rows, VARIANTS, lambda p, q: variant_scores(p, q, tol))
 
 
+#: Columns of the test of quasilinear utility.
+QUASILINEAR = (("two_cycles", "bigint"), ("three_cycles", "bigint"), ("is_quasilinear", "boolean"))
+
+
+def quasilinear_scores(p: np.ndarray, q: np.ndarray, tol: float = TOLERANCE) -> dict[str, np.ndarray]:
+    """Cycles of two and three observations along which swapping bundles saves money, for users of one shape."""
+    cost, own = kernels.costs(p, q)
+    gain = cost - own[:, :, None]
+    n = gain.shape[1]
+    upper = np.triu(np.ones((n, n), dtype=bool), 1)
+    two = ((gain + gain.transpose(0, 2, 1) < -tol) & upper).sum(axis=(1, 2))
+    three = np.zeros(len(p), dtype=np.int64)
+    for i in range(n - 2):
+        # from the least observation of a cycle over two later ones, either way round
+        rest = gain[:, i, i + 1 :, None] + gain[:, i + 1 :, i + 1 :] + gain[:, None, i + 1 :, i]
+        three += ((rest < -tol) & ~np.eye(n - i - 1, dtype=bool)).sum(axis=(1, 2))
+    return {"two_cycles": two, "three_cycles": three, "is_quasilinear": (two + three) == 0}
+
+
+def score_quasilinear(rows: DataFrame, tol: float = TOLERANCE) -> DataFrame:
+    """user_id and the columns of QUASILINEAR from budget rows."""
+    return by_shape(rows, QUASILINEAR, lambda p, q: quasilinear_scores(p, q, tol))
+
+
 #: Columns of a firm's score.
 FIRM = (("is_garp", "boolean"), ("n_violations", "int"), ("ccei", "double"), ("max_scc", "int"))
 

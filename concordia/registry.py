@@ -101,7 +101,7 @@ QUERIES: dict[str, Query] = {
     "budget_network": _market(budget.network),
     "budget_weights": _market(budget.weights),
     "budget_savings": _market(budget.savings),
-    "budget_quasilinear": _market(budget.quasilinear),
+    "budget_quasilinear": _market(score.score_quasilinear),
     "budget_all_metrics": _market(_all_metrics),
     "spending_features": _market(budget.features),
     "law_of_demand": _market(budget.law_of_demand),
