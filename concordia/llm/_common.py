@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
 
@@ -13,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.errors import DataError
+from concordia.sources.files import shared_dir
 
 #: Characters of text that a Python step holds at once, beside the Arrow batch.
 CHUNK_CHARS = 1 << 21
+#: Files of a work table for each core of the cluster, at most.
+FILES_A_CORE = 4
 #: Rows of an Arrow batch.
 BATCH_ROWS, BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -25,26 +26,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is set and all runs in one process."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise DataError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="concordia-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, *, slim: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later steps then neither compute it again nor depend on executors that may be lost.
+    A ``slim`` table (of hashes) has at most FILES_A_CORE files for each core of the cluster, however many partitions its shuffle had.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/concordia-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.coalesce(max(1, FILES_A_CORE * spark.sparkContext.defaultParallelism)) if slim else df).write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def work_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialized within are deleted at the end, but for those given to the function that this yields."""
+    own, kept = [], set()
+    _scopes.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.work_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path in own:
+            if path in kept:
+                if _scopes:
+                    _scopes[-1].append(path)
+            else:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

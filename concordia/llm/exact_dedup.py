@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm._common import map_arrow, materialize, release, table
+from concordia.llm._common import map_arrow, materialize, release, table, work_tables
 
 #: Fingerprints of a filter, at most; fingerprints of a block over all partitions, about.
 FILTER_ROWS, BLOCK_ROWS = 1 << 20, 1 << 20
@@ -113,15 +113,16 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     marked = docs.withColumns({"__fp": F.xxhash64(text), "text_sha256": F.sha2(text.cast("binary"), 256)})
     total = docs.count()
     block_bits = min(MAX_BLOCK_BITS, max(MIN_BLOCK_BITS, (total // BLOCK_ROWS).bit_length()))
-    twice = materialize(repeated(docs.select(F.xxhash64(text).alias("fp")), block_bits).select("fp"), "repeated")
-    few = twice.count() <= BROADCAST_ROWS
-    suspects = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("fp"), text.alias("text"))
-    suspects = suspects.join(F.broadcast(twice) if few else twice, "fp", "left_semi")
-    groups = suspects.groupBy("fp", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.filter(F.col("group_size") > 1).select(
-        F.col("fp").alias("__fp"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size", F.lit(True).alias("__group")
-    )
-    groups = materialize(groups, "copies")
+    with work_tables(docs.sparkSession) as keep:
+        twice = materialize(repeated(docs.select(F.xxhash64(text).alias("fp")), block_bits).select("fp"), "repeated", slim=True)
+        few = twice.count() <= BROADCAST_ROWS
+        suspects = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("fp"), text.alias("text"))
+        suspects = suspects.join(F.broadcast(twice) if few else twice, "fp", "left_semi")
+        groups = suspects.groupBy("fp", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        groups = groups.filter(F.col("group_size") > 1).select(
+            F.col("fp").alias("__fp"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size", F.lit(True).alias("__group")
+        )
+        groups = keep(materialize(groups, "copies", slim=True))
     few = groups.count() <= BROADCAST_ROWS // 8
     joined = marked.join(F.broadcast(groups) if few else groups, ["__fp", "text_sha256"], "left")
     keep = F.when(F.col("__group"), F.col("keep_id")).otherwise(F.col(id_col))

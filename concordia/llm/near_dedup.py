@@ -25,8 +25,9 @@ Two sets of similarity 0.75 share none of the 32 bands with probability 6e-6.
 
 Defined results: null text and text without words has the empty set, links with nothing
 and stays; equal texts are in one component; a component without any id has a null
-component_id, and rows with a null id are kept only there; texts are read whole; an empty
-table gives no rows.
+component_id, and rows with a null id are kept only there; rows that repeat are in one component and
+each has a row; texts are read whole; an empty table gives no rows; only the id and text columns are
+read, so others may be named like results.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm._common import map_arrow, materialize, release, table, texts_of
+from concordia.llm._common import map_arrow, materialize, release, table, texts_of, work_tables
 
 SHINGLE, THRESHOLD = 5, 75
 REGISTERS, BAND, BASE, RATE = 128, 4, 1.001, 20.0
@@ -48,6 +49,8 @@ ESTIMATE_FLOOR = 0.58
 BLOCK, TEXT_BLOCK, PART = 1024, 512, 400
 #: Partners of a class that one block verifies; rows from which a node may be hot; hot values that are broadcast at most.
 PARTNERS, HOT_DEGREE, HOT_VALUES = 256, 512, 100_000
+#: Rows of a stored table of hashes that is broadcast at most; larger ones are shuffled.
+BROADCAST_ROWS = 100_000
 #: Partitions over which the rows of one bucket or cluster spread.
 SALTS = 16
 #: Words whose hashes a worker remembers; hashes that are minimised at once.
@@ -174,11 +177,17 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(side("b"), "b").join(side("a"), "a"), run, "a binary, b binary")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it has at most BROADCAST_ROWS rows (of some 50 bytes)."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def texts_of_nodes(needed: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node and the text of one document of each class in ``needed`` (distinct nodes)."""
-    needed = needed.join(classes.select("node", "rep"), "node").select("node", F.col("rep.id").alias("id"), F.col("rep.fp").alias("fp"))
+    """node and the text of one document of each class in ``needed`` (distinct nodes); documents aren't shuffled for few."""
+    needed = _few(materialize(needed, "needed", slim=True))
+    needed = materialize(classes.select("node", "rep").join(needed, "node").select("node", F.col("rep.id").alias("id"), F.col("rep.fp").alias("fp")), "representatives", slim=True)
     texts = docs.select(F.col(id_col).alias("tid"), F.xxhash64(text_col).alias("tfp"), F.col(text_col).alias("text"))
-    texts = texts.join(needed, (texts["tfp"] == needed["fp"]) & texts["tid"].eqNullSafe(needed["id"])).select("node", "text")
+    texts = texts.join(_few(needed), (texts["tfp"] == needed["fp"]) & texts["tid"].eqNullSafe(needed["id"])).select("node", "text")
     return materialize(texts.dropDuplicates(["node"]), "candidates")
 
 
@@ -198,9 +207,9 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *, id_col: str
     hot = _often(pairs, "a", PARTNERS).select("a", F.ceil(F.col("n") / PARTNERS).alias("blocks"))
     # at most HOT_VALUES rows of 24 bytes
     dealt = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), "blocks")).cast("int").alias("block"))
-    dealt = materialize(dealt, "dealt")
-    first = dealt.select("a", "block").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("binary").alias("b"), "text")
-    rest = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "text")
+    dealt = materialize(dealt, "dealt", slim=True)
+    first = texts.withColumnRenamed("node", "a").join(_few(materialize(dealt.select("a", "block").distinct(), "blocks", slim=True)), "a").select("a", "block", F.lit(None).cast("binary").alias("b"), "text")
+    rest = texts.withColumnRenamed("node", "b").join(_few(dealt), "b").select("a", "block", "b", "text")
     rows = first.union(rest).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +231,9 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *, id_col: str
 
 
 def _meet(rows: DataFrame, least: DataFrame, hot: int) -> DataFrame:
-    """``rows`` (u, v) with the m of their u in ``least`` (u, m, degree); nodes of at least ``hot`` rows meet theirs by a broadcast."""
+    """``rows`` (u, v) with the m of their u in ``least`` (u, m, degree); nodes of at least ``hot`` rows meet theirs by a broadcast, all if ``hot`` is 0."""
+    if not hot:
+        return rows.join(F.broadcast(least.select("u", "m")), "u")
     # a node has ``hot`` of the rows, so there are at most HOT_VALUES of them
     few = least.filter(F.col("degree") >= hot).select("u", F.col("m").alias("hot_m"))
     rows = rows.join(F.broadcast(few), "u", "left")
@@ -239,15 +250,17 @@ def _stars(edges: DataFrame) -> bool:
 
 def components(links: DataFrame) -> DataFrame:
     """node and label (least node) of every node that a link (a, b) has, by large and small stars."""
-    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges", slim=True)
     while not _stars(edges):
-        hot = max(HOT_DEGREE, 2 * edges.count() // HOT_VALUES + 1)
+        n = edges.count()
+        # an edge has two nodes: of few edges all nodes are broadcast
+        hot = 0 if 2 * n <= BROADCAST_ROWS else max(HOT_DEGREE, 2 * n // HOT_VALUES + 1)
         sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
         large = _meet(sides.filter("v > u"), least, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
         small = _meet(large, least, hot).select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a")).filter("a <> b")
-        edges = materialize(small.select("a", "b").distinct(), "edges")
+        edges = materialize(small.select("a", "b").distinct(), "edges", slim=True)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
@@ -264,10 +277,15 @@ def _blocks(rows: DataFrame, sizes: DataFrame, by: str, block: int) -> DataFrame
         F.ceil(F.col("top.n") / block).cast("int").alias("top_blocks"),
         F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("blocks"),
     )
-    # a hot group's rows meet its one row of ``mixed`` in SALTS partitions
-    mixed = mixed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int"))
-    rows = rows.join(mixed, [by, "__salt"]).drop("__salt").withColumn("out", F.col("label") != F.col("top"))
+    mixed = materialize(mixed, "mixed", slim=True)
+    if mixed.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(mixed), by)
+    else:
+        # a hot group's rows meet its one row of ``mixed`` in SALTS partitions
+        mixed = mixed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int"))
+        rows = rows.join(mixed, [by, "__salt"]).drop("__salt")
+    rows = rows.withColumn("out", F.col("label") != F.col("top"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("blocks")).otherwise(F.col("top_blocks"))).cast("int"))
     each = lambda n, body: F.transform(F.sequence(F.lit(0), F.col(n) - 1), body)
     pair = lambda first, second: F.struct(first.alias("first"), second.alias("second"))
@@ -302,7 +320,7 @@ def _forest(group: pa.Table, near) -> pa.Table:
 
 def clusters(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """label and cluster of the components that plausible partners in buckets (members: key, node) connect."""
-    known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    known = members.join(_few(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     rows = _blocks(known, known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "key", BLOCK)
     rows = rows.join(classes.select("node", "sketch", "n_shingles"), "node").select("key", "first", "second", "node", "label", "out", "block", "sketch", "n_shingles")
 
@@ -310,8 +328,13 @@ def clusters(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataF
         matrix, n = _matrix(group.column("sketch").combine_chunks()), np.asarray(group.column("n_shingles"))
         return _forest(group, lambda i, js: js[plausible_pairs(matrix[i][None], matrix[js], n[i], n[js])])
 
-    pairs = materialize(rows.groupBy("key", "first", "second").applyInArrow(run, "a binary, b binary").distinct(), "near-nodes")
-    name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    pairs = materialize(rows.groupBy("key", "first", "second").applyInArrow(run, "a binary, b binary").distinct(), "near-nodes", slim=True)
+    few = labels.count() <= BROADCAST_ROWS
+
+    def name(c: str) -> DataFrame:
+        side = labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+        return F.broadcast(side) if few else side
+
     pairs = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
     return components(pairs).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
 
@@ -319,11 +342,12 @@ def clusters(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataF
 def join_components(cluster: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified links (a, b) that join all components of a cluster that any link joins."""
     # a component of one class isn't in ``labels``
+    cluster = _few(cluster)
     alone = cluster.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), "label", "cluster")
-    held = materialize(labels.join(cluster, "label").select("node", "label", "cluster").union(alone), "cluster-members")
+    held = materialize(labels.join(cluster, "label").select("node", "label", "cluster").union(alone), "cluster-members", slim=True)
     # blocks are bounded by what their sets hold, not by rows: a long text has many parts
     parts = held.join(classes.select("node", F.ceil(F.col("n_shingles") / PART).alias("parts")), "node")
-    rows = materialize(_blocks(held, parts.groupBy("cluster", "label").agg(F.sum("parts").alias("n")), "cluster", TEXT_BLOCK), "comparisons")
+    rows = materialize(_blocks(held, parts.groupBy("cluster", "label").agg(F.sum("parts").alias("n")), "cluster", TEXT_BLOCK), "comparisons", slim=True)
     texts = texts_of_nodes(rows.select("node").distinct(), classes, docs, id_col, text_col)
 
     def run(group: pa.Table) -> pa.Table:
@@ -343,33 +367,40 @@ def join_components(cluster: DataFrame, labels: DataFrame, classes: DataFrame, d
 
         return _forest(group, near)
 
-    return rows.join(texts, "node").groupBy("cluster", "first", "second").applyInArrow(run, "a binary, b binary")
+    return texts.join(_few(rows), "node").groupBy("cluster", "first", "second").applyInArrow(run, "a binary, b binary")
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept, text_fp (xxhash64 of the text) of every row of ``docs``."""
-    rows = materialize(sketch(docs, id_col=id_col, text_col=text_col), "sketches")
+    with work_tables(docs.sparkSession) as keep:
+        rows = keep(materialize(sketch(docs, id_col=id_col, text_col=text_col), "sketches"))
+        named = keep(_named(rows, docs, id_col, text_col))
+    found = rows.select("id", "fp", "n_shingles", "node").join(_few(named), "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), F.col("fp").alias("text_fp"))
+
+
+def _named(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and component_id of all sets."""
     classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("rep"), F.max("sketch").alias("sketch"), F.max("n_shingles").alias("n_shingles")
     )
     classes = materialize(classes, "classes")
     keyed = bands(classes)
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    members = materialize(keyed.join(shared, "key").select("key", "node", "hub"), "members")
+    members = materialize(keyed.join(shared, "key").select("key", "node", "hub"), "members", slim=True)
     pairs = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialize(plausible(pairs, classes), "pairs")
+    pairs = materialize(plausible(pairs, classes), "pairs", slim=True)
     links = verify(pairs, classes, docs, id_col=id_col, text_col=text_col)
-    first = materialize(components(materialize(links, "links")), "labels")
-    cluster = materialize(clusters(members.select("key", "node"), first, classes), "clusters")
+    first = materialize(components(materialize(links, "links", slim=True)), "labels", slim=True)
+    cluster = materialize(clusters(members.select("key", "node"), first, classes), "clusters", slim=True)
     found = join_components(cluster, first, classes, docs, id_col=id_col, text_col=text_col)
     # components of the first round count as links to their least node
     labels = components(first.select(F.col("label").alias("a"), F.col("node").alias("b")).union(found))
     of = classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.col("rep.id").alias("id"))
-    of = materialize(of, "class-labels")
+    of = materialize(of, "class-labels", slim=True)
     least = of.groupBy("label").agg(F.min("id").alias("component_id"))
-    found = rows.select("id", "fp", "n_shingles", "node").join(of.join(least, "label").select("node", "component_id"), "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), F.col("fp").alias("text_fp"))
+    return materialize(of.join(least, "label").select("node", "component_id"), "class-components", slim=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from llm.conftest import edge_rows, prose
 
+from concordia.llm import _common
 from concordia.llm import near_dedup as m
 
 
@@ -55,7 +58,12 @@ def test_estimates_and_merging():
         assert np.std(errors) < 0.06
 
 
-def test_groups_equal_brute_force(spark, edges):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_groups_equal_brute_force(spark, edges, monkeypatch, shuffled):
+    if shuffled:  # no table is broadcast for being small, and every node with two rows is hot
+        monkeypatch.setattr(m, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(m, "PARTNERS", 2)
+        monkeypatch.setattr(m, "HOT_DEGREE", 2)
     rows = [(r[0], r[1]) for r in edge_rows()]
     next_id = 1000
     for seed in range(6):
@@ -68,8 +76,46 @@ def test_groups_equal_brute_force(spark, edges):
     assert found(m.near_groups(df)) == brute(rows)
 
 
-def test_blocks_of_a_hot_bucket(spark, monkeypatch):
+def links(texts):
+    """All pairs of rows whose sets reach the threshold, through the rows of each shingle."""
+    sets = [shingles(t) for t in texts]
+    rows = defaultdict(list)
+    for k, own in enumerate(sets):
+        for x in own:
+            rows[x].append(k)
+    out = set()
+    for k, own in enumerate(sets):
+        common = Counter(j for x in own for j in rows[x] if j < k)
+        out |= {(j, k) for j, n in common.items() if 100 * n >= 75 * (len(own) + len(sets[j]) - n)}
+    return out
+
+
+def test_no_link_of_a_table_is_missed(spark):
+    """Recall over all pairs of the documents at hand, and no link more."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    component = {r["doc_id"]: r["component_id"] for r in m.query(spark, folder).collect()}
+    found = links([r["text"] for r in docs])
+    assert len(found) > 50
+    label = list(range(len(docs)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a, b in found:
+        label[root(a)] = root(b)
+    least = {}
+    for k, r in enumerate(docs):
+        least[root(k)] = min(least.get(root(k), r["doc_id"]), r["doc_id"])
+    assert component == {r["doc_id"]: least[root(k)] for k, r in enumerate(docs)}
+
+
+@pytest.mark.parametrize("few", [100_000, -1])
+def test_blocks_of_a_hot_bucket(spark, monkeypatch, few):
     """The full search of mixed buckets, with more than one block of stragglers and of the top component."""
+    monkeypatch.setattr(m, "BROADCAST_ROWS", few)
     monkeypatch.setattr(m, "BLOCK", 3)
     monkeypatch.setattr(m, "TEXT_BLOCK", 2)
     monkeypatch.setattr(m, "ESTIMATE_FLOOR", 0.3)
@@ -80,6 +126,13 @@ def test_blocks_of_a_hot_bucket(spark, monkeypatch):
     assert found(m.near_groups(df)) == brute(rows)
 
 
+def test_work_tables_go(edges, tmp_path, monkeypatch):
+    monkeypatch.setattr(_common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = m.near_groups(edges)
+    assert sorted(p.name.split("-")[1] for p in tmp_path.iterdir()) == ["class", "sketches"]
+    assert rows.count() == edges.count()
+
+
 def test_empty_and_clashing(none, clashing):
     assert m.near_groups(none).collect() == []
     assert m.near_groups(clashing).count() == 30
