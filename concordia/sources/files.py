@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise DataError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="concordia-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own_folder()
     return path.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="concordia-")
+
+
 def read(spark: SparkSession, path: str, kind: str | None = None, schema: str | None = None) -> DataFrame:
     """A Parquet, CSV (with header), JSON-lines or ORC table; the kind follows the path's ending unless given."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()

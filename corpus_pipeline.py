@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.llm import exact_dedup, langid, near_dedup, packing, secret_scan
-from concordia.llm._common import materialize, table
+from concordia.llm._common import materialize, table, work_tables
 
 #: Dropped rows (16 bytes each) that are broadcast at most; more are shuffled.
 BROADCAST_ROWS = 200_000
@@ -88,8 +88,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents."""
+    """All stages over the table of documents; work tables of stages that are done with go."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    with work_tables(spark) as keep:
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
