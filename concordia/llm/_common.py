@@ -97,6 +97,9 @@ def hold(key: Hashable, build: Callable[[], object]):
     if not _held or _held[0][0] != key:
         release()
         _held.append((key, build()))
+        # what was needed to build it alone goes
+        gc.collect()
+        trim()
     return _held[0][1]
 
 
