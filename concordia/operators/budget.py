@@ -181,7 +181,7 @@ def welfare(rows: DataFrame) -> DataFrame:
 
 
 def cannibalization(rows: DataFrame, group_a: list[int], group_b: list[int]) -> DataFrame:
-    """Correlation of changes of the spending shares of two groups of goods, by user."""
+    """Correlation of changes of the spending shares of two groups of goods, by user: null of one change, NaN where a share never changes otherwise."""
     spend = lambda group: sum((F.get(F.col("p"), F.lit(g)) * F.get(F.col("q"), F.lit(g)) for g in group), F.lit(0.0))
     from pyspark.sql import Window
 
@@ -189,7 +189,10 @@ def cannibalization(rows: DataFrame, group_a: list[int], group_b: list[int]) ->
     o = o.select("user_id", "i", (spend(group_a) / F.col("own")).alias("a"), (spend(group_b) / F.col("own")).alias("b"))
     by_time = Window.partitionBy("user_id").orderBy("i")
     d = o.select("user_id", (F.col("a") - F.lag("a").over(by_time)).alias("da"), (F.col("b") - F.lag("b").over(by_time)).alias("db")).filter("da IS NOT NULL")
-    return d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_changes"), F.corr("da", "db").alias("correlation"))
+    # corr itself fails by a division by zero where a share's changes are all equal
+    spread = F.stddev_pop("da") * F.stddev_pop("db")
+    correlation = F.when(F.count(F.lit(1)) > 1, F.when(spread > 0, F.covar_pop("da", "db") / spread).otherwise(float("nan")))
+    return d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_changes"), correlation.alias("correlation"))
 
 
 def price_effects(rows: DataFrame, threshold: float = 0.05) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from concordia import checked, checked_datasets, registry
-from concordia.operators import dated, production, ranking, stochastic
+from concordia.operators import budget, dated, production, ranking, stochastic
 from concordia.plans import inference, score, structure
 from concordia.sources import generate, market
 from concordia.streaming import scoring
@@ -206,6 +206,16 @@ def test_structure(spark):
     assert all(r[1] == pytest.approx(100, abs=1e-6) for r in bundle)
 
 
+def test_shares_that_never_change(spark):
+    obs = lambda *q: [(str(t), [1.0, 2.0], [float(a), float(b)]) for t, (a, b) in enumerate(q)]
+    rows = [("same", obs((1, 0), (2, 0), (5, 0))), ("one", obs((1, 1), (2, 0))), ("moves", obs((1, 1), (2, 0), (0, 3), (4, 1)))]
+    df = spark.createDataFrame(rows, "user_id string, obs array<struct<t: string, p: array<double>, q: array<double>>>")
+    found = {r["user_id"]: (r["n_changes"], r["correlation"]) for r in budget.cannibalization(df, [0], [1]).collect()}
+    assert found["same"][0] == 2 and np.isnan(found["same"][1])
+    assert found["one"] == (1, None)
+    assert found["moves"] == (3, pytest.approx(-1))
+
+
 def test_dated(spark):
     rows = [("u", 50.0, 0, 100.0, 1, 1), ("u", 95.0, 0, 100.0, 1, 0), ("v", 90.0, 0, 100.0, 1, 1), ("v", 50.0, 0, 100.0, 1, 0)]
     df = spark.createDataFrame(rows, "user_id string, amount0 double, date0 long, amount1 double, date1 long, chosen int")
