@@ -249,7 +249,10 @@ def online_retail_ii(sales: DataFrame, *, min_months: int = 4, top_n: int = 30)
 
 
 def olist(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame, translation: DataFrame, *, min_months: int = 2, min_orders: int = 3, n_categories: int = 20) -> DataFrame:
-    """Months over categories of customers with several delivered orders; each item counts one."""
+    """Months over categories of customers with several delivered orders; each item counts one.
+
+    Categories are those of the list that occur, in its order, then others by how often they do.
+    """
     delivered = orders.filter(F.col("order_status") == "delivered").join(customers.select("customer_id", "customer_unique_id"), "customer_id", "left")
     named = items.join(products.select("product_id", "product_category_name"), "product_id", "left").join(translation, "product_category_name", "left")
     rows = named.join(delivered.select("order_id", "customer_unique_id", "order_purchase_timestamp"), "order_id").select(
@@ -258,7 +261,7 @@ def olist(orders: DataFrame, customers: DataFrame, items: DataFrame, products: D
     )
     rows = rows.filter(F.col("item").isNotNull() & F.col("unit").between(0.01, 5000.0))
     counts = {r["item"]: r["count"] for r in rows.groupBy("item").count().collect()}
-    known = [c for c in MARKETPLACE_CATEGORIES[:n_categories] if c in counts]
+    known = [c for c in MARKETPLACE_CATEGORIES if c in counts]
     goods = [*known, *sorted((c for c in counts if c not in known), key=lambda c: (-counts[c], c))][:n_categories]
     rows = rows.filter(F.col("item").isin(*goods)) if goods else rows.limit(0)
     often = rows.groupBy("user_id").agg(F.count_distinct("order_id").alias("n")).filter(F.col("n") >= min_orders).select("user_id")

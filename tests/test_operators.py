@@ -123,6 +123,21 @@ def test_datasets_from_folders(spark, tmp_path):
         datasets.load(spark, "none", str(tmp_path))
 
 
+def test_listed_categories_come_before_frequent_ones(spark):
+    from concordia.sources import datasets
+
+    sold = [(o, k) for o in (1, 2, 3) for k in ("tv", "tv", "toys", "auto")]
+    orders = spark.createDataFrame([(o, o, "delivered", f"2017-0{o}-05 10:00:00") for o in (1, 2, 3)], "order_id long, customer_id long, order_status string, order_purchase_timestamp string")
+    customers = spark.createDataFrame([(o, "c") for o in (1, 2, 3)], "customer_id long, customer_unique_id string")
+    items = spark.createDataFrame([(o, k, 10.0) for o, k in sold], "order_id long, product_id string, price double")
+    products = spark.createDataFrame([(k, k) for k in ("tv", "toys", "auto")], "product_id string, product_category_name string")
+    names = spark.createDataFrame([(k, k) for k in ("tv", "toys", "auto")], "product_category_name string, product_category_name_english string")
+    bought = lambda n: [o["q"] for o in datasets.olist(orders, customers, items, products, names, n_categories=n).first()["obs"]]
+    assert bought(1) == [[1.0]] * 3
+    assert bought(2) == [[1.0, 1.0]] * 3
+    assert [sum(q) for q in bought(3)] == [4.0] * 3
+
+
 def test_entry(spark):
     row = entry.entry(spark).first()
     assert set(row.asDict()) == {"user_id", "is_garp", "n_violations", "max_scc", "n_scc"}
