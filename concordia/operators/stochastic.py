@@ -101,10 +101,13 @@ def compromises(freq: DataFrame, attributes: DataFrame, threshold: float = 0.05)
     return both.groupBy("user_id", "menu", "item").agg((F.max("p3") - F.avg("p2")).alias("gain")).withColumn("is_compromise", F.col("gain") > threshold)
 
 
-def perturbed_utility(freq: DataFrame, tol: float = 0.01) -> DataFrame:
-    """Additive perturbed utility: held if regularity is, with the number of violations and whether odds are independent of menus too (a logit)."""
+def perturbed_utility(freq: DataFrame, tol: float = 0.01, odds_tol: float = 0.1) -> DataFrame:
+    """Additive perturbed utility: held if regularity is, with the number of violations and whether odds are independent of menus too (a logit).
+
+    ``tol`` is a difference of shares, ``odds_tol`` a coefficient of variation of odds, as ``independence`` has it.
+    """
     r = regularity(freq, tol).select("user_id", "n_testable", F.col("n_violations").alias("n_irregular"), "worst")
-    i = independence(freq, tol).select("user_id", "is_iia")
+    i = independence(freq, odds_tol).select("user_id", "is_iia")
     both = i.join(r, "user_id", "left")
     n = F.coalesce("n_irregular", F.lit(0))
     return both.select("user_id", (n == 0).alias("is_apu"), n.alias("n_irregular"), F.coalesce("worst", F.lit(0.0)).alias("worst"), "is_iia", ((n == 0) & F.col("is_iia")).alias("is_logit"))

@@ -160,6 +160,18 @@ def test_stochastic_goldens(spark):
     assert [(r["target"], r["decoy"]) for r in decoy if r["is_decoy"]] == [(0, 2)]
 
 
+def test_logit_allows_odds_that_vary_a_little(spark):
+    def counts(odd):  # odds of 0 to 1 are 1 in one menu and ``odd`` / 100 in the other
+        cells = {(0, 1): (100, 100), (0, 1, 2): (odd, 100, 50)}
+        rows = [("u", list(m), i, n, n / sum(ns)) for m, ns in cells.items() for i, n in zip(m, ns, strict=True)]
+        return spark.createDataFrame(rows, "user_id string, menu array<int>, item int, n long, p double")
+
+    for odd, held in ((105, True), (115, True), (130, False)):
+        row = stochastic.perturbed_utility(counts(odd)).first()
+        assert (row["is_apu"], row["is_iia"], row["is_logit"]) == (True, held, held)
+    assert not stochastic.perturbed_utility(counts(105), odds_tol=0.01).first()["is_logit"]
+
+
 def test_rankings(spark):
     same = spark.createDataFrame([("p", i, i, i) for i in range(4)] + [("q", i, i, 3 - i) for i in range(4)], "pair_id string, item int, a int, b int")
     found = {r["pair_id"]: r for r in ranking.compare(same).collect()}
