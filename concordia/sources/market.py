@@ -140,12 +140,18 @@ def dated_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def firms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers by quarter as firms (user_id, obs): goods and handling go in, delivered and returned value comes out, in cents."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag")
+    """Suppliers by quarter as firms (user_id, obs): goods and handling go in, delivered and returned value comes out, in cents.
+
+    A mean price that lies on half a cent is rounded by the last bits of its sums, so lines are added one after the other
+    as they stand in their files (by name): the sums are those of one thread, whatever the partitions.
+    """
+    quarter = F.concat(F.year("l_shipdate").cast("string"), F.lit("-"), F.quarter("l_shipdate").cast("string"))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("user_id"), quarter.alias("t"), "l_quantity", "l_extendedprice", "l_tax", "l_returnflag", *place)
+    lines = lines.repartition("user_id", "t").sortWithinPartitions("user_id", "t", "file", "row")
     cents = lambda c: F.floor(c * 100 + 0.5).cast("double")
     kept = F.col("l_returnflag") != "R"
-    quarter = F.concat(F.year("l_shipdate").cast("string"), F.lit("-"), F.quarter("l_shipdate").cast("string"))
-    rows = lines.groupBy(F.col("l_suppkey").cast("string").alias("user_id"), quarter.alias("t")).agg(
+    rows = lines.groupBy("user_id", "t").agg(
         cents(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("p0"), cents(1 + F.avg("l_tax")).alias("p1"), F.sum("l_quantity").alias("q0"), F.count(F.lit(1)).cast("double").alias("q1"),
         cents(F.sum(F.when(kept, F.col("l_extendedprice")).otherwise(0.0))).alias("o0"), cents(F.sum(F.when(kept, 0.0).otherwise(F.col("l_extendedprice")))).alias("o1"),
     )

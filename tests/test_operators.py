@@ -259,6 +259,25 @@ def test_production(spark):
     assert {r["returns"] for r in production.returns_to_scale(firms).collect()} <= {"increasing", "decreasing", "constant"}
 
 
+@pytest.mark.parametrize("name", ["firm_totals"])
+def test_firms_whose_mean_price_ends_on_half_a_cent(spark, tmp_path, name):
+    """Files whose sums, taken apart and then added, round to another cent than the lines one after the other."""
+    draw = np.random.default_rng(7)
+    rows = []
+    for supplier in range(400):
+        cents = draw.integers(90_000, 10_000_000, 8)
+        cents[-1] += 4 - cents.sum() % 8  # over 8 pieces the mean ends on half a cent
+        rows += [(supplier, c / 100, k) for k, c in enumerate(cents.tolist())]
+    with duckdb.connect(config={"threads": 1}) as connection:
+        (tmp_path / "lineitem.parquet").mkdir()
+        for file, ks in (("a", range(3)), ("b", range(3, 8))):
+            values = ", ".join(f"({s}, {c!r}::DOUBLE)" for s, c, k in sorted(rows, key=lambda r: (r[2], r[0])) if k in ks)
+            connection.execute(f"COPY (SELECT s::BIGINT AS l_suppkey, TIMESTAMP '1995-02-03' AS l_shipdate, 1.0::DOUBLE AS l_quantity, c AS l_extendedprice, 0.04::DOUBLE AS l_tax, 'N' AS l_returnflag FROM (VALUES {values}) v(s, c)) TO '{tmp_path}/lineitem.parquet/{file}.parquet'")
+        connection.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        theirs = connection.execute(checked.ORACLE_SQL[name]).df()
+    assert rows_of(checked.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(theirs)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from pyspark.sql import functions as F
 
