@@ -259,7 +259,7 @@ def test_production(spark):
     assert {r["returns"] for r in production.returns_to_scale(firms).collect()} <= {"increasing", "decreasing", "constant"}
 
 
-@pytest.mark.parametrize("name", ["firm_totals"])
+@pytest.mark.parametrize("name", ["firm_totals", "profit_efficiency"])
 def test_firms_whose_mean_price_ends_on_half_a_cent(spark, tmp_path, name):
     """Files whose sums, taken apart and then added, round to another cent than the lines one after the other."""
     draw = np.random.default_rng(7)
