@@ -142,6 +142,7 @@ def dated_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers by quarter as firms (user_id, obs): goods and handling go in, delivered and returned value comes out, in cents.
 
+    A line without a return flag is neither delivered nor returned.
     A mean price that lies on half a cent is rounded by the last bits of its sums, so lines are added one after the other
     as they stand in their files (by name): the sums are those of one thread, whatever the partitions.
     """
@@ -150,10 +151,10 @@ def firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("user_id"), quarter.alias("t"), "l_quantity", "l_extendedprice", "l_tax", "l_returnflag", *place)
     lines = lines.repartition("user_id", "t").sortWithinPartitions("user_id", "t", "file", "row")
     cents = lambda c: F.floor(c * 100 + 0.5).cast("double")
-    kept = F.col("l_returnflag") != "R"
+    value = lambda flagged: F.sum(F.when(flagged, F.col("l_extendedprice")).otherwise(0.0))
     rows = lines.groupBy("user_id", "t").agg(
         cents(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("p0"), cents(1 + F.avg("l_tax")).alias("p1"), F.sum("l_quantity").alias("q0"), F.count(F.lit(1)).cast("double").alias("q1"),
-        cents(F.sum(F.when(kept, F.col("l_extendedprice")).otherwise(0.0))).alias("o0"), cents(F.sum(F.when(kept, 0.0).otherwise(F.col("l_extendedprice")))).alias("o1"),
+        cents(value(F.col("l_returnflag") != "R")).alias("o0"), cents(value(F.col("l_returnflag") == "R")).alias("o1"),
     )
     o = F.struct("t", F.array("p0", "p1").alias("ip"), F.array("q0", "q1").alias("iq"), F.array(F.lit(1.0), F.lit(0.5)).alias("op"), F.array("o0", "o1").alias("oq"))
     return rows.groupBy("user_id").agg(F.array_sort(F.collect_list(o)).alias("obs"))

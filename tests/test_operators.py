@@ -278,6 +278,16 @@ def test_firms_whose_mean_price_ends_on_half_a_cent(spark, tmp_path, name):
     assert rows_of(checked.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(theirs)
 
 
+def test_firms_whose_lines_have_no_return_flag(spark, tmp_path):
+    """Such a line costs, but its value is neither delivered nor returned."""
+    with duckdb.connect(config={"threads": 1}) as connection:
+        values = "(1, 100.0, 'N'), (1, 50.0, NULL), (2, 70.0, NULL), (3, 30.0, 'R'), (3, 20.0, 'A')"
+        connection.execute(f"CREATE TABLE lineitem AS SELECT s::BIGINT AS l_suppkey, TIMESTAMP '1995-02-03' AS l_shipdate, 1.0::DOUBLE AS l_quantity, c::DOUBLE AS l_extendedprice, 0.04::DOUBLE AS l_tax, f AS l_returnflag FROM (VALUES {values}) v(s, c, f)")
+        connection.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+        theirs = connection.execute(checked.ORACLE_SQL["profit_efficiency"]).df()
+    assert rows_of(checked.QUERIES["profit_efficiency"](spark, str(tmp_path)).toPandas()) == rows_of(theirs)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from pyspark.sql import functions as F
 
